@@ -283,10 +283,11 @@ def validate_by_type(policies: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def rerank_search_results(results: DataFrame, query: str = "query", url: str = "url",
-                          title: str = "title") -> DataFrame:
-    """Score results, drop login and sign-up pages, rank per query.
+                          title: str = "title", top: int | None = None) -> DataFrame:
+    """Score results, drop login and sign-up pages, best first within each query.
 
-    Redirect addresses are decoded first.
+    Redirect addresses are decoded first. The order comes from one range-partitioned sort, so a
+    query with very many results spreads over tasks; ``top`` keeps the best few per query.
     """
     raw = F.col(url)
     target = F.when(
@@ -308,11 +309,10 @@ def rerank_search_results(results: DataFrame, query: str = "query", url: str = "
         .where(~tm.any_term(F.lower("target"), ("login", "signup")))
         .withColumn("score", score)
     )
-    # Ranks of every result of a query are asked for, so ties are settled by address.
-    return kept.withColumn(
-        "rank",
-        F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), "target")),
-    )
+    order = [F.col("score").desc(), F.col("target")]
+    if top is not None:
+        return top_per_key(kept, [query], order, top)
+    return kept.orderBy(F.col(query), *order)
 
 
 def consensus_domain(votes: DataFrame, engines: int = 3) -> DataFrame:
