@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clauselake.functions.terms import SPACE_SET, SPACES, literal_array
+from clauselake.functions.terms import SPACE_SET, SPACES
 
 # Elements dropped with their content, per extraction form.
 DIRECT_DROP = ("script", "style", "noscript", "svg", "iframe")
@@ -363,5 +363,3 @@ TEXT_LIMITS = {
     "claim_check": 25_000,
     "short_prompt": 15_000,
 }
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "literal_array")]
