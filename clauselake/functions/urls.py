@@ -269,42 +269,8 @@ def lexicon_for_host(
     return F.array_distinct(F.concat(english, F.coalesce(local, F.array().cast("array<string>"))))
 
 
-def url_for_domain(
-    url: Column, target: Column, related: Mapping[str, Sequence[str]] = D.RELATED_DOMAINS
-) -> Column:
-    """Does an address belong to a domain: struct of ``valid``, ``confidence`` and ``reason``.
-
-    Blocked 0, same host 100, same registrable domain 95, related company 90, else 0. The block
-    test comes first, so a related domain that is blocked itself stays at 0.
-    """
-    host = bare_host(url)
-    wanted = F.regexp_replace(F.lower(target), r"^www\.", "")
-    root, wanted_root = registrable_domain(host), registrable_domain(wanted)
-    # A few pairs are known, so a membership test over "owner domain" strings needs no join.
-    pairs = [f"{owner} {d}" for owner, ds in related.items() for d in ds]
-    is_related = F.concat_ws(" ", wanted, root).isin(*pairs) if pairs else F.lit(False)
-    confidence = (
-        F.when(is_blocked_url(url), 0)
-        .when(host == wanted, 100)
-        .when(root.eqNullSafe(wanted_root), 95)
-        .when(is_related, 90)
-        .otherwise(0)
-    )
-    reason = F.when(host.isNull(), "Invalid URL format").when(
-        is_blocked_url(url),
-        "URL is from a blocked domain type (social media, directory, etc.)",
-    ).when(
-        confidence == 0,
-        F.concat(F.lit("URL domain ("), host, F.lit(") doesn't match target domain ("), wanted,
-                 F.lit(")")),
-    )
-    return F.struct(
-        (confidence > 0).alias("valid"), confidence.alias("confidence"), reason.alias("reason")
-    )
-
-
-def domain_quality(domain: Column, url: Column) -> Column:
-    """0 to 100: how much a host and path look like a company's own site."""
+def domain_quality(domain: Column, url: Column, blocked: Column) -> Column:
+    """0 to 100: how much a host and path look like a company's own site; 0 when blocked."""
     bare = F.regexp_replace(F.lower(domain), r"^www\.", "")
     low = F.lower(url)
     tld = F.coalesce(
@@ -323,30 +289,4 @@ def domain_quality(domain: Column, url: Column) -> Column:
         - hit("/(company|business|org)/[a-z0-9-]+$") * 40
         - hit(r"\?.*(?:id|ref|source|utm)=") * 5
     )
-    blocked = is_blocked_host(bare) | is_blocked_url(url)
     return F.when(blocked, 0).otherwise(clamp(score, 0, 100))
-
-
-def validated_url(url: Column, target: Column) -> Column:
-    """``url_for_domain`` and ``domain_quality`` together, with the issues found."""
-    owner = url_for_domain(url, target)
-    quality = domain_quality(target, url)
-    blocked = is_blocked_url(url)
-    confidence = (
-        F.when(quality >= 70, F.least(F.lit(100), owner["confidence"] + 10))
-        .when(quality < 50, F.greatest(F.lit(0), owner["confidence"] - 20))
-        .otherwise(owner["confidence"])
-    )
-    issues = F.array_compact(
-        F.array(
-            F.when(~owner["valid"], F.coalesce(owner["reason"], F.lit("Domain mismatch"))),
-            F.when(quality < 30, "Low quality domain score"),
-            F.when(blocked, "URL matches blocked pattern"),
-        )
-    )
-    return F.struct(
-        (owner["valid"] & (quality >= 30) & ~blocked).alias("valid"),
-        confidence.alias("confidence"),
-        quality.alias("quality"),
-        issues.alias("issues"),
-    )

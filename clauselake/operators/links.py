@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from clauselake.functions import terms as tm
 from clauselake.functions import text as tx
 from clauselake.functions import urls as ur
+from clauselake.operators.addresses import check_owner
 from clauselake.operators.keyed import first_per_key, spread_join, top_per_key
 from clauselake.values import link_terms as L
 
@@ -216,7 +217,6 @@ def homepage_confidence(links: DataFrame, domain: str = "domain",
         [F.col("score").desc(), context_rank(F.col("context")), F.col("pos"), F.col("link_url")],
         top,
     )
-    owner = ur.url_for_domain(F.col("link_url"), F.col(domain))
     context = F.col("context")
     if model_score is None:
         base = (
@@ -233,15 +233,15 @@ def homepage_confidence(links: DataFrame, domain: str = "domain",
             context == "legal_hub", 8
         ).otherwise(0)
     return (
-        ranked.withColumn("_owner", owner)
-        .where("_owner.valid")
+        check_owner(ranked, "link_url", domain)
+        .where("owner_valid")
         .withColumn(
             "confidence",
             F.least(
-                F.lit(98), (base + F.floor(F.col("_owner.confidence") / 10)).cast("int")
+                F.lit(98), (base + F.floor(F.col("owner_confidence") / 10)).cast("int")
             ),
         )
-        .drop("_owner")
+        .drop("owner_valid", "owner_confidence", "owner_reason")
     )
 
 
@@ -316,14 +316,11 @@ def expand_links(starts: DataFrame, edges: DataFrame, max_depth: int = 2, follow
     visited = frontier.select("domain", F.col("_page").alias("_target"))
     found = []
     for depth in range(max_depth + 1):
-        reached = (
-            spread_join(frontier, hops, ["_page"])
-            .withColumn(
-                "confidence",
-                deep_link_confidence(F.col("score"), F.col("found_url"), F.col("from_hub"),
-                                     F.lit(depth)),
-            )
-            .where(ur.url_for_domain(F.col("found_url"), F.col("domain"))["valid"])
+        stepped = check_owner(spread_join(frontier, hops, ["_page"]), "found_url", "domain")
+        reached = stepped.where("owner_valid").withColumn(
+            "confidence",
+            deep_link_confidence(F.col("score"), F.col("found_url"), F.col("from_hub"),
+                                 F.lit(depth)),
         )
         found.append(
             reached.where(F.col("confidence") >= accept).select(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("corpus", "detection")
+PARTS = ("corpus", "detection", "urls", "links")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -311,7 +311,7 @@ def q(value: str) -> str:
 
 
 def sql_list(values: Iterable[str]) -> str:
-    return "[" + ", ".join(q(v) for v in values) + "]::VARCHAR[]"
+    return "([" + ", ".join(q(v) for v in values) + "]::VARCHAR[])"
 
 
 def found(text: str, values: Iterable[str]) -> str:

@@ -102,9 +102,10 @@ def strip_sql(html: str) -> str:
     return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
 
 
+ARTICLE = r"regexp_extract(kept, '(?is)<article[^>]*>(.*?)</article\s*>', 1)"
 KEPT = _drop_sql("html", tx.READABLE_DROP, tx.READABLE_MARKS)
 V_TEXT = rf"""v_kept AS (SELECT page_id, url, html, {KEPT} AS kept FROM pages),
-v_article AS (SELECT *, {strip_sql("regexp_extract(kept, '(?is)<article[^>]*>(.*?)</article\s*>', 1)")} AS article FROM v_kept),
+v_article AS (SELECT *, {strip_sql(ARTICLE)} AS article FROM v_kept),
 v_text AS (SELECT page_id, url, html, CASE WHEN length(article) > 200 THEN article
  ELSE {strip_sql("regexp_extract(kept, '(?is)<body[^>]*>(.*)', 1)")} END AS text,
  coalesce(nullif({strip_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, ''), 'Privacy Policy') AS title FROM v_article)"""
