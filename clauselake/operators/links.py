@@ -16,6 +16,7 @@ from clauselake.functions import text as tx
 from clauselake.functions import urls as ur
 from clauselake.operators.addresses import check_owner
 from clauselake.operators.keyed import first_per_key, spread_join, top_per_key
+from clauselake.session import durable
 from clauselake.values import link_terms as L
 
 # Contexts from the most to the least telling, and how regions are marked.
@@ -317,10 +318,13 @@ def expand_links(starts: DataFrame, edges: DataFrame, max_depth: int = 2, follow
     found = []
     for depth in range(max_depth + 1):
         stepped = check_owner(spread_join(frontier, hops, ["_page"]), "found_url", "domain")
-        reached = stepped.where("owner_valid").withColumn(
-            "confidence",
-            deep_link_confidence(F.col("score"), F.col("found_url"), F.col("from_hub"),
-                                 F.lit(depth)),
+        # Written once: the step is read for the results and for the next frontier.
+        reached = durable(
+            stepped.where("owner_valid").select(
+                "domain", "original_url", "found_url", "_target",
+                deep_link_confidence(F.col("score"), F.col("found_url"), F.col("from_hub"),
+                                     F.lit(depth)).alias("confidence"),
+            ).where(F.col("confidence") >= min(follow, accept))
         )
         found.append(
             reached.where(F.col("confidence") >= accept).select(

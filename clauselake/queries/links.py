@@ -10,6 +10,7 @@ from clauselake.operators import detection as de
 from clauselake.operators import links as li
 from clauselake.plans import flows
 from clauselake.queries.base import (
+    TYPES,
     V_CANDIDATES,
     any_found,
     found_count,
@@ -254,7 +255,7 @@ def direct_page_confidence(t):
 TYPE_PATTERNS = {
     "privacy": (r"(?i)^the$", r"(?i)/th"),
     "terms": (r"(?i)and", r"(?i)/e[a-z]+"),
-    "cookies": (r"(?i)le\b", r"(?i)about"),
+    "cookies": (r"(?i)le$", r"(?i)about"),
 }
 HUBS = (r"(?i)/the$",)
 
@@ -355,16 +356,16 @@ def best_per_type(t):
 
 
 @query(with_views(V_CANDIDATES) + """, l AS (SELECT *, CASE WHEN source = 'sitemap' THEN 0 WHEN source = 'manual' THEN 1 ELSE 2 END AS layer FROM v_candidates WHERE source IN ('sitemap', 'manual', 'footer_link'))
-SELECT domain, type, url, CAST(layer AS INT) AS layer FROM l GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY domain, type ORDER BY layer, url) = 1""")
+SELECT domain, type, url, CAST(layer AS INT) AS layer FROM (SELECT DISTINCT domain, type, url, layer FROM l) x QUALIFY row_number() OVER (PARTITION BY domain, type ORDER BY layer, url) = 1""")
 def merge_by_priority(t):
     c = t.candidates.select("domain", "type", "url", "source")
     layers = [c.where(F.col("source") == s) for s in ("sitemap", "manual", "footer_link")]
     return ca.merge_by_priority(layers).select("domain", "type", "url", "layer")
 
 
-@query(with_views(V_CANDIDATES) + f""", b AS (SELECT 'https://d' || (1 + doc_id % 90) || '.example.com/p' || doc_id AS url, lang AS type, text AS body FROM documents),
+@query(with_views(V_CANDIDATES) + f""", b AS (SELECT 'https://d' || (1 + doc_id % 90) || '.example.com/p' || doc_id AS url, text AS body FROM documents),
  p AS (SELECT url, type, CASE doc_id % 9 WHEN 0 THEN 'special_domain' ELSE 'crawl' END AS source, CASE doc_id % 5 WHEN 0 THEN 'high' ELSE 'low' END AS level,
-  (doc_id % 10) / 10.0::DOUBLE AS model_score FROM (SELECT 'https://d' || (1 + doc_id % 90) || '.example.com/p' || doc_id AS url, lang AS type, doc_id FROM documents) d)
+  (doc_id % 10) / 10.0::DOUBLE AS model_score FROM (SELECT 'https://d' || (1 + doc_id % 90) || '.example.com/p' || doc_id AS url, {sql_list(TYPES)}[1 + doc_id % 8] AS type, doc_id FROM documents) d)
 SELECT p.url, p.type FROM p JOIN b USING (url) WHERE source = 'special_domain' OR model_score > 0.7 OR level = 'high'
  OR (length(body) >= 1000 AND CASE p.type {' '.join(f"WHEN {q(k)} THEN {any_found('lower(body)', v)}" for k, v in de.V.TYPE_TERMS.items())} ELSE false END)""")
 def validate_by_type(t):
@@ -374,7 +375,7 @@ def validate_by_type(t):
     )
     n = F.col("doc_id")
     policies = d.select(
-        "url", F.col("lang").alias("type"),
+        "url", F.get(F.array(*[F.lit(x) for x in TYPES]), (n % 8).cast("int")).alias("type"),
         F.when(n % 9 == 0, "special_domain").otherwise("crawl").alias("source"),
         F.when(n % 5 == 0, "high").otherwise("low").alias("level"),
         ((n % 10) / F.lit(10.0)).alias("model_score"),
