@@ -14,16 +14,16 @@ COUNTED_TYPES = {"additions_count": "WORSE", "removals_count": "BETTER",
 
 
 def _count(items: Column, field: str, value: str) -> Column:
-    return F.size(F.filter(items, lambda c: c[field] == value))
+    return F.coalesce(F.size(F.filter(items, lambda c: c[field] == value)), F.lit(0))
 
 
 def overall_severity(items: Column) -> Column:
-    """Worst of the four severities among the items; LOW when there is none."""
-    found = [
-        F.when(F.exists(items, lambda c, s=s: c["severity"] == s), F.lit(s))
-        for s in SEVERITIES[:-1]
-    ]
-    return F.coalesce(*found, F.lit(SEVERITIES[-1]))
+    """Worst of the four severities among the items; LOW when there is none or no list."""
+
+    def found(severity: str) -> Column:
+        return F.when(F.exists(items, lambda c: c["severity"] == severity), F.lit(severity))
+
+    return F.coalesce(*[found(s) for s in SEVERITIES[:-1]], F.lit(SEVERITIES[-1]))
 
 
 def changelog_rollup(changelogs: DataFrame, versions: DataFrame, items: str = "changelog_items"
@@ -32,10 +32,7 @@ def changelog_rollup(changelogs: DataFrame, versions: DataFrame, items: str = "c
 
     ``versions`` holds ``id, score``; an unknown version counts as score 0.
     """
-    column = F.coalesce(
-        F.col(items),
-        F.array().cast("array<struct<type:string,severity:string,category:string>>"),
-    )
+    column = F.col(items)
     scores = versions.select("id", "score")
     old = scores.select(F.col("id").alias("old_version_id"), F.col("score").alias("old_score"))
     new = scores.select(F.col("id").alias("new_version_id"), F.col("score").alias("new_score"))

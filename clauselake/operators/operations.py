@@ -14,6 +14,10 @@ from clauselake.operators.keyed import with_previous
 QUEUE_STATES = ("pending", "processing", "completed", "failed")
 
 
+def _millis(time: Column) -> Column:
+    return F.unix_millis(time.cast("timestamp"))
+
+
 def contains_ci(column: str | Column, text: str) -> Column:
     """Case-blind substring test; an empty text fits everything."""
     col = F.col(column) if isinstance(column, str) else column
@@ -179,7 +183,7 @@ def session_summary(entries: DataFrame) -> DataFrame:
         F.count("_strategy").alias("strategies"),
         F.min("_first").alias("start_time"),
         F.max("_last").alias("end_time"),
-        (F.unix_millis(F.max("_last")) - F.unix_millis(F.min("_first"))).alias("duration_ms"),
+        (_millis(F.max("_last")) - _millis(F.min("_first"))).alias("duration_ms"),
         F.coalesce(F.max("_status"), F.lit("running")).alias("status"),
     )
 
@@ -200,7 +204,7 @@ def request_spacing(requests: DataFrame, least_ms: int = 2000) -> DataFrame:
     ``requests``: host, ts, id. A host with very many requests is split over range partitions.
     """
     pairs = with_previous(requests.select("host", "ts", "id"), ["host"], ["ts", "id"], ["ts"])
-    gap = F.unix_millis("ts") - F.unix_millis("prev_ts")
+    gap = _millis(F.col("ts")) - _millis(F.col("prev_ts"))
     return pairs.where(gap < least_ms).select("host", "id", "ts", gap.alias("gap_ms"))
 
 

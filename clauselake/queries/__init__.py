@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("corpus", "detection", "urls", "links", "features", "versions")
+PARTS = ("corpus", "detection", "urls", "links", "features", "versions", "risk", "operations")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

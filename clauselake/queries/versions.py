@@ -111,12 +111,12 @@ def named_version_pairs(t):
 
 # The given texts hold no blank line, so lines take the place of paragraphs.
 FORM = f"lower({trim_sql('paragraph')})"
-V_SIDES = f"""v_new AS (SELECT p.id AS pair_id, unnest(string_split_regex(raw_text, '\\n+')) AS paragraph, generate_subscripts(string_split_regex(raw_text, '\\n+'), 1) - 1 AS at FROM v_pairs p WHERE prev_id IS NOT NULL),
-v_old AS (SELECT p.id AS pair_id, unnest(string_split_regex(o.raw_text, '\\n+')) AS paragraph, generate_subscripts(string_split_regex(o.raw_text, '\\n+'), 1) - 1 AS at FROM v_pairs p JOIN v_versions o ON o.id = p.prev_id),
-v_n AS (SELECT pair_id, at, paragraph, {FORM} AS form FROM v_new WHERE length({trim_sql('paragraph')}) > 0),
-v_o AS (SELECT pair_id, at, paragraph, {FORM} AS form FROM v_old WHERE length({trim_sql('paragraph')}) > 0),
-v_diff AS (SELECT pair_id, at, paragraph, CASE WHEN EXISTS (SELECT 1 FROM v_o WHERE v_o.pair_id = v_n.pair_id AND v_o.form = v_n.form) THEN 'unchanged' ELSE 'added' END AS status FROM v_n
- UNION ALL SELECT pair_id, at, paragraph, 'removed' FROM v_o WHERE NOT EXISTS (SELECT 1 FROM v_n WHERE v_o.pair_id = v_n.pair_id AND v_o.form = v_n.form))"""
+V_SIDES = f"""v_new AS (SELECT p.id AS pair_id, unnest(string_split_regex(raw_text, '\\n+')) AS paragraph, generate_subscripts(string_split_regex(raw_text, '\\n+'), 1) - 1 AS line_no FROM v_pairs p WHERE prev_id IS NOT NULL),
+v_old AS (SELECT p.id AS pair_id, unnest(string_split_regex(o.raw_text, '\\n+')) AS paragraph, generate_subscripts(string_split_regex(o.raw_text, '\\n+'), 1) - 1 AS line_no FROM v_pairs p JOIN v_versions o ON o.id = p.prev_id),
+v_n AS (SELECT pair_id, line_no, paragraph, {FORM} AS form FROM v_new WHERE length({trim_sql('paragraph')}) > 0),
+v_o AS (SELECT pair_id, line_no, paragraph, {FORM} AS form FROM v_old WHERE length({trim_sql('paragraph')}) > 0),
+v_diff AS (SELECT pair_id, line_no, paragraph, CASE WHEN EXISTS (SELECT 1 FROM v_o WHERE v_o.pair_id = v_n.pair_id AND v_o.form = v_n.form) THEN 'unchanged' ELSE 'added' END AS status FROM v_n
+ UNION ALL SELECT pair_id, line_no, paragraph, 'removed' FROM v_o WHERE NOT EXISTS (SELECT 1 FROM v_n WHERE v_o.pair_id = v_n.pair_id AND v_o.form = v_n.form))"""
 
 
 def _pairs(t):

@@ -41,6 +41,8 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
         known, old_hash, old_score, last = True, r.content_hash, score, at
     if last is not None:
         state.update((old_hash, old_score, last.to_pydatetime()))
+    if not out:
+        return
     columns = ["domain", "policy_type", "analyzed_at", "old_score", "new_score", "change_type"]
     frame = pd.DataFrame(out, columns=columns)
     frame["old_score"] = frame["old_score"].astype("Int32")
@@ -79,6 +81,12 @@ def policy_changes_batch(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    """Event time as a zoned timestamp, with a watermark on streams."""
+    out = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return out.withWatermark("ts", late) if rows.isStreaming else out
+
+
 def stream_log_sessions(logs: DataFrame, gap: str = "30 minutes", late: str = "1 hour"
                         ) -> DataFrame:
     """Sessions of a log stream, closed after a pause of ``gap``.
@@ -86,7 +94,7 @@ def stream_log_sessions(logs: DataFrame, gap: str = "30 minutes", late: str = "1
     ``logs``: session_id, ts, category, level. Works on a batch frame too; the watermark is then
     ignored.
     """
-    rows = logs.withWatermark("ts", late) if logs.isStreaming else logs
+    rows = _timed(logs, late)
     return (
         rows.groupBy("session_id", F.session_window("ts", gap).alias("w"))
         .agg(
@@ -110,7 +118,7 @@ def stream_request_bursts(requests: DataFrame, window: str = "15 seconds", limit
     """
     from clauselake.operators.operations import request_bursts
 
-    rows = requests.withWatermark("ts", late) if requests.isStreaming else requests
+    rows = _timed(requests, late)
     return request_bursts(rows, window, limit)
 
 
