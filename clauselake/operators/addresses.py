@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions import urls as ur
+from clauselake.operators.staging import computed
 from clauselake.values import domains as D
 
 
@@ -26,12 +27,16 @@ def check_owner(df: DataFrame, url: str | Column, target: str | Column,
     domain = F.col(target) if isinstance(target, str) else target
     # A few pairs are known, so a membership test over "owner domain" strings needs no join.
     pairs = [f"{owner} {d}" for owner, ds in related.items() for d in ds]
-    staged = (
-        df.withColumn("_host", ur.bare_host(address))
-        .withColumn("_wanted", F.regexp_replace(F.lower(domain), r"^www\.", ""))
-        .withColumn("_blocked", ur.is_blocked_url(address))
-        .withColumn("_root", ur.registrable_domain(F.col("_host")))
-        .withColumn("_wanted_root", ur.registrable_domain(F.col("_wanted")))
+    hosts = computed(
+        df,
+        _host=ur.bare_host(address),
+        _wanted=F.regexp_replace(F.lower(domain), r"^www\.", ""),
+        _blocked=ur.is_blocked_url(address),
+    )
+    staged = computed(
+        hosts,
+        _root=ur.registrable_domain(F.col("_host")),
+        _wanted_root=ur.registrable_domain(F.col("_wanted")),
     )
     related_hit = F.concat_ws(" ", "_wanted", "_root").isin(*pairs) if pairs else F.lit(False)
     confidence = (
@@ -56,7 +61,7 @@ def check_owner(df: DataFrame, url: str | Column, target: str | Column,
         )
     )
     return (
-        staged.withColumn(f"{prefix}confidence", confidence)
+        computed(staged, **{f"{prefix}confidence": confidence})
         .withColumn(f"{prefix}valid", F.col(f"{prefix}confidence") > 0)
         .withColumn(f"{prefix}reason", reason)
         .drop("_host", "_wanted", "_blocked", "_root", "_wanted_root")
@@ -68,11 +73,9 @@ def score_domains(df: DataFrame, url: str | Column, target: str | Column,
     """Add the quality of a domain as a source of policies, 0 to 100."""
     address = F.col(url) if isinstance(url, str) else url
     domain = F.col(target) if isinstance(target, str) else target
-    return (
-        df.withColumn("_blocked", ur.is_blocked_host(domain) | ur.is_blocked_url(address))
-        .withColumn(name, ur.domain_quality(domain, address, F.col("_blocked")))
-        .drop("_blocked")
-    )
+    staged = computed(df, _blocked=ur.is_blocked_host(domain) | ur.is_blocked_url(address))
+    quality = ur.domain_quality(domain, address, F.col("_blocked"))
+    return computed(staged, **{name: quality}).drop("_blocked")
 
 
 def validate_urls(df: DataFrame, url: str | Column, target: str | Column) -> DataFrame:
@@ -93,7 +96,7 @@ def validate_urls(df: DataFrame, url: str | Column, target: str | Column) -> Dat
     )
     staged = score_domains(check_owner(df, url, target, prefix="_o_"), url, target)
     return (
-        staged.withColumn("_bad", ur.is_blocked_url(address))
+        computed(staged, _bad=ur.is_blocked_url(address))
         .withColumn("url_valid", F.col("_o_valid") & (quality >= 30) & ~F.col("_bad"))
         .withColumn("url_confidence", confidence)
         .withColumn("url_issues", issues)

@@ -14,6 +14,7 @@ from clauselake.functions import terms as tm
 from clauselake.functions import text as tx
 from clauselake.functions.urls import PRIVACY_PATH_MARKS, all_terms
 from clauselake.operators.keyed import small_side
+from clauselake.operators.staging import computed
 from clauselake.values import text_terms as V
 
 # Category weights, thresholds and structure patterns of the detector.
@@ -92,27 +93,22 @@ def detect_policy(docs: DataFrame, text: str = "text",
     plain = F.when(tx.looks_like_html(F.col(text)), tx.html_text(F.col(text), "corpus")).otherwise(
         F.col(text)
     )
-    scored = (
-        docs.withColumn("_plain", plain)
-        .withColumn("_words", F.when(F.length("_plain") >= MIN_DETECT_LENGTH,
-                                     tx.plain_words(F.col("_plain"))))
-        .withColumn(
-            "_scores",
-            F.array(
-                *[
-                    tm.word_hits(F.col("_words"), terms, 0.2, 4) / F.lit(float(len(terms)))
-                    for terms in categories.values()
-                ]
-            ),
-        )
-        .withColumn("_type", document_type(F.col("_words"), types))
-        .withColumn(
-            "_flags",
-            F.when(
-                F.length("_plain") >= MIN_DETECT_LENGTH,
-                structure_flags(F.col("_plain"), F.lower("_plain")),
-            ),
-        )
+    read = computed(docs, _plain=plain)
+    long_enough = F.length("_plain") >= MIN_DETECT_LENGTH
+    cleaned = computed(
+        read,
+        _words=F.when(long_enough, tx.plain_words(F.col("_plain"))),
+        _flags=F.when(long_enough, structure_flags(F.col("_plain"), F.lower("_plain"))),
+    )
+    scored = computed(
+        cleaned,
+        _scores=F.array(
+            *[
+                tm.word_hits(F.col("_words"), terms, 0.2, 4) / F.lit(float(len(terms)))
+                for terms in categories.values()
+            ]
+        ),
+        _type=document_type(F.col("_words"), types),
     )
     total = sum(weights.get(c, 1.0) for c in categories)
     weighted = F.lit(0.0)
@@ -211,11 +207,8 @@ def detect_language(docs: DataFrame, text: str = "text",
 
     A language scores every occurrence of its words; a word it lists twice counts twice.
     """
-    return (
-        docs.withColumn("_counts", tm.occurrence_map(F.lower(text), all_terms(lexicon)))
-        .withColumn("language", best_language(F.col("_counts"), lexicon))
-        .drop("_counts")
-    )
+    counted = computed(docs, _counts=tm.occurrence_map(F.lower(text), all_terms(lexicon)))
+    return computed(counted, language=best_language(F.col("_counts"), lexicon)).drop("_counts")
 
 
 def topics_found(low: Column, language: Column,
@@ -241,29 +234,26 @@ def content_signals(docs: DataFrame, text: str = "text",
                     negative: Sequence[str] = V.NEGATIVE_PATTERNS) -> DataFrame:
     """Add the measures the content check is made of."""
     low = F.col("_low")
-    return (
-        docs.withColumn("_low", F.lower(text))
-        .withColumn("_counts", tm.occurrence_map(low, all_terms(lexicon)))
-        .withColumn("language", best_language(F.col("_counts"), lexicon))
-        .withColumn("privacy_terms", F.map_keys("_counts"))
-        .withColumn(
-            "keyword_count",
-            F.aggregate(F.map_values("_counts"), F.lit(0), lambda total, n: total + n),
-        )
-        .withColumn("topics", topics_found(F.col("_low"), F.col("language"), topics))
-        .withColumn(
-            "strong_keywords",
-            tm.terms_found_count(F.col("_low"), [k.lower() for k in keywords]),
-        )
-        .withColumn(
-            "strong_pairs", tm.terms_found_count(F.col("_low"), [p.lower() for p in pairs])
-        )
-        .withColumn("positive", tm.patterns_matched(F.col(text), positive, low))
-        .withColumn("negative", tm.patterns_matched(F.col(text), negative, low))
-        .withColumn("characters", F.length(text))
-        .withColumn("words", tx.word_count(F.col(text)))
-        .drop("_low", "_counts")
+    lowered = computed(docs, _low=F.lower(text))
+    counted = computed(
+        lowered,
+        _counts=tm.occurrence_map(low, all_terms(lexicon)),
+        strong_keywords=tm.terms_found_count(low, [k.lower() for k in keywords]),
+        strong_pairs=tm.terms_found_count(low, [p.lower() for p in pairs]),
+        positive=tm.patterns_matched(F.col(text), positive, low),
+        negative=tm.patterns_matched(F.col(text), negative, low),
+        characters=F.length(text),
+        words=tx.word_count(F.col(text)),
     )
+    named = computed(counted, language=best_language(F.col("_counts"), lexicon))
+    return computed(
+        named,
+        privacy_terms=F.map_keys("_counts"),
+        keyword_count=F.aggregate(
+            F.map_values("_counts"), F.lit(0), lambda total, n: total + n
+        ),
+        topics=topics_found(low, F.col("language"), topics),
+    ).drop("_low", "_counts")
 
 
 def validate_content(signals: DataFrame, cap_bonus: bool = False) -> DataFrame:
@@ -311,7 +301,7 @@ def validate_content(signals: DataFrame, cap_bonus: bool = False) -> DataFrame:
                 ") than positive (", positive, ") - may not be a privacy policy"),
         )
     )
-    out = signals.withColumn("content_confidence", tm.clamp(score, 0, 100))
+    out = computed(signals, content_confidence=tm.clamp(score, 0, 100))
     return out.withColumn(
         "content_valid",
         (chars >= MIN_LENGTH)
@@ -423,15 +413,15 @@ def extraction_gate(pages: DataFrame, url: str = "url", text: str = "text",
         low_url, ("privacy", "datenschutz", "confidentialite", "privacidad")
     )
     final = F.col(markdown or text)
-    return pages.withColumn(
-        "reject_reason",
+    reason = (
         F.when(
             F.length(text) < F.when(text_likely, 100).otherwise(200),
             "insufficient text extracted",
         )
         .when(~speaks, "no privacy-related text found")
-        .when(F.length(final) < F.when(likely, 100).otherwise(300), "content is too short"),
+        .when(F.length(final) < F.when(likely, 100).otherwise(300), "content is too short")
     )
+    return computed(pages, reject_reason=reason)
 
 
 def classify_text(text: Column, privacy: Sequence[str], terms: Sequence[str],

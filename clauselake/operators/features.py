@@ -15,6 +15,7 @@ from clauselake.functions import text as tx
 from clauselake.functions import urls as ur
 from clauselake.operators.detection import page_evidence
 from clauselake.operators.keyed import spread_join
+from clauselake.operators.staging import computed
 from clauselake.values import feature_terms as V
 
 # Feature names in model order.
@@ -212,10 +213,11 @@ def feedback_examples(feedback: DataFrame, pages: DataFrame) -> DataFrame:
     )
     # Page features are made once per asked page, before the join with possibly many votes.
     asked = pages.join(named.select("url").distinct(), "url", "left_semi")
-    content = asked.groupBy("url").agg(F.min("html").alias("html")).select(
-        "url", F.substring("html", 1, 1000).alias("_text"),
-        page_features(F.col("html")).alias("_page"),
-    )
+    content = computed(
+        asked.groupBy("url").agg(F.min("html").alias("html")),
+        _text=F.substring("html", 1, 1000),
+        _page=page_features(F.col("html")),
+    ).drop("html")
     return spread_join(named, content, ["url"], "left").select(
         "domain", "url", "target",
         link_features(
@@ -253,9 +255,11 @@ def adjust_prediction(rows: DataFrame, score: str = "model_score",
         value = F.when(condition, v) if value is None else value.when(condition, v)
         level = F.when(condition, c) if level is None else level.when(condition, c)
     return (
-        rows.withColumn("_evidence", page_evidence(page)["is_policy"])
-        .withColumn("adjusted_score", value.otherwise(F.least(s, F.lit(0.35))))
-        .withColumn("adjusted_confidence", level.otherwise(F.lit("low")))
+        computed(
+            computed(rows, _evidence=page_evidence(page)["is_policy"]),
+            adjusted_score=value.otherwise(F.least(s, F.lit(0.35))),
+            adjusted_confidence=level.otherwise(F.lit("low")),
+        )
         .withColumn("adjusted_policy", F.col("adjusted_score") > 0.5)
         .drop("_evidence")
     )

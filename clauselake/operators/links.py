@@ -16,6 +16,7 @@ from clauselake.functions import text as tx
 from clauselake.functions import urls as ur
 from clauselake.operators.addresses import check_owner
 from clauselake.operators.keyed import first_per_key, spread_join, top_per_key
+from clauselake.operators.staging import computed
 from clauselake.session import durable
 from clauselake.values import link_terms as L
 
@@ -83,16 +84,14 @@ def extract_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("
     body = F.regexp_replace(
         visible, r"(?is)<(footer|nav)\b[^>]*>.*?</\1\s*>", " "
     )
-    staged = (
-        pages.select(*keep, _visible(F.col(html)).alias("_visible"))
-        .withColumn(
-            "_marked",
-            F.concat(
-                _anchors(region(FOOTER_REGION), "footer"),
-                _anchors(region(LEGAL_REGION), "legal_hub"),
-                _anchors(region(NAV_REGION), "nav"),
-            ),
-        )
+    seen = computed(pages, _visible=_visible(F.col(html))).select(*keep, "_visible")
+    staged = computed(
+        seen,
+        _marked=F.concat(
+            _anchors(region(FOOTER_REGION), "footer"),
+            _anchors(region(LEGAL_REGION), "legal_hub"),
+            _anchors(region(NAV_REGION), "nav"),
+        ),
     )
     if not only_privacy:
         chosen = F.concat(F.col("_marked"), _anchors(body, "body"))
@@ -107,14 +106,11 @@ def extract_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("
             | tm.any_pattern(href, patterns)
         )
 
-    chosen = staged.withColumn("_hits", F.filter("_marked", speaks)).withColumn(
-        "_all",
-        F.when(
-            F.size("_hits") < least,
-            F.concat(F.col("_hits"), F.filter(_anchors(body, "body"), speaks)),
-        ).otherwise(F.col("_hits")),
-    )
-    return chosen.select(*keep, F.inline("_all"))
+    chosen = F.when(
+        F.size("_hits") < least,
+        F.concat(F.col("_hits"), F.filter(_anchors(body, "body"), speaks)),
+    ).otherwise(F.col("_hits"))
+    return computed(staged, _hits=F.filter("_marked", speaks)).select(*keep, F.inline(chosen))
 
 
 def extract_footer_links(pages: DataFrame, html: str = "html",
@@ -147,9 +143,9 @@ def footer_privacy_links(links: DataFrame, domain: str = "domain",
               F.concat(F.lit("https://"), F.col(domain), F.lit("/"), href))
         .otherwise(href)
     )
+    speaking = links.where(tm.any_term(low, vocabulary) | tm.any_pattern(href, patterns))
     kept = (
-        links.where(tm.any_term(low, vocabulary) | tm.any_pattern(href, patterns))
-        .withColumn("link_url", full)
+        computed(speaking, link_url=full)
         .where(~ur.is_blocked_host(F.coalesce(ur.url_host(F.col("link_url")), F.lit(""))))
         .where(F.rlike("href", F.lit("^(?!mailto:|javascript:|#)")))
     )
@@ -176,14 +172,13 @@ def score_homepage_links(links: DataFrame, url: str = "url",
     )
     speaks = tm.any_term(words, homepage_terms) | tm.any_term(low_href, homepage_terms)
     pdf = F.endswith(low_href, F.lit(".pdf")) & ((F.col("_base") > 10) | speaks)
-    return (
-        links.withColumn("link_url", ur.resolve_url(F.col("href"), F.col(url)))
+    usable = (
+        computed(links, link_url=ur.resolve_url(F.col("href"), F.col(url)))
         .where(F.col("link_url").isNotNull())
         .where(~ur.is_blocked_url(F.col("link_url")) & ~ur.is_auth_url(F.col("link_url")))
-        .withColumn("_base", base)
-        .withColumn("score", F.col("_base") + tm.flag(pdf) * 15)
-        .drop("_base")
     )
+    based = computed(usable, _base=base)
+    return computed(based, score=F.col("_base") + tm.flag(pdf) * 15).drop("_base")
 
 
 def context_rank(context: Column) -> Column:
@@ -199,7 +194,7 @@ def dedupe_links_first(links: DataFrame, keys: Sequence[str] = ("page_id", "link
 def dedupe_links_best(links: DataFrame, keys: Sequence[str] = ("page_id",),
                       url: str = "link_url", score: str = "score") -> DataFrame:
     """Best-scored link per normalised address; the first one on equal scores."""
-    named = links.withColumn("_same", ur.normalised_url(F.col(url)))
+    named = computed(links, _same=ur.normalised_url(F.col(url)))
     return first_per_key(
         named,
         [*keys, "_same"],
@@ -265,16 +260,15 @@ def score_deep_links(links: DataFrame, url: str = "url",
         ) * 40
         + tm.flag(names("privacy-policy", "privacy-statement", "privacy-notice")) * 35
     )
-    return (
-        links.withColumn("link_url", ur.resolve_url(F.col("href"), F.col(url)))
+    usable = (
+        computed(links, link_url=ur.resolve_url(F.col("href"), F.col(url)))
         .where(F.col("link_url").isNotNull())
         .where(~ur.is_blocked_url(F.col("link_url")))
-        .withColumn("score", score)
-        .where(
-            (F.col("score") > 5)
-            | ur.is_privacy_url(low, patterns)
-            | ur.is_privacy_link_text(F.col("text"), texts)
-        )
+    )
+    return computed(usable, score=score).where(
+        (F.col("score") > 5)
+        | ur.is_privacy_url(low, patterns)
+        | ur.is_privacy_link_text(F.col("text"), texts)
     )
 
 
@@ -441,7 +435,7 @@ def direct_page_confidence(pages: DataFrame, html: str = "html", url: str = "url
     if special is not None:
         base = F.when(special, 95).otherwise(base)
     return (
-        pages.withColumn("term_count", tm.terms_found_count(F.lower(page), words))
+        computed(pages, term_count=tm.terms_found_count(F.lower(page), words))
         .where(found >= least)
         .where(~is_login_page(page, LOGIN_MARKERS_PAIR, 2))
         .where(~ur.is_auth_url(F.col(url)))

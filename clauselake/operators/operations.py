@@ -14,8 +14,10 @@ from clauselake.operators.keyed import with_previous
 QUEUE_STATES = ("pending", "processing", "completed", "failed")
 
 
-def _millis(time: Column) -> Column:
-    return F.unix_millis(time.cast("timestamp"))
+def _millis_between(start: Column, end: Column) -> Column:
+    """Whole milliseconds from start to end."""
+    span = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return F.floor(span / 1000).cast("long")
 
 
 def contains_ci(column: str | Column, text: str) -> Column:
@@ -183,7 +185,7 @@ def session_summary(entries: DataFrame) -> DataFrame:
         F.count("_strategy").alias("strategies"),
         F.min("_first").alias("start_time"),
         F.max("_last").alias("end_time"),
-        (_millis(F.max("_last")) - _millis(F.min("_first"))).alias("duration_ms"),
+        _millis_between(F.min("_first"), F.max("_last")).alias("duration_ms"),
         F.coalesce(F.max("_status"), F.lit("running")).alias("status"),
     )
 
@@ -204,7 +206,7 @@ def request_spacing(requests: DataFrame, least_ms: int = 2000) -> DataFrame:
     ``requests``: host, ts, id. A host with very many requests is split over range partitions.
     """
     pairs = with_previous(requests.select("host", "ts", "id"), ["host"], ["ts", "id"], ["ts"])
-    gap = _millis(F.col("ts")) - _millis(F.col("prev_ts"))
+    gap = _millis_between(F.col("prev_ts"), F.col("ts"))
     return pairs.where(gap < least_ms).select("host", "id", "ts", gap.alias("gap_ms"))
 
 

@@ -8,21 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions.text import html_text, html_title
-from clauselake.functions.urls import bare_host
+from clauselake.functions.urls import bare_host, resolve_url
 from clauselake.operators import candidates as ca
 from clauselake.operators import corpus as co
 from clauselake.operators import detection as de
 from clauselake.operators import features as fe
 from clauselake.operators import links as li
 from clauselake.operators import risk as ri
+from clauselake.operators.staging import computed
 
 
 def read_policies(pages: DataFrame) -> DataFrame:
     """Pages to checked documents: text, title, gate, content check. One stage, no shuffle."""
-    texts = pages.select(
-        "page_id", "url", html_text(F.col("html")).alias("text"),
-        html_title(F.col("html")).alias("title"),
-    )
+    texts = computed(
+        pages, text=html_text(F.col("html")), title=html_title(F.col("html"))
+    ).select("page_id", "url", "text", "title")
     passed = de.extraction_gate(texts).where(F.col("reject_reason").isNull()).drop("reject_reason")
     return de.validate_content(de.content_signals(passed))
 
@@ -46,7 +46,7 @@ def discover_policies(pages: DataFrame, overrides: DataFrame | None = None,
         F.col("confidence").cast("double").alias("confidence"),
     )
     links = li.extract_links(named, keep=("domain", "page_id", "url"), only_privacy=False)
-    links = links.withColumn("link_url", li.ur.resolve_url(F.col("href"), F.col("url"))).where(
+    links = computed(links, link_url=resolve_url(F.col("href"), F.col("url"))).where(
         F.col("link_url").isNotNull()
     )
     model = None

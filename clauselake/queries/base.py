@@ -61,7 +61,7 @@ class Tables:
 
     @property
     def versions(self) -> DataFrame:
-        return self.read("documents").select(
+        return self.documents.select(
             F.col("doc_id").alias("id"), F.col("source").alias("domain"),
             F.col("lang").alias("policy_type"), F.col("text").alias("raw_text"),
             tx.content_hash(F.col("text")).alias("content_hash"),

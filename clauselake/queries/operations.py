@@ -128,7 +128,7 @@ def filter_sessions(t):
 
 
 @query(with_views(V_LOGS) + """SELECT session_id, CAST(count_if(category = 'network') AS BIGINT) AS http_requests, CAST(count_if(level = 'error') AS BIGINT) AS errors, count(DISTINCT CASE WHEN category = 'discovery' AND contains(subcategory, 'strategy') THEN subcategory END) AS strategies,
- epoch_ms(max(ts)) - epoch_ms(min(ts)) AS duration_ms, CASE WHEN count_if(subcategory = 'session_end') > 0 THEN 'success' ELSE 'running' END AS status FROM v_logs GROUP BY 1""")
+ (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS duration_ms, CASE WHEN count_if(subcategory = 'session_end') > 0 THEN 'success' ELSE 'running' END AS status FROM v_logs GROUP BY 1""")
 def session_summary(t):
     return op.session_summary(t.logs).drop("start_time", "end_time")
 
@@ -145,7 +145,7 @@ def request_bursts(t):
     return op.request_bursts(_requests(t), "30 minutes", 3).withColumn("window_start", _stamp("window_start"))
 
 
-@query(with_views(V_REQUESTS) + """SELECT host, id, gap AS gap_ms FROM (SELECT host, id, epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY host ORDER BY ts, id)) AS gap FROM v_requests) x WHERE gap < 60000""")
+@query(with_views(V_REQUESTS) + """SELECT host, id, gap AS gap_ms FROM (SELECT host, id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY host ORDER BY ts, id))) // 1000 AS gap FROM v_requests) x WHERE gap < 60000""")
 def request_spacing(t):
     return op.request_spacing(_requests(t), 60000).drop("ts")
 
