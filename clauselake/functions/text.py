@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clauselake.functions.terms import SPACE_SET, SPACES
+from clauselake.functions.terms import SPACE_SET, SPACES, has_rare_space
 
 # Elements dropped with their content, per extraction form.
 DIRECT_DROP = ("script", "style", "noscript", "svg", "iframe")
@@ -40,7 +40,9 @@ def trimmed(text: Column) -> Column:
 
 
 def single_spaced(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{SPACE_SET}]+", " ")
+    return F.when(
+        has_rare_space(text), F.regexp_replace(text, f"[{SPACE_SET}]+", " ")
+    ).otherwise(F.regexp_replace(text, r"\s+", " "))
 
 
 def content_hash(text: Column, mode: str = "exact") -> Column:
@@ -53,7 +55,9 @@ def content_hash(text: Column, mode: str = "exact") -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACE_SET}]+"))
+    return F.when(
+        has_rare_space(text), F.regexp_count(text, F.lit(f"[^{SPACE_SET}]+"))
+    ).otherwise(F.regexp_count(text, F.lit(r"\S+")))
 
 
 def plain_words(text: Column) -> Column:

@@ -59,28 +59,44 @@ def page_features(content: Column) -> Column:
     return F.struct(*[p.alias(n) for p, n in zip(parts, PAGE_FEATURES)])
 
 
+def text_features(text: Column) -> Column:
+    """The features of a link text as a struct."""
+    words = tx.trimmed(F.lower(text))
+    all_words = V.PRIVACY_WORDS + V.TERMS_WORDS + V.COOKIE_WORDS
+    return F.struct(
+        _number(tm.any_term(words, V.PRIVACY_WORDS)).alias("privacy"),
+        _number(tm.any_term(words, V.TERMS_WORDS)).alias("terms"),
+        _number(tm.any_term(words, V.COOKIE_WORDS)).alias("cookie"),
+        _number(tm.any_term(words, V.LEGAL_WORDS)).alias("legal"),
+        _scaled(tm.terms_found_count(words, all_words), 5.0).alias("strength"),
+        _scaled(F.length(words), 50.0).alias("length"),
+        tm.any_term(words, ("🔒", "🛡", "⚖")).alias("icon"),
+        _number(F.rlike(words, F.lit(r"\b20[2-3]\d\b"))).alias("year"),
+    )
+
+
 def link_features(text: Column, href: Column, context: Column, base: Column,
-                  page: Column | None = None) -> Column:
+                  page: Column | None = None, words: Column | None = None) -> Column:
     """Array of the 24 link features in the order of ``FEATURE_NAMES``.
 
-    ``page`` is a struct from ``page_features``; without it the content features are 0.
+    ``page`` is a struct from ``page_features``; without it the content features are 0. ``words``
+    is a struct from ``text_features`` where the same text stands behind many rows.
     """
-    words = tx.trimmed(F.lower(text))
+    said = text_features(text) if words is None else words
     url, base_url = F.lower(href), F.lower(base)
     full = ur.resolve_url(href, base)
     segments = F.filter(F.split(ur.url_path(full), "/"), lambda s: F.length(s) > 0)
-    all_words = V.PRIVACY_WORDS + V.TERMS_WORDS + V.COOKIE_WORDS
-    icon = tm.any_term(words, ("🔒", "🛡", "⚖")) | tm.any_term(href, ("shield", "lock", "secure"))
+    icon = said["icon"] | tm.any_term(href, ("shield", "lock", "secure"))
     content = (
         [F.lit(0.0)] * 5 if page is None
         else [F.coalesce(page[n], F.lit(0.0)) for n in PAGE_FEATURES]
     )
     return F.array(
-        _number(tm.any_term(words, V.PRIVACY_WORDS)),
-        _number(tm.any_term(words, V.TERMS_WORDS)),
-        _number(tm.any_term(words, V.COOKIE_WORDS)),
-        _number(tm.any_term(words, V.LEGAL_WORDS)),
-        _scaled(tm.terms_found_count(words, all_words), 5.0),
+        said["privacy"],
+        said["terms"],
+        said["cookie"],
+        said["legal"],
+        said["strength"],
         _number(tm.any_term(url, V.URL_WORDS[:8])),
         _number(tm.any_term(url, V.URL_WORDS[8:14])),
         _number(tm.any_term(url, ("legal", "policies"))),
@@ -92,10 +108,10 @@ def link_features(text: Column, href: Column, context: Column, base: Column,
         _number(context == "legal_hub"),
         _number(context.isin("body", "unknown")),
         *content,
-        _scaled(F.length(words), 50.0),
+        said["length"],
         _number(icon),
         _number(ur.url_host(full) != ur.url_host(base)),
-        _number(F.rlike(words, F.lit(r"\b20[2-3]\d\b"))),
+        said["year"],
     )
 
 
@@ -215,14 +231,15 @@ def feedback_examples(feedback: DataFrame, pages: DataFrame) -> DataFrame:
     asked = pages.join(named.select("url").distinct(), "url", "left_semi")
     content = computed(
         asked.groupBy("url").agg(F.min("html").alias("html")),
-        _text=F.substring("html", 1, 1000),
+        _words=text_features(F.substring("html", 1, 1000)),
         _page=page_features(F.col("html")),
     ).drop("html")
+    unread = text_features(F.lit(""))
     return spread_join(named, content, ["url"], "left").select(
         "domain", "url", "target",
         link_features(
-            F.coalesce("_text", F.lit("")), F.col("url"), F.lit("footer"), F.col("domain"),
-            F.col("_page"),
+            F.lit(""), F.col("url"), F.lit("footer"), F.col("domain"), F.col("_page"),
+            F.coalesce(F.col("_words"), unread),
         ).alias("features"),
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.functions import text as tx
+from clauselake.operators.staging import computed
 from clauselake.sources.tables import balanced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,11 +62,14 @@ class Tables:
 
     @property
     def versions(self) -> DataFrame:
-        return self.documents.select(
+        measured = computed(
+            self.documents, content_hash=tx.content_hash(F.col("text")),
+            word_count=tx.word_count(F.col("text")),
+        )
+        return measured.select(
             F.col("doc_id").alias("id"), F.col("source").alias("domain"),
-            F.col("lang").alias("policy_type"), F.col("text").alias("raw_text"),
-            tx.content_hash(F.col("text")).alias("content_hash"),
-            tx.word_count(F.col("text")).alias("word_count"),
+            F.col("lang").alias("policy_type"), F.col("text").alias("raw_text"), "content_hash",
+            "word_count",
             (1 + (F.col("doc_id") * 37) % 100).cast("int").alias("score"),
             F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("analyzed_at"),
         )
@@ -254,8 +258,9 @@ class Tables:
         first = self.read("documents").groupBy("source").agg(
             F.min_by(F.struct("doc_id", "text"), "doc_id").alias("f")
         )
-        base = first.select(
-            F.col("source"), tx.content_hash(F.col("f.text"), "normalized").alias("policy_hash"),
+        hashed = computed(first, policy_hash=tx.content_hash(F.col("f.text"), "normalized"))
+        base = hashed.select(
+            F.col("source"), "policy_hash",
             (1 + (F.col("f.doc_id") * 37) % 100).cast("int").alias("last_score"),
             (F.col("f.doc_id") % 4).cast("int").alias("last_threats"),
         )

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Parquet scan; with a schema no file is opened to infer one."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
