@@ -5,7 +5,7 @@ Best-of-group results are aggregations with map-side partial results, not sorts
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,15 +87,24 @@ def resolve_company(names: DataFrame, companies: DataFrame, name: str = "name")
 
 
 def path_candidates(domains: DataFrame, pages: DataFrame,
-                    paths: Sequence[str] = L.STANDARD_PATHS, confidence: int = 80,
-                    min_body: int = 0, with_www: bool = False, domain: str = "domain"
-                    ) -> DataFrame:
+                    paths: Sequence[str] | Mapping[str, Sequence[str]] = L.STANDARD_PATHS,
+                    confidence: int = 80, min_body: int = 0, with_www: bool = False,
+                    domain: str = "domain") -> DataFrame:
     """Standard paths of each domain that exist as crawled pages.
 
-    Result: domain, path, url, confidence. Addresses are compared without scheme, so a page
-    crawled over either scheme counts; each page is used once.
+    Result: domain, type, path, url, confidence. ``paths`` is a list, or lists by policy type; all
+    are tried in one pass over the pages. Addresses are compared without scheme, so a page crawled
+    over either scheme counts; each page is used once.
     """
     host = F.col(domain)
+    by_type = paths if isinstance(paths, Mapping) else {"privacy": paths}
+    tries = F.array(
+        *[
+            F.struct(F.lit(t).alias("type"), F.lit(p).alias("path"))
+            for t, ps in by_type.items()
+            for p in dict.fromkeys(ps)
+        ]
+    )
     hosts = (
         F.array_distinct(F.array(host, F.when(
             ~F.startswith(host, F.lit("www.")), F.concat(F.lit("www."), host)).otherwise(host)))
@@ -105,7 +114,7 @@ def path_candidates(domains: DataFrame, pages: DataFrame,
         domains.select(domain)
         .distinct()
         .withColumn("_host", F.explode(hosts))
-        .withColumn("path", F.explode(tm.literal_array(list(dict.fromkeys(paths)))))
+        .select("*", F.inline(tries))
         .withColumn("_place", F.lower(F.concat("_host", F.regexp_replace("path", "/$", ""))))
     )
     place = F.regexp_replace(ur.normalised_url(F.col("url")), r"^[a-z][a-z0-9+.-]*://", "")
@@ -114,7 +123,7 @@ def path_candidates(domains: DataFrame, pages: DataFrame,
     ).where(~ur.is_auth_url(F.col("url")))
     one = crawled.groupBy("_place").agg(F.min("url").alias("url"))
     return probes.join(one, "_place").select(
-        domain, "path", "url", F.lit(confidence).alias("confidence")
+        domain, "type", "path", "url", F.lit(confidence).alias("confidence")
     )
 
 

@@ -15,6 +15,7 @@ from clauselake.operators.keyed import (
     upsert,
     with_previous,
 )
+from clauselake.operators.staging import computed
 
 KEY = ("domain", "policy_type")
 
@@ -135,35 +136,34 @@ def version_compare(pairs: DataFrame) -> DataFrame:
 
 
 def _side(pairs: DataFrame, texts: DataFrame, column: str, separator: str) -> DataFrame:
-    """Paragraphs of one side of the pairs: pair, position, text and comparison form."""
+    """Paragraphs of one side of the pairs: pair, position, text and hash of the compared form."""
     wanted = pairs.select(F.col("id").alias("pair_id"), F.col(column).alias("_id"))
     rows = texts.select(F.col("id").alias("_id"), "raw_text").join(wanted, "_id")
     split = rows.select(
         "pair_id", F.posexplode(tx.paragraphs(F.col("raw_text"), separator)).alias("pos", "paragraph")
     )
-    return split.withColumn("_form", F.lower(tx.trimmed(F.col("paragraph"))))
+    return computed(split, _form=F.sha2(F.lower(tx.trimmed(F.col("paragraph"))), 256))
 
 
 def paragraph_diff(pairs: DataFrame, texts: DataFrame, separator: str = r"\n\n+") -> DataFrame:
     """Added, removed and unchanged paragraphs of version pairs ``id, prev_id``.
 
-    ``texts`` holds ``id, raw_text``. Paragraphs are compared trimmed and in lower case; repeated
-    paragraphs stay repeated on the output side. The compared side is made distinct first, so the
-    membership tests never multiply rows.
+    ``texts`` holds ``id, raw_text``. Paragraphs are compared trimmed and in lower case, by hash;
+    repeated paragraphs stay repeated on the output side. The compared side is made distinct
+    first, so no membership test multiplies rows.
     """
     known = pairs.where(F.col("prev_id").isNotNull())
     new, old = _side(known, texts, "id", separator), _side(known, texts, "prev_id", separator)
     on = ["pair_id", "_form"]
-    new_forms, old_forms = new.select(*on).distinct(), old.select(*on).distinct()
-
-    def out(df: DataFrame, status: str) -> DataFrame:
-        return df.select("pair_id", F.lit(status).alias("status"), "pos", "paragraph")
-
-    return (
-        out(new.join(old_forms, on, "left_anti"), "added")
-        .unionByName(out(old.join(new_forms, on, "left_anti"), "removed"))
-        .unionByName(out(new.join(old_forms, on, "left_semi"), "unchanged"))
+    before = old.select(*on).distinct().withColumn("_known", F.lit(True))
+    kept_or_new = new.join(before, on, "left").select(
+        "pair_id", F.when(F.col("_known"), "unchanged").otherwise("added").alias("status"), "pos",
+        "paragraph",
+    )
+    gone = old.join(new.select(*on).distinct(), on, "left_anti").select(
+        "pair_id", F.lit("removed").alias("status"), "pos", "paragraph"
     )
+    return kept_or_new.unionByName(gone)
 
 
 def paragraph_diff_counts(pairs: DataFrame, texts: DataFrame, separator: str = r"\n\n+"
@@ -176,7 +176,7 @@ def paragraph_diff_counts(pairs: DataFrame, texts: DataFrame, separator: str = r
 
     def marked(column: str, is_new: int) -> DataFrame:
         side = _side(known, texts, column, separator)
-        return side.select("pair_id", F.sha2("_form", 256).alias("_form"), F.lit(is_new).alias("_new"))
+        return side.select("pair_id", "_form", F.lit(is_new).alias("_new"))
 
     both = marked("id", 1).unionByName(marked("prev_id", 0))
     per_form = both.groupBy("pair_id", "_form").agg(

@@ -64,15 +64,11 @@ def discover_policies(pages: DataFrame, overrides: DataFrame | None = None,
         F.when(F.col("context") == "footer", "footer_link").otherwise("nav_link").alias("source"),
         "confidence",
     )
-    parts = [found]
-    for policy_type, probe in (paths or PROBE_PATHS).items():
-        parts.append(
-            ca.path_candidates(domains, pages, probe, confidence=70, min_body=2000).select(
-                "domain", F.lit(policy_type).alias("type"), "url",
-                F.lit("direct_probe").alias("source"),
-                F.col("confidence").cast("double").alias("confidence"),
-            )
-        )
+    probed = ca.path_candidates(domains, pages, paths or PROBE_PATHS, 70, 2000).select(
+        "domain", "type", "url", F.lit("direct_probe").alias("source"),
+        F.col("confidence").cast("double").alias("confidence"),
+    )
+    parts = [found, probed]
     if sitemap_urls is not None:
         rows = sitemap_urls.select(
             bare_host(F.col("loc")).alias("domain"), F.col("loc").alias("href"),

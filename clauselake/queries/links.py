@@ -457,7 +457,7 @@ SELECT domain, path, url, CAST(80 AS INT) AS confidence FROM h JOIN p ON place =
 def path_candidates(t):
     pages = t.pages
     domains = pages.select(ur.bare_host(F.col("url")).alias("domain"))
-    return ca.path_candidates(domains, pages, PROBES, min_body=1000, with_www=True)
+    return ca.path_candidates(domains, pages, PROBES, min_body=1000, with_www=True).drop("type")
 
 
 @query(f"""SELECT 'https://' || {HOST.format('url')} || '/sitemap.xml' AS sitemap_url, url AS loc, CAST(90 AS INT) AS confidence FROM pages WHERE {any_found('lower(url)', ('en/1', 'pills'))}""")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from clauselake.operators import operations as op
+from clauselake.functions.text import content_hash
 from clauselake.queries.base import HASH, V_ANALYSIS_LOG, V_LOGS, Tables, query, with_views
 from clauselake.session import shared_folder
 from clauselake.streaming import jobs
@@ -177,20 +178,34 @@ def _run(t: Tables, stream):
     return t.spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-@query(f"""WITH v AS (SELECT source AS domain, lang AS policy_type, {HASH} AS h, CAST(1 + (doc_id * 37) % 100 AS INT) AS score, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS at_time FROM documents),
+CHANGE_SQL = f"""WITH v AS (SELECT source AS domain, lang AS policy_type, {HASH} AS h, CAST(1 + (doc_id * 37) % 100 AS INT) AS score, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS at_time FROM documents),
  l AS (SELECT *, lag(h) OVER w AS ph, lag(score) OVER w AS ps FROM v WINDOW w AS (PARTITION BY domain, policy_type ORDER BY at_time))
-SELECT domain, policy_type, {STAMP.format('at_time')} AS analyzed_at, ps AS old_score, score AS new_score, CASE WHEN ps <> score THEN 'score_changed' ELSE 'content_changed' END AS change_type FROM l WHERE ph IS NOT NULL AND (ph <> h OR ps <> score)""")
-def stream_policy_changes(t):
-    d = _stream(t, "documents")
-    from clauselake.functions.text import content_hash
+SELECT domain, policy_type, {STAMP.format('at_time')} AS analyzed_at, ps AS old_score, score AS new_score, CASE WHEN ps <> score THEN 'score_changed' ELSE 'content_changed' END AS change_type FROM l WHERE ph IS NOT NULL AND (ph <> h OR ps <> score)"""
+
 
-    snapshots = d.select(
+def _snapshots(t):
+    d = _stream(t, "documents")
+    return d.select(
         F.col("source").alias("domain"), F.col("lang").alias("policy_type"),
         content_hash(F.col("text")).alias("content_hash"),
         (1 + (F.col("doc_id") * 37) % 100).cast("int").alias("score"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("analyzed_at"),
     )
-    out = _run(t, jobs.stream_policy_changes(snapshots))
+
+
+@query(CHANGE_SQL)
+def stream_policy_changes(t):
+    """Keyed state in the streaming engine."""
+    out = _run(t, jobs.stream_policy_changes(_snapshots(t)))
+    return out.withColumn("analyzed_at", _stamp("analyzed_at"))
+
+
+@query(CHANGE_SQL)
+def batched_policy_changes(t):
+    """State as a table, each micro-batch through the batch operators."""
+    root = f"{shared_folder(t.spark)}/changes-{uuid.uuid4().hex}"
+    jobs.run_policy_changes(_snapshots(t), root, f"{root}/checkpoint")
+    out = t.spark.read.parquet(f"{root}/changes").drop("batch")
     return out.withColumn("analyzed_at", _stamp("analyzed_at"))
 
 

@@ -21,6 +21,8 @@ def recommended_conf(shuffle_partitions: int | None = None) -> dict[str, str]:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.files.maxPartitionBytes": "128m",
         "spark.sql.parquet.filterPushdown": "true",
+        # Sessions of one key are merged on each task before the shuffle.
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         # Lower-casing is in every text path; the JVM's own tables are several times faster.
         "spark.sql.icu.caseMappings.enabled": "false",
     }

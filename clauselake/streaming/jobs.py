@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from clauselake.session import durable
+from clauselake.sources.writers import read_state
+
 CHANGE_SCHEMA = (
     "domain string, policy_type string, analyzed_at timestamp, old_score int, new_score int, "
     "change_type string"
@@ -55,7 +58,9 @@ def stream_policy_changes(snapshots: DataFrame) -> DataFrame:
     """Changes of hash or score per (domain, policy type) from a stream of snapshots.
 
     ``snapshots``: domain, policy_type, content_hash, score, analyzed_at. The state per key is one
-    hash, one score and one time.
+    hash, one score and one time. The rows of one key in one micro-batch are sorted in one task:
+    limit the batch (``maxFilesPerTrigger``), or use ``run_policy_changes`` where one key may hold
+    much of a large batch.
     """
     narrow = snapshots.select("domain", "policy_type", "content_hash", "score", "analyzed_at")
     return narrow.groupBy("domain", "policy_type").applyInPandasWithState(
@@ -81,6 +86,49 @@ def policy_changes_batch(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def run_policy_changes(snapshots: DataFrame, root: str, checkpoint: str) -> None:
+    """Changes from a stream of snapshots with batch operators, for hot keys and large batches.
+
+    Each micro-batch is put behind the last state of its keys and compared row by row over range
+    partitions, so a key with most of the rows is spread over tasks. Changes go to
+    ``root/changes/batch=N``, the state after batch N to ``root/state/batch=N``. Both are written
+    whole per batch number, so a repeated batch gives the same result again. Snapshots not newer
+    than the state of their key are late and dropped.
+    """
+    keys = ["domain", "policy_type"]
+    columns = [*keys, "content_hash", "score", "analyzed_at"]
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*columns)
+        before = read_state(batch.sparkSession, f"{root}/state/batch={number - 1}", rows.limit(0))
+        held = before.select(*keys, F.col("analyzed_at").alias("_last"))
+        fresh = rows.join(held, keys, "left").where(
+            F.col("_last").isNull() | (F.col("analyzed_at") > F.col("_last"))
+        ).select(*columns)
+        touched = before.join(fresh.select(*keys).distinct(), keys, "left_semi")
+        # Written once: the changes and the new state both read it.
+        timeline = durable(touched.select(*columns).unionByName(fresh))
+        policy_changes_batch(timeline).write.mode("overwrite").parquet(
+            f"{root}/changes/batch={number}"
+        )
+        newest = timeline.groupBy(*keys).agg(
+            F.max_by(
+                F.struct("content_hash", "score", "analyzed_at"),
+                F.struct("analyzed_at", "content_hash"),
+            ).alias("_new")
+        ).select(*keys, "_new.*")
+        unmoved = before.select(*columns).join(newest.select(*keys), keys, "left_anti")
+        unmoved.unionByName(newest).write.mode("overwrite").parquet(f"{root}/state/batch={number}")
+
+    query = (
+        snapshots.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
 def _timed(rows: DataFrame, late: str) -> DataFrame:
     """Event time as a zoned timestamp, with a watermark on streams."""
     out = rows.withColumn("ts", F.col("ts").cast("timestamp"))
