@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clauselake.functions.terms import SPACE_SET, SPACES, has_rare_space
+from clauselake.functions.terms import SPACE_SET, SPACES, has_rare_space, let
 
 # Elements dropped with their content, per extraction form.
 DIRECT_DROP = ("script", "style", "noscript", "svg", "iframe")
@@ -207,23 +207,25 @@ def bigrams(words: Column) -> Column:
 
 def find_all(text: Column, query: str, limit: int = 100) -> Column:
     """First ``limit`` zero-based positions of ``query``, any case, overlapping."""
-    low, needle = F.lower(text), query.lower()
+    needle = query.lower()
     if not needle:
         return F.array().cast("array<int>")
-    # Each step looks behind the previous hit, so the text is read once up to the last hit.
-    positions = F.aggregate(
-        F.sequence(F.lit(1), F.lit(limit)),
-        F.array(F.locate(needle, low)),
-        lambda found, _: F.when(F.element_at(found, -1) == 0, found).otherwise(
-            F.concat(found, F.array(_locate_after(low, needle, F.element_at(found, -1))))
-        ),
-    )
-    hits = F.filter(positions, lambda p: p > 0)
-    return F.transform(F.slice(hits, 1, limit), lambda p: p - 1)
 
+    def after(low: Column, position: Column) -> Column:
+        return F.call_function("locate", F.lit(needle), low, position + 1)
 
-def _locate_after(text: Column, needle: str, position: Column) -> Column:
-    return F.call_function("locate", F.lit(needle), text, position + 1)
+    # Each step looks behind the hit before, so the text is read once up to the last hit.
+    def search(low: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(2), F.lit(limit)) if limit > 1 else F.array().cast("array<int>"),
+            F.array(after(low, F.lit(0))),
+            lambda found, _: F.when(F.element_at(found, -1) == 0, found).otherwise(
+                F.concat(found, F.array(after(low, F.element_at(found, -1))))
+            ),
+        )
+
+    hits = F.filter(let(F.lower(text), search), lambda p: p > 0)
+    return F.transform(hits, lambda p: p - 1)
 
 
 def chunks_by_header(text: Column, size: int = 8000, first_title: str = "Introduction") -> Column:
@@ -289,11 +291,9 @@ HEADING_LEAD = rf"(?i)^({HEADING_WORDS}).+$"
 
 def sections(text: Column, limit: int = 20) -> Column:
     """Array of ``(pos, title, level)`` headings, at most ``limit``; see ``extract_sections``."""
-    lines = F.split(text, "\n")
 
-    def heading(line: Column, i: Column) -> Column:
-        t = trimmed(line)
-        follower = trimmed(F.get(lines, i + 1))
+    def heading(t: Column, i: Column, lines: Column) -> Column:
+        follower = F.get(lines, i + 1)
         usable = (F.length(t) >= 3) & (F.length(t) <= 100)
         short = (
             (F.length(t) < 60)
@@ -328,7 +328,11 @@ def sections(text: Column, limit: int = 20) -> Column:
             F.struct(i.alias("pos"), clean.alias("title"), level.cast("int").alias("level")),
         )
 
-    found = F.filter(F.transform(lines, heading), lambda h: h.isNotNull())
+    def headings(lines: Column) -> Column:
+        return F.transform(lines, lambda t, i: heading(t, i, lines))
+
+    lines = F.transform(F.split(text, "\n"), trimmed)
+    found = F.filter(let(lines, headings), lambda h: h.isNotNull())
     paragraphs = F.split(text, r"\n\n+")
 
     def fallback(p: Column, i: Column) -> Column:
@@ -345,7 +349,10 @@ def sections(text: Column, limit: int = 20) -> Column:
         )
 
     extra = F.filter(F.transform(paragraphs, fallback), lambda h: h.isNotNull())
-    return F.slice(F.when(F.size(found) < 3, F.concat(found, extra)).otherwise(found), 1, limit)
+    return let(
+        found,
+        lambda f: F.slice(F.when(F.size(f) < 3, F.concat(f, extra)).otherwise(f), 1, limit),
+    )
 
 
 def paragraphs(text: Column, separator: str = r"\n\n+") -> Column:

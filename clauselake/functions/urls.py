@@ -93,8 +93,14 @@ def clean_domain(text: Column) -> Column:
 
 def host_suffixes(host: Column) -> Column:
     """``a.b.c`` gives ``[a.b.c, b.c, c]``."""
-    labels = F.split(host, r"\.")
-    return F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+
+    def grow(found: Column, label: Column) -> Column:
+        longer = F.concat(label, F.lit("."), F.element_at(found, -1))
+        return F.concat(found, F.array(F.when(F.size(found) == 0, label).otherwise(longer)))
+
+    # From the last label up; nothing outside the step is mentioned, so the host is cut once.
+    start = F.array().cast("array<string>")
+    return F.reverse(F.aggregate(F.reverse(F.split(host, r"\.")), start, grow))
 
 
 def public_suffix(host: Column, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:

@@ -14,6 +14,7 @@ from clauselake.functions import terms as tm
 from clauselake.functions import urls as ur
 from clauselake.operators.detection import matches_type
 from clauselake.operators.keyed import first_per_key, small_side, top_per_key
+from clauselake.operators.staging import computed
 from clauselake.values import domains as D
 from clauselake.values import link_terms as L
 
@@ -118,9 +119,8 @@ def path_candidates(domains: DataFrame, pages: DataFrame,
         .withColumn("_place", F.lower(F.concat("_host", F.regexp_replace("path", "/$", ""))))
     )
     place = F.regexp_replace(ur.normalised_url(F.col("url")), r"^[a-z][a-z0-9+.-]*://", "")
-    crawled = pages.where(F.length("html") > min_body).select(
-        place.alias("_place"), F.col("url")
-    ).where(~ur.is_auth_url(F.col("url")))
+    bodies = pages.where(F.length("html") > min_body).select("url")
+    crawled = computed(bodies.where(~ur.is_auth_url(F.col("url"))), _place=place)
     one = crawled.groupBy("_place").agg(F.min("url").alias("url"))
     return probes.join(one, "_place").select(
         domain, "type", "path", "url", F.lit(confidence).alias("confidence")

@@ -74,7 +74,8 @@ def recent_changelogs(changelogs: DataFrame, limit: int = 10, key: str = "domain
 def tracked_changelogs(tracked: DataFrame, changelogs: DataFrame) -> DataFrame:
     """Changelogs of the domains each user tracks.
 
-    Users who track one popular domain are many, its changelogs few: the user side is salted.
+    Users who track one popular domain are many, its changelogs few: the user side is
+    split where a domain is hot.
     """
     return spread_join(tracked.select("user_id", "domain").distinct(), changelogs, ["domain"])
 

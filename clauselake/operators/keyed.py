@@ -3,7 +3,7 @@
 * ``first_per_key`` and ``top_per_key`` keep a bounded number of rows per key; Spark cuts every
   input partition to that number before the shuffle, so a hot key sends few rows.
 * ``with_previous`` looks at the row before within a key without putting a key into one task.
-* ``spread_join`` salts the keys that hold a large share of the left side.
+* ``spread_join`` splits or salts the keys that hold a large share of the left side.
 * ``small_side`` broadcasts a table only after its row count was checked.
 """
 
@@ -52,15 +52,19 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.02,
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-                salts: int = SALTS, share: float = 0.02, min_rows: int = 100_000) -> DataFrame:
+                salt_hot: bool = False, salts: int = SALTS, share: float = 0.02,
+                min_rows: int = 100_000) -> DataFrame:
     """Equi-join of many left rows to few right rows per key (inner, left, semi or anti).
 
-    Left rows of a hot key are dealt over ``salts`` groups and only the right rows of hot keys are
-    copied that many times, so no task gets a whole hot key and the rest moves as it is.
+    By default hot keys are left to adaptive execution, which splits a skewed partition of the left
+    side over tasks by the sizes it measured. ``salt_hot`` counts the keys first: left rows of a
+    hot key are dealt over ``salts`` groups and only the right rows of hot keys are copied that
+    many times. It costs one more pass over the left keys, so it is meant for stored tables, and
+    for sessions without adaptive execution.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted {how} join would repeat right rows")
-    hot = hot_keys(left, keys, share, min_rows)
+    hot = hot_keys(left, keys, share, min_rows) if salt_hot else []
     if not hot:
         return left.join(right, list(keys), how)
     # A null key never matches; eqNullSafe still lets its rows be dealt out.

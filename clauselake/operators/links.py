@@ -297,16 +297,20 @@ def expand_links(starts: DataFrame, edges: DataFrame, max_depth: int = 2, follow
     ``edges``   url (page), link_url, score, from_hub: the best few links of each page
     Result: domain, original_url, found_url, confidence (up to 98), depth. A page is visited once
     per domain, at its smallest depth. Many domains may stand on the same page, so the step from
-    page to links is a salted join.
+    page to links splits hot pages.
     """
-    hops = edges.select(
-        ur.normalised_url(F.col("url")).alias("_page"),
-        F.col("link_url").alias("found_url"),
-        ur.normalised_url(F.col("link_url")).alias("_target"),
-        "score", "from_hub",
-    ).where(F.col("_page") != F.col("_target"))
-    frontier = starts.select(
-        "domain", F.col("url").alias("original_url"), ur.normalised_url(F.col("url")).alias("_page")
+    # Every step reads the few links per page again, so they are written once.
+    placed = computed(
+        edges, _page=ur.normalised_url(F.col("url")), _target=ur.normalised_url(F.col("link_url"))
+    )
+    hops = durable(
+        placed.where(F.col("_page") != F.col("_target")).select(
+            "_page", F.col("link_url").alias("found_url"), "_target", "score", "from_hub"
+        )
+    )
+    begun = computed(starts, _page=ur.normalised_url(F.col("url")))
+    frontier = begun.select(
+        "domain", F.col("url").alias("original_url"), "_page"
     ).dropDuplicates(["domain", "_page"])
     visited = frontier.select("domain", F.col("_page").alias("_target"))
     found = []

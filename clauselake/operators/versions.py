@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions import text as tx
+from clauselake.functions.terms import let
 from clauselake.operators.keyed import (
     first_per_key,
     spread_join,
@@ -224,11 +225,14 @@ def analysis_set_diff(old: Column, new: Column) -> Column:
     before = F.coalesce(old, F.array().cast("array<string>"))
     after = F.coalesce(new, F.array().cast("array<string>"))
     # The difference sets are small and hashed; only they are searched per element.
-    gained, lost = F.array_except(after, before), F.array_except(before, after)
-    return F.struct(
-        F.filter(after, lambda x: F.array_contains(gained, x)).alias("added"),
-        F.filter(before, lambda x: F.array_contains(lost, x)).alias("removed"),
-    )
+
+    def only(side: Column, other: Column) -> Column:
+        return let(
+            F.array_except(side, other),
+            lambda rest: F.filter(side, lambda x: F.array_contains(rest, x)),
+        )
+
+    return F.struct(only(after, before).alias("added"), only(before, after).alias("removed"))
 
 
 # --------------------------------------------------------------------------- tracking
@@ -253,15 +257,17 @@ def track(base: DataFrame, requests: DataFrame, checked_at: Column) -> DataFrame
                             [F.col("policy_hash"), F.col("last_score")])
 
 
-def detect_changes(tracked: DataFrame, snapshot: DataFrame) -> DataFrame:
+def detect_changes(tracked: DataFrame, snapshot: DataFrame, salt_hot: bool = False) -> DataFrame:
     """New tracking state after a re-check of all domains.
 
     ``tracked``   user_id, domain, policy_hash, last_score, last_threats, last_checked
     ``snapshot``  domain, new_hash, new_score, new_threats, checked_at: one row per domain
-    A changed hash or score sets the flag and moves the old numbers to ``previous_``. Many users
-    may track one domain: the join is salted.
+    A changed hash or score sets the flag and moves the old numbers to ``previous_``. Many users may
+    track one domain: ``salt_hot`` salts the join, else adaptive execution splits it.
     """
-    joined = spread_join(tracked, snapshot.withColumn("_seen", F.lit(True)), ["domain"], "left")
+    joined = spread_join(
+        tracked, snapshot.withColumn("_seen", F.lit(True)), ["domain"], "left", salt_hot
+    )
     seen = F.coalesce("_seen", F.lit(False))
     changed = seen & (
         ~F.col("policy_hash").eqNullSafe(F.col("new_hash"))

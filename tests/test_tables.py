@@ -58,7 +58,7 @@ def test_spread_join_equals_plain_join(spark, how):
     left = spark.range(6000).select((F.col("id") % 3 * (F.col("id") % 50 == 0).cast("int")).alias("k"), "id")
     left = left.unionByName(spark.createDataFrame([(None, 9999)], "k long, id long"))
     right = spark.createDataFrame([(0, "x"), (0, "y"), (2, "z"), (7, "w")], "k long, v string")
-    got = ke.spread_join(left, right, ["k"], how, min_rows=100)
+    got = ke.spread_join(left, right, ["k"], how, True, min_rows=100)
     assert "_salt" not in got.columns
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, left.join(right, ["k"], how).collect()), key=repr)
     assert ke.hot_keys(left, ["k"], 0.02, 100) == [(0,)]
