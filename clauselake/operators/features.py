@@ -170,8 +170,10 @@ def score_links(links: DataFrame, layers: Sequence[tuple], features: str = "feat
             yield pd.Series(x[:, 0])
 
     far = F.abs(F.col(name) - 0.5)
+    # The function gets a finished column, never an expression, and so is run once per row.
+    scored = computed(links, _input=F.col(features)).withColumn(name, forward(F.col("_input")))
     return (
-        links.withColumn(name, forward(F.col(features)))
+        scored.drop("_input")
         .withColumn("is_policy", F.col(name) > 0.5)
         .withColumn(
             "model_confidence",
