@@ -21,7 +21,7 @@ def _tokens(line: Column) -> Column:
 
 
 def _row(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    return docs.withColumn("__line_row", F.xxhash64("doc_id", "text"))
 
 
 def parsed(docs: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def parsed(docs: DataFrame) -> DataFrame:
     ``s0 .. s7`` the eight stretches of a line of eight tokens or more.
     """
     rows = _row(docs).select(
-        F.col("_row").alias("row"), "doc_id", F.posexplode(F.split(whole_text(), "\n")).alias("at", "line"))
+        F.col("__line_row").alias("row"), "doc_id", F.posexplode(F.split(whole_text(), "\n")).alias("at", "line"))
     rows = rows.select("row", "doc_id", "at", F.inline(F.array(F.struct(_tokens(F.col("line")).alias("t")))))
     n = F.size("t")
     stretch = [
@@ -96,15 +96,15 @@ def drop_recurring_lines(docs: DataFrame, keep_first: bool = True, min_docs: int
     cut = lines.select("row", "at", "line").join(found, "line")
     if keep_first:
         cut = cut.where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
-    cut = cut.groupBy("row").agg(F.collect_set("at").alias("_cut")).withColumnRenamed("row", "_row")
+    cut = cut.groupBy("row").agg(F.collect_set("at").alias("__line_cut")).withColumnRenamed("row", "__line_row")
     whole = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col("_cut"))
-    joined = _row(docs.drop("lines_cut", "lines_kept")).join(cut, "_row", "left").select("*", F.inline(F.array(F.struct(
-        whole.alias("_lines"), F.when(F.col("_cut").isNotNull(), kept).alias("_kept")))))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(
-        F.transform("_kept", lambda i: F.element_at("_lines", i + 1)), "\n"))
-    out = joined.withColumn("text", text).withColumn("lines_cut", F.coalesce(F.size("_cut"), F.lit(0))) \
-        .withColumn("lines_kept", F.coalesce(F.size("_kept"), F.size("_lines"), F.lit(0)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col("__line_cut"))
+    joined = _row(docs.drop("lines_cut", "lines_kept")).join(cut, "__line_row", "left").select("*", F.inline(F.array(F.struct(
+        whole.alias("__line_all"), F.when(F.col("__line_cut").isNotNull(), kept).alias("__line_kept")))))
+    text = F.when(F.col("__line_cut").isNull(), F.col("text")).otherwise(F.array_join(
+        F.transform("__line_kept", lambda i: F.element_at("__line_all", i + 1)), "\n"))
+    out = joined.withColumn("text", text).withColumn("lines_cut", F.coalesce(F.size("__line_cut"), F.lit(0))) \
+        .withColumn("lines_kept", F.coalesce(F.size("__line_kept"), F.size("__line_all"), F.lit(0)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.drop("_row", "_cut", "_lines", "_kept")
+    return out.drop("__line_row", "__line_cut", "__line_all", "__line_kept")
