@@ -55,15 +55,44 @@ def _power(n: Column) -> Column:
     return F.concat(F.lit("1"), F.repeat(F.lit("0"), n)).cast("long")
 
 
+def _in_pieces(text: Column, size: int, change) -> Column:
+    """``text`` in pieces of ``size``, each changed by ``change(piece, number)`` and joined again."""
+    pieces = F.regexp_extract_all(text, F.lit(f".{{1,{size}}}"), F.lit(0))
+    return F.array_join(F.transform(pieces, change), "")
+
+
 def _permuted(digits: Column, key: Column, kind: Column, back: bool) -> Column:
-    """Digits of the same number; up to 36 of them. A single digit stays."""
-    n, half = F.length(digits), F.floor(F.length(digits) / 2).cast("int")
-    rest = n - half
-    put = lambda s: F.concat(F.lpad(s["l"].cast("string"), half, "0"), F.lpad(s["r"].cast("string"), rest, "0"))
-    mixed = F.transform(F.array(feistel(
-        F.substring(digits, F.lit(1), half).cast("long"), F.substring(digits, half + 1, rest).cast("long"),
-        _power(half), _power(rest), key, F.concat(kind, n.cast("string")), back)), put)
-    return F.when(n < 2, digits).otherwise(F.element_at(mixed, 1))
+    """As many digits, permuted by a Feistel network over two halves; more than 30 in pieces of 30."""
+    def change(piece: Column, number: Column) -> Column:
+        n = F.length(piece)
+        half = F.floor(n / 2).cast("int")
+        rest = n - half
+        value = lambda start, size: F.concat(F.lit("0"), F.substring(piece, start, size)).cast("long")
+        put = lambda s: F.concat(F.lpad(s["l"].cast("string"), half, "0"), F.lpad(s["r"].cast("string"), rest, "0"))
+        return F.element_at(F.transform(F.array(feistel(
+            value(F.lit(1), half), value(half + 1, rest), _power(half), _power(rest), key,
+            F.concat_ws("-", kind, n.cast("string"), number.cast("string")), back)), put), 1)
+
+    return _in_pieces(digits, 30, change)
+
+
+def _letters(letters: Column, key: Column, back: bool) -> Column:
+    """As many small letters, permuted like digits; more than 20 in pieces of 20."""
+    def change(piece: Column, number: Column) -> Column:
+        n = F.length(piece)
+        half = F.floor(n / 2).cast("int")
+        rest = n - half
+        value = lambda t: F.aggregate(F.filter(F.split(t, ""), lambda c: c != ""), F.lit(0).cast("long"),
+                                      lambda a, c: a * 26 + F.ascii(c) - 97)
+        power = lambda k: F.pow(F.lit(26.0), k).cast("long")
+        spelled = lambda v, k: F.when(k == 0, F.lit("")).otherwise(F.array_join(F.transform(
+            F.sequence(k - 1, F.lit(0), F.lit(-1)), lambda i: F.char(F.floor(v / power(i)) % 26 + 97)), ""))
+        return F.element_at(F.transform(F.array(feistel(
+            value(F.substring(piece, F.lit(1), half)), value(F.substring(piece, half + 1, rest)), power(half), power(rest), key,
+            F.concat_ws("-", F.lit("mail"), n.cast("string"), number.cast("string")), back)),
+            lambda s: F.concat(spelled(s["l"], half), spelled(s["r"], rest))), 1)
+
+    return _in_pieces(letters, 20, change)
 
 
 def _laid(value: Column, digits: Column) -> Column:
@@ -139,18 +168,7 @@ def _email(value: Column, key: Column, back: bool) -> Column:
     """Letters and digits of the local part, each kind permuted among itself as one number."""
     local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     low = F.lower(local)
-    letters = F.regexp_replace(low, "[^a-z]", "")
-    # Letters as two digits each (A is 00), in pieces of four: 26^2 by 26^2 values.
-    number = lambda t: F.aggregate(F.split(t, ""), F.lit(0).cast("long"), lambda a, c: a * 26 + F.ascii(c) - 97)
-    size = lambda t: F.aggregate(F.split(t, ""), F.lit(1).cast("long"), lambda a, c: a * 26)
-    spelled = lambda v, n: F.array_join(F.transform(F.sequence(n - 1, F.lit(0)), lambda i: F.char(
-        (F.floor(v / F.pow(F.lit(26.0), i)).cast("long") % 26) + 97)), "")
-    half = F.floor(F.length(letters) / 2).cast("int")
-    a, b = F.substring(letters, F.lit(1), half), F.substring(letters, half + 1, F.length(letters) - half)
-    mixed = F.transform(F.array(feistel(number(a), number(b), size(a), size(b), key, F.concat(F.lit("mail"), F.length(letters).cast("string")), back)),
-                        lambda s: F.concat(spelled(s["l"], half), spelled(s["r"], F.length(letters) - half)))
-    long = (F.length(letters) > 20) | (F.length(letters) < 2)
-    new_letters = F.when(long, letters).otherwise(F.element_at(mixed, 1))
+    new_letters = _letters(F.regexp_replace(low, "[^a-z]", ""), key, back)
     with_digits = _laid(low, _permuted(_digits(low), key, F.lit("mail-digits"), back))
     done = F.aggregate(
         F.split(with_digits, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("k")),
