@@ -59,7 +59,8 @@ class Index:
         exact *= np.log1p((total - n + 0.5) / (n + 0.5))[:, None]
         exact /= np.maximum(exact.sum(0), 1e-9)
         bound = exact.reshape(len(vocabulary), blocks, block).max(2)
-        checks = [[(grams(part, gram), max(1, min(gram, len(part)))) for part in (words[:at], words[at:])]
+        # Short parts are compared by shorter sequences, so that one changed word does not hide them.
+        checks = [[(grams(part, n), n) for part in (words[:at], words[at:]) for n in [max(1, min(gram, len(part) // 4))]]
                   for _, words, at in items]
         return Index([i for i, _, _ in items], vocabulary, exact, bound, block,
                      max(len(w) for _, w, _ in items), checks)
@@ -122,8 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, answer: str | None = Non
 
     Every document is cut into passages that overlap by the longest item, and each is a query to the
     index of items. An item is retrieved when the BM25 weight of its terms in the passage is at least
-    ``least`` of its whole weight, and kept when at least ``overlap`` of the ``gram``-word sequences of
-    its question and of its answer stand in the passage. ``answer`` names the column of answers; without
+    ``least`` of its whole weight, and kept when at least ``overlap`` of the word sequences of its question
+    and of its answer stand in the passage (of ``gram`` words, fewer in parts of under four times that). ``answer`` names the column of answers; without
     it the last sentence of an item is its answer. One row per document and item, the best passage.
 
     Items are broadcast ``items_at_once`` at a time and the documents are read once for each such set,

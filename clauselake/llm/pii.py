@@ -137,6 +137,14 @@ def _iban(value: Column, key: Column, back: bool) -> Column:
     return F.when(valid & (F.length(_digits(tail)) > 1), _laid(value, _digits(sealed))).otherwise(value)
 
 
+def _ssn(value: Column, key: Column, back: bool) -> Column:
+    """Goes on from number to number until one is valid, so that valid ones are permuted among themselves."""
+    valid = lambda v: ~v.rlike("^(000|666|9)|-00-|0000$")
+    walked = F.aggregate(F.sequence(F.lit(0), F.lit(40)), value, lambda v, i: F.when(
+        (i == 0) | ~valid(v), _laid(v, _permuted(_digits(v), key, F.lit("ssn"), back))).otherwise(v))
+    return F.when(valid(value), walked).otherwise(value)
+
+
 def _ip(value: Column, key: Column, back: bool) -> Column:
     part = F.transform(F.split(value, r"\."), lambda p: p.cast("int"))
     mixed = F.transform(F.array(feistel(part[0] * 256 + part[1], part[2] * 256 + part[3], F.lit(65536), F.lit(65536), key, F.lit("ip"), back)),
@@ -180,7 +188,6 @@ def _email(value: Column, key: Column, back: bool) -> Column:
 
 def pseudonym(value: Column, key: Column, back: bool = False) -> Column:
     """The pseudonym of one found value; a value that fails its validation comes back as it is."""
-    ssn_ok = ~value.rlike("^(000|666|9)") & ~value.rlike("-00-") & ~value.rlike("0000$")
     prefix = F.regexp_extract(value, r"^(\+[0-9]{1,3})(?=[ .(-])", 1)
     rest = F.substring(value, F.length(prefix) + 1, F.length(value) - F.length(prefix))
     return (
@@ -189,7 +196,7 @@ def pseudonym(value: Column, key: Column, back: bool = False) -> Column:
         .when(_whole(value, DATE), _any_date(value, key, back))
         .when(_whole(value, IP), _ip(value, key, back))
         .when(_whole(value, IBAN), _iban(value, key, back))
-        .when(_whole(value, SSN), F.when(ssn_ok | F.lit(back), _laid(value, _permuted(_digits(value), key, F.lit("ssn"), back))).otherwise(value))
+        .when(_whole(value, SSN), _ssn(value, key, back))
         .when(_whole(value, PHONE), F.concat(prefix, _laid(rest, _permuted(_digits(rest), key, F.lit("phone"), back))))
         .when(_whole(value, CARD), _card(value, key, back))
         .otherwise(value))
