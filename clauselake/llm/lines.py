@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from clauselake.llm.common import durable, whole_text
 DEPTH = 4
 #: Stretches of a line that are compared within a leaf, and how many of them may be variable fields.
 STRETCHES, VARIABLE = 8, 2
+PAIRS = [f"p{i}" for i in range(STRETCHES // 2)]
+LOW = (1 << 32) - 1
 
 
 def _tokens(line: Column) -> Column:
@@ -25,30 +29,29 @@ def _row(docs: DataFrame) -> DataFrame:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, at, n, line, leaf, s0 .. s7)`` per line that has words, hashes instead of texts.
+    """``(row, doc_id, at, n, line, leaf, p0 .. p3)`` per line that has words, hashes instead of texts.
 
     ``line`` identifies the line with its fields replaced, ``leaf`` the count and leading tokens, and
-    ``s0 .. s7`` the eight stretches of a line of eight tokens or more.
+    ``p0 .. p3`` the eight stretches of a line of eight tokens or more, two 32-bit hashes in each.
     """
     rows = _row(docs).select(
         F.col("__line_row").alias("row"), "doc_id", F.posexplode(F.split(whole_text(), "\n")).alias("at", "line"))
     rows = rows.select("row", "doc_id", "at", F.inline(F.array(F.struct(_tokens(F.col("line")).alias("t")))))
     n = F.size("t")
-    stretch = [
-        F.when(n >= STRETCHES, F.xxhash64(F.slice("t", (n * i / STRETCHES).cast("int") + 1,
-                                                  (n * (i + 1) / STRETCHES).cast("int") - (n * i / STRETCHES).cast("int"))))
-        .alias(f"s{i}") for i in range(STRETCHES)
-    ]
+    cut = [(n * i / STRETCHES).cast("int") for i in range(STRETCHES + 1)]
+    stretch = [F.hash(F.slice("t", a + 1, b - a)).cast("long") for a, b in itertools.pairwise(cut)]
+    pairs = [F.when(n >= STRETCHES, F.shiftleft(a, 32).bitwiseOR(b.bitwiseAND(F.lit(LOW)))).alias(f"p{i}")
+             for i, (a, b) in enumerate(zip(stretch[::2], stretch[1::2], strict=True))]
     return rows.where(~((n == 1) & (F.col("t")[0] == ""))).select(
         "row", "doc_id", "at", n.alias("n"), F.xxhash64("t").alias("line"),
-        F.xxhash64(n, F.slice("t", 1, DEPTH)).alias("leaf"), *stretch)
+        F.xxhash64(n, F.slice("t", 1, DEPTH)).alias("leaf"), *pairs)
 
 
 def templates(lines: DataFrame, min_docs: int = 2, short_docs: int = 10, least: int = 3, short: int = 8) -> DataFrame:
     """``(line, doc_id, row, at)``: recurring lines with the first place of their template.
 
     Lines of ``short`` tokens or more that share a leaf belong to the template of that leaf's most
-    frequent stretches when at most ``VARIABLE`` of eight stretches differ; any other line is its own
+    frequent stretches (ties to the first seen) when at most ``VARIABLE`` of eight stretches differ; any other line is its own
     template. A template recurs in ``min_docs`` documents (``short_docs`` if it has fewer than
     ``short`` tokens, never under ``least``), counted by pairs of document and variant, in two
     documents at least. Everything before the last sums is pre-aggregated by line.
@@ -56,18 +59,19 @@ def templates(lines: DataFrame, min_docs: int = 2, short_docs: int = 10, least:
     place = F.struct("doc_id", "row", "at")
     by_doc = lines.groupBy("line", "row").agg(
         F.min(place).alias("first"), F.first("n").alias("n"), F.first("leaf").alias("leaf"),
-        *[F.first(f"s{i}").alias(f"s{i}") for i in range(STRETCHES)])
+        *[F.first(p).alias(p) for p in PAIRS])
     distinct = durable(by_doc.groupBy("line").agg(
         F.count("*").alias("docs"), F.min("first").alias("first"), F.max("row").alias("hi"),
         F.min("row").alias("lo"), F.first("n").alias("n"), F.first("leaf").alias("leaf"),
-        *[F.first(f"s{i}").alias(f"s{i}") for i in range(STRETCHES)]))
+        *[F.first(p).alias(p) for p in PAIRS]))
     shared = distinct.where(F.col("n") >= short).groupBy("leaf").agg(F.count("*").alias("v")).where("v > 1")
     inside = distinct.where(F.col("n") >= short).join(shared.select("leaf"), "leaf")
-    common = inside.select("leaf", "docs", F.posexplode(F.array(*[f"s{i}" for i in range(STRETCHES)])).alias("i", "s")) \
-        .groupBy("leaf", "i", "s").agg(F.sum("docs").alias("docs")) \
+    stretch = [half for p in PAIRS for half in (F.shiftrightunsigned(p, 32), F.col(p).bitwiseAND(F.lit(LOW)))]
+    common = inside.select("leaf", "docs", "first", F.posexplode(F.array(*stretch)).alias("i", "s")) \
+        .groupBy("leaf", "i", "s").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")) \
         .groupBy("leaf").agg(*[
-            F.max(F.when(F.col("i") == i, F.struct("docs", "s")))["s"].alias(f"c{i}") for i in range(STRETCHES)])
-    differ = sum((F.col(f"s{i}") != F.col(f"c{i}")).cast("int") for i in range(STRETCHES))
+            F.min(F.when(F.col("i") == i, F.struct(-F.col("docs"), "first", "s")))["s"].alias(f"c{i}") for i in range(STRETCHES)])
+    differ = sum((s != F.col(f"c{i}")).cast("int") for i, s in enumerate(stretch))
     member = inside.join(common, "leaf").where(differ <= VARIABLE).select("line", F.col("leaf").alias("template"))
     placed = distinct.select("line", "docs", "first", "hi", "lo", "n").join(member, "line", "left") \
         .withColumn("lone", F.when(F.col("template").isNull(), F.col("line")))
