@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from clauselake.queries import load
+import __spark_entry__
 from clauselake.session import recommended_conf
 from tests.oracle import compare, connect
 
@@ -22,7 +22,7 @@ def main() -> None:
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    found, sql = load()
+    found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     con = connect(f"/root/testdata/{sf}")
     bad = 0
     for name in names or found:
