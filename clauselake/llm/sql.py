@@ -4,15 +4,15 @@ from __future__ import annotations
 
 LINE_DEDUP = r"""
 WITH whole AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS at FROM whole),
-t AS (SELECT doc_id, at, string_split_regex(trim(regexp_replace(CASE WHEN regexp_matches(line, '[0-9]')
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM whole),
+t AS (SELECT doc_id, pos, string_split_regex(trim(regexp_replace(CASE WHEN regexp_matches(line, '[0-9]')
         THEN regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') ELSE line END,
         '[\x09-\x0D]', ' ', 'g')), ' +') AS t FROM l),
-p AS (SELECT doc_id, at, len(t) AS n, array_to_string(t, ' ') AS line, len(t) || ' ' || array_to_string(t[1:4], ' ') AS leaf,
+p AS (SELECT doc_id, pos, len(t) AS n, array_to_string(t, ' ') AS line, len(t) || ' ' || array_to_string(t[1:4], ' ') AS leaf,
         list_transform(range(8), lambda i: array_to_string(t[(len(t) * i) // 8 + 1:(len(t) * (i + 1)) // 8], ' ')) AS s
       FROM t WHERE NOT (len(t) = 1 AND t[1] = '')),
 d AS (SELECT line, any_value(n) AS n, any_value(leaf) AS leaf, any_value(s) AS s, count(DISTINCT doc_id) AS docs,
-        min({'doc': doc_id, 'at': at}) AS first, min(doc_id) AS lo, max(doc_id) AS hi FROM p GROUP BY line),
+        min({'doc': doc_id, 'pos': pos}) AS first, min(doc_id) AS lo, max(doc_id) AS hi FROM p GROUP BY line),
 inside AS (SELECT * FROM d WHERE n >= 8 AND leaf IN (SELECT leaf FROM d WHERE n >= 8 GROUP BY leaf HAVING count(*) > 1)),
 st AS (SELECT leaf, docs, first, unnest(range(8)) AS i, unnest(s) AS s FROM inside),
 sums AS (SELECT leaf, i, s, sum(docs) AS docs, min(first) AS first FROM st GROUP BY ALL),
@@ -25,10 +25,10 @@ big AS (SELECT template, min(first) AS first FROM placed WHERE template IS NOT N
         HAVING sum(docs) >= 2 AND min(lo) <> max(hi)),
 found AS (SELECT line, first FROM placed WHERE template IS NULL AND n >= 3 AND docs >= CASE WHEN n >= 8 THEN 2 ELSE 10 END
           UNION ALL SELECT line, big.first FROM placed JOIN big USING (template)),
-cut AS (SELECT doc_id, at FROM p JOIN found USING (line) WHERE NOT (doc_id = first.doc AND at = first.at)),
-done AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.at) FILTER (WHERE cut.at IS NULL) AS text,
-           count(cut.at) AS lines_cut, count(*) - count(cut.at) AS lines_kept
-         FROM l LEFT JOIN cut ON l.doc_id = cut.doc_id AND l.at = cut.at GROUP BY l.doc_id)
+cut AS (SELECT doc_id, pos FROM p JOIN found USING (line) WHERE NOT (doc_id = first.doc AND pos = first.pos)),
+done AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE cut.pos IS NULL) AS text,
+           count(cut.pos) AS lines_cut, count(*) - count(cut.pos) AS lines_kept
+         FROM l LEFT JOIN cut ON l.doc_id = cut.doc_id AND l.pos = cut.pos GROUP BY l.doc_id)
 SELECT w.doc_id, CASE WHEN w.text IS NULL THEN NULL ELSE coalesce(done.text, '') END AS text,
   CAST(coalesce(lines_cut, 0) AS INTEGER) AS lines_cut, CAST(coalesce(lines_kept, 0) AS INTEGER) AS lines_kept
 FROM whole w LEFT JOIN done ON w.doc_id = done.doc_id
