@@ -205,11 +205,23 @@ def bigrams(words: Column) -> Column:
 # --------------------------------------------------------------------------- positions, sections
 
 
-def find_all(text: Column, query: str, limit: int = 100) -> Column:
-    """First ``limit`` zero-based positions of ``query``, any case, overlapping."""
+def _starts(lengths: Column) -> Column:
+    """Sum of the lengths before each one."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(
+        lengths, start,
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+        lambda s: s["out"],
+    )
+
+
+def find_all(text: Column, query: str, limit: int | None = None) -> Column:
+    """Zero-based positions of ``query``, any case, overlapping; only the first ``limit`` if given."""
     needle = query.lower()
     if not needle:
         return F.array().cast("array<int>")
+    if limit is None:
+        return let(F.lower(text), lambda low: _all_positions(low, needle))
 
     def after(low: Column, position: Column) -> Column:
         return F.call_function("locate", F.lit(needle), low, position + 1)
@@ -228,6 +240,24 @@ def find_all(text: Column, query: str, limit: int = 100) -> Column:
     return F.transform(hits, lambda p: p - 1)
 
 
+def _all_positions(low: Column, needle: str) -> Column:
+    """Cuts the text before every hit; sums of lengths are taken in blocks, so many hits stay cheap."""
+    block = 1024
+    lengths = F.transform(F.split(low, rf"(?=\Q{needle}\E)"), lambda p: F.length(p))
+
+    def summed(parts: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / block).cast("int")),
+            lambda b: F.slice(parts, b * block + 1, block),
+        )
+        firsts = _starts(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n)))
+        return F.flatten(F.zip_with(blocks, firsts, lambda b, first: F.transform(_starts(b), lambda x: x + first)))
+
+    # The first piece starts at 0, which is a hit only if the text starts with the needle.
+    found = let(lengths, summed)
+    return F.when(F.startswith(low, F.lit(needle)), found).otherwise(F.slice(found, 2, F.size(found)))
+
+
 def chunks_by_header(text: Column, size: int = 8000, first_title: str = "Introduction") -> Column:
     """Array of ``(title, content)``: the text cut before short header lines.
 
@@ -289,8 +319,8 @@ HEADING_TITLE = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*):?$"
 HEADING_LEAD = rf"(?i)^({HEADING_WORDS}).+$"
 
 
-def sections(text: Column, limit: int = 20) -> Column:
-    """Array of ``(pos, title, level)`` headings, at most ``limit``; see ``extract_sections``."""
+def sections(text: Column, limit: int | None = None) -> Column:
+    """Array of ``(pos, title, level)`` headings, only the first ``limit`` if given."""
 
     def heading(t: Column, i: Column, lines: Column) -> Column:
         follower = F.get(lines, i + 1)
@@ -349,10 +379,8 @@ def sections(text: Column, limit: int = 20) -> Column:
         )
 
     extra = F.filter(F.transform(paragraphs, fallback), lambda h: h.isNotNull())
-    return let(
-        found,
-        lambda f: F.slice(F.when(F.size(f) < 3, F.concat(f, extra)).otherwise(f), 1, limit),
-    )
+    every = let(found, lambda f: F.when(F.size(f) < 3, F.concat(f, extra)).otherwise(f))
+    return every if limit is None else F.slice(every, 1, limit)
 
 
 def paragraphs(text: Column, separator: str = r"\n\n+") -> Column:

@@ -25,13 +25,15 @@ from clauselake.values import domains as D
 from clauselake.values import link_terms as L
 from clauselake.values.text_terms import PRIVACY_TERMS
 
-# Suffixes of more than one label that are known without a table. Pass a full
-# public suffix list to the operators to cover the rest.
+# Suffixes of more than one label that are known without a table. Operators take a
+# full public suffix list instead.
 PUBLIC_SUFFIXES = (
     "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp",
     "or.jp", "com.br", "com.mx", "com.ar", "com.tr", "com.cn", "com.tw", "com.hk", "com.sg",
     "co.in", "co.kr", "co.za", "co.il",
 )
+# Second labels under which most countries register names, as in co.th or com.my.
+COUNTRY_SECOND = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "govt", "mil", "ne", "net", "or", "org")
 # Locale folders that mark a page as not English.
 FOREIGN_LOCALES = (
     "de", "de-de", "fr", "fr-fr", "es", "es-es", "it", "it-it", "pt", "pt-br", "nl", "pl", "ru",
@@ -103,23 +105,31 @@ def host_suffixes(host: Column) -> Column:
     return F.reverse(F.aggregate(F.reverse(F.split(host, r"\.")), start, grow))
 
 
-def public_suffix(host: Column, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
-    """Longest listed suffix, else the last label."""
-    listed = F.filter(host_suffixes(host), lambda s: s.isin(*suffixes)) if suffixes else F.array()
-    return F.coalesce(
-        F.try_element_at(listed.cast("array<string>"), F.lit(1)),
-        F.element_at(F.split(host, r"\."), -1),
-    )
+def public_suffix(host: Column, suffixes: Sequence[str] | None = None) -> Column:
+    """Longest suffix of the list ``suffixes``, else the last label.
+
+    Without a list the known ones are used, and two labels under a country whose second is one of
+    ``COUNTRY_SECOND``.
+    """
+    known = PUBLIC_SUFFIXES if suffixes is None else suffixes
+    listed = F.filter(host_suffixes(host), lambda s: s.isin(*known)) if known else F.array()
+    country = None
+    if suffixes is None:
+        pattern = rf"(?:^|\.)((?:{'|'.join(COUNTRY_SECOND)})\.[a-z]{{2}})$"
+        country = F.nullif(F.regexp_extract(host, pattern, 1), F.lit(""))
+    found = [F.try_element_at(listed.cast("array<string>"), F.lit(1)), country,
+             F.element_at(F.split(host, r"\."), -1)]
+    return F.coalesce(*[f for f in found if f is not None])
 
 
-def registrable_domain(host: Column, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
+def registrable_domain(host: Column, suffixes: Sequence[str] | None = None) -> Column:
     """Public suffix and one label more, null when there is no such label."""
     suffix = public_suffix(host, suffixes)
     extra = F.size(F.split(host, r"\.")) - F.size(F.split(suffix, r"\."))
     return F.when(extra > 0, F.try_element_at(host_suffixes(host), extra))
 
 
-def domain_parts(host: Column, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
+def domain_parts(host: Column, suffixes: Sequence[str] | None = None) -> Column:
     """Struct of ``subdomain``, ``root_domain`` and ``tld``."""
     root = registrable_domain(host, suffixes)
     sub = F.substring(host, F.lit(1), F.length(host) - F.length(root) - 1)

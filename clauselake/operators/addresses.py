@@ -17,11 +17,12 @@ from clauselake.values import domains as D
 
 def check_owner(df: DataFrame, url: str | Column, target: str | Column,
                 related: Mapping[str, Sequence[str]] = D.RELATED_DOMAINS,
-                prefix: str = "owner_") -> DataFrame:
+                prefix: str = "owner_", suffixes: Sequence[str] | None = None) -> DataFrame:
     """Add ``owner_valid``, ``owner_confidence`` and ``owner_reason``.
 
     Blocked 0, same host 100, same registrable domain 95, related company 90, else 0. The block
-    test comes first, so a related domain that is blocked itself stays at 0.
+    test comes first, so a related domain that is blocked itself stays at 0. ``suffixes`` is a public
+    suffix list; without it ``public_suffix`` goes by its rule.
     """
     address = F.col(url) if isinstance(url, str) else url
     domain = F.col(target) if isinstance(target, str) else target
@@ -35,8 +36,8 @@ def check_owner(df: DataFrame, url: str | Column, target: str | Column,
     )
     staged = computed(
         hosts,
-        _root=ur.registrable_domain(F.col("_host")),
-        _wanted_root=ur.registrable_domain(F.col("_wanted")),
+        _root=ur.registrable_domain(F.col("_host"), suffixes),
+        _wanted_root=ur.registrable_domain(F.col("_wanted"), suffixes),
     )
     related_hit = F.concat_ws(" ", "_wanted", "_root").isin(*pairs) if pairs else F.lit(False)
     confidence = (
@@ -78,7 +79,8 @@ def score_domains(df: DataFrame, url: str | Column, target: str | Column,
     return computed(staged, **{name: quality}).drop("_blocked")
 
 
-def validate_urls(df: DataFrame, url: str | Column, target: str | Column) -> DataFrame:
+def validate_urls(df: DataFrame, url: str | Column, target: str | Column,
+                  suffixes: Sequence[str] | None = None) -> DataFrame:
     """Owner and quality together: ``url_valid, url_confidence, quality, url_issues``."""
     address = F.col(url) if isinstance(url, str) else url
     owner, quality = F.col("_o_confidence"), F.col("quality")
@@ -94,7 +96,7 @@ def validate_urls(df: DataFrame, url: str | Column, target: str | Column) -> Dat
             F.when(F.col("_bad"), "URL matches blocked pattern"),
         )
     )
-    staged = score_domains(check_owner(df, url, target, prefix="_o_"), url, target)
+    staged = score_domains(check_owner(df, url, target, prefix="_o_", suffixes=suffixes), url, target)
     return (
         computed(staged, _bad=ur.is_blocked_url(address))
         .withColumn("url_valid", F.col("_o_valid") & (quality >= 30) & ~F.col("_bad"))

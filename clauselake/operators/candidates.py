@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clauselake.functions import terms as tm
 from clauselake.functions import urls as ur
-from clauselake.operators.detection import matches_type
+from clauselake.operators.detection import matching_types
 from clauselake.operators.keyed import first_per_key, small_side, top_per_key
 from clauselake.operators.staging import computed
 from clauselake.values import domains as D
@@ -275,7 +275,8 @@ def merge_by_priority(layers: Sequence[DataFrame], keys: Sequence[str] = ("domai
 def validate_by_type(policies: DataFrame, bodies: DataFrame) -> DataFrame:
     """Keep policies that are certain or whose page body reads like their type.
 
-    ``policies``: url, type, source, level, model_score; ``bodies``: url, body, one row per url.
+    ``policies``: url, type, source, level, model_score; ``bodies``: url, body, one row per url. The
+    types a body reads like are found in its scan; bodies do not go through the join.
     """
     certain = (
         (F.col("source") == "special_domain")
@@ -284,8 +285,8 @@ def validate_by_type(policies: DataFrame, bodies: DataFrame) -> DataFrame:
     )
     checked = (
         policies.where(~certain)
-        .join(bodies, "url")
-        .where(matches_type(F.col("body"), F.col("type")))
+        .join(bodies.select("url", matching_types(F.col("body")).alias("_types")), "url")
+        .where(F.array_contains("_types", F.col("type")))
         .select(*policies.columns)
     )
     return policies.where(certain).unionByName(checked)

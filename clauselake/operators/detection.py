@@ -398,6 +398,13 @@ def matches_type(body: Column, policy_type: Column,
     return (F.length(body) >= 1000) & hit
 
 
+def matching_types(body: Column, keywords: Mapping[str, Sequence[str]] = V.TYPE_TERMS) -> Column:
+    """All policy types for which ``matches_type`` holds."""
+    low = F.lower(body)
+    types = F.array_compact(F.array(*[F.when(tm.any_term(low, w), F.lit(t)) for t, w in keywords.items()]))
+    return F.when(F.length(body) >= 1000, types).otherwise(F.array().cast("array<string>"))
+
+
 def extraction_gate(pages: DataFrame, url: str = "url", text: str = "text",
                     markdown: str | None = None,
                     terms: Sequence[str] = V.GATE_TEXT_TERMS) -> DataFrame:

@@ -208,12 +208,12 @@ def train_link_model(examples: DataFrame, layers: Sequence[int] = (24, 32, 16, 2
     return model, right.first()["a"]
 
 
-def feedback_examples(feedback: DataFrame, pages: DataFrame) -> DataFrame:
+def feedback_examples(feedback: DataFrame, pages: DataFrame, text_chars: int | None = None) -> DataFrame:
     """Training rows from feedback ``domain, correct_url, incorrect_url`` and crawled pages.
 
-    A right address gives target 1, a wrong one 0. The first 1 000 characters of the page stand
-    for the link text, as the features of these rows always did; the content features read the
-    whole page. Pages that were not crawled give rows without content.
+    A right address gives target 1, a wrong one 0. The page stands for the link text (its first
+    ``text_chars`` characters only, if given). Pages that were not crawled give rows without content;
+    of several with one address the one with the smallest hash counts.
     """
     named = feedback.select(
         "domain",
@@ -229,13 +229,14 @@ def feedback_examples(feedback: DataFrame, pages: DataFrame) -> DataFrame:
             )
         ),
     )
-    # Page features are made once per asked page, before the join with possibly many votes.
-    asked = pages.join(named.select("url").distinct(), "url", "left_semi")
-    content = computed(
-        asked.groupBy("url").agg(F.min("html").alias("html")),
-        _words=text_features(F.substring("html", 1, 1000)),
-        _page=page_features(F.col("html")),
-    ).drop("html")
+    # Page features are made in the scan, so that no page is shuffled.
+    head = F.col("html") if text_chars is None else F.substring("html", 1, text_chars)
+    content = (
+        computed(pages.select("url", "html"), _words=text_features(head), _page=page_features(F.col("html")),
+                 _hash=F.xxhash64("html"))
+        .groupBy("url").agg(F.min_by(F.struct("_words", "_page"), "_hash").alias("_c"))
+        .select("url", "_c.*")
+    )
     unread = text_features(F.lit(""))
     return spread_join(named, content, ["url"], "left").select(
         "domain", "url", "target",

@@ -4,7 +4,7 @@
   input partition to that number before the shuffle, so a hot key sends few rows.
 * ``with_previous`` looks at the row before within a key without putting a key into one task.
 * ``spread_join`` splits or salts the keys that hold a large share of the left side.
-* ``small_side`` broadcasts a table only after its row count was checked.
+* ``small_side`` broadcasts a table only after its rows and bytes were checked.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from clauselake.session import durable
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 16
 
 
@@ -31,13 +32,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return top_per_key(df, keys, order, 1, "_rank").drop("_rank")
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the table has at most ``max_rows`` rows, else leave it alone.
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the table has at most ``max_rows`` rows and ``max_bytes`` as text.
 
-    The count stops one row past the limit. Without the hint Spark joins by shuffle, and adaptive
+    The look stops one row past the limit. Without the hint Spark joins by shuffle, and adaptive
     execution may still broadcast on the measured size.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.length(F.to_json(F.struct(*df.columns)))
+    rows, held = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and held <= max_bytes else df
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.02,
@@ -91,17 +94,18 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     row per partition.
     """
     sort = [*keys, *order]
-    ranged = durable(
+    ranged = (
         df.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
         .withColumn("_part", F.spark_partition_id())
     )
     row = F.struct(*[F.col(c) for c in dict.fromkeys([*sort, *carry])])
-    inside = ranged.withColumn(
+    # Written after the comparison, so that later uses repeat neither shuffle nor sort.
+    inside = durable(ranged.withColumn(
         "_prev", F.lag(row).over(Window.partitionBy("_part").orderBy(*sort))
-    )
+    ))
     # One row per partition: the last row it holds, handed to the next partition that has rows.
-    ends = ranged.groupBy("_part").agg(F.max_by(row, F.struct(*sort)).alias("_end"))
+    ends = inside.groupBy("_part").agg(F.max_by(row, F.struct(*sort)).alias("_end"))
     handed = ends.withColumn(
         "_end", F.lag("_end").over(Window.orderBy("_part"))
     )

@@ -69,12 +69,12 @@ def link_words(link: Column) -> Column:
 
 def extract_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id", "url"),
                   terms: Sequence[str] = L.HOMEPAGE_TERMS, texts: Sequence[str] = L.LINK_TEXTS,
-                  patterns: Sequence[str] = L.PRIVACY_URL_PATTERNS, least: int = 3,
+                  patterns: Sequence[str] = L.PRIVACY_URL_PATTERNS, least: int | None = None,
                   only_privacy: bool = True) -> DataFrame:
     """One row per link with its context (footer, legal_hub, nav, body).
 
-    Body links count only on pages where fewer than ``least`` privacy links were found in the
-    other regions. ``only_privacy=False`` returns all links of all regions.
+    With ``least`` body links count only on pages where fewer privacy links than that were found in
+    the other regions. ``only_privacy=False`` returns all links of all regions.
     """
     visible = F.col("_visible")
 
@@ -106,10 +106,9 @@ def extract_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("
             | tm.any_pattern(href, patterns)
         )
 
-    chosen = F.when(
-        F.size("_hits") < least,
-        F.concat(F.col("_hits"), F.filter(_anchors(body, "body"), speaks)),
-    ).otherwise(F.col("_hits"))
+    chosen = F.concat(F.col("_hits"), F.filter(_anchors(body, "body"), speaks))
+    if least is not None:
+        chosen = F.when(F.size("_hits") < least, chosen).otherwise(F.col("_hits"))
     return computed(staged, _hits=F.filter("_marked", speaks)).select(*keep, F.inline(chosen))
 
 
@@ -290,7 +289,7 @@ def deep_link_confidence(score: Column, link_url: Column, from_hub: Column, dept
 
 
 def expand_links(starts: DataFrame, edges: DataFrame, max_depth: int = 2, follow: int = 60,
-                 accept: int = 70) -> DataFrame:
+                 accept: int = 70, suffixes: Sequence[str] | None = None) -> DataFrame:
     """Follow scored links from start addresses and return what looks like a policy.
 
     ``starts``  domain, url
@@ -315,7 +314,9 @@ def expand_links(starts: DataFrame, edges: DataFrame, max_depth: int = 2, follow
     visited = frontier.select("domain", F.col("_page").alias("_target"))
     found = []
     for depth in range(max_depth + 1):
-        stepped = check_owner(spread_join(frontier, hops, ["_page"]), "found_url", "domain")
+        stepped = check_owner(
+            spread_join(frontier, hops, ["_page"]), "found_url", "domain", suffixes=suffixes
+        )
         # Written once: the step is read for the results and for the next frontier.
         reached = durable(
             stepped.where("owner_valid").select(

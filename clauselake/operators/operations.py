@@ -123,11 +123,11 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 # --------------------------------------------------------------------------- sessions
 
 
-def log_sessions(logs: DataFrame, newest: int | None = 1000, init_phase: str = "request_init",
+def log_sessions(logs: DataFrame, newest: int | None = None, init_phase: str = "request_init",
                  input_path: str = "$.input") -> DataFrame:
-    """Sessions of the newest log entries: first and last time, input, distinct phases.
+    """Sessions of the log: first and last time, input, distinct phases.
 
-    ``logs``: session_id, phase, ts, data (JSON text). ``newest=None`` takes the whole log. The
+    ``logs``: session_id, phase, ts, data (JSON text). ``newest`` takes that many entries only. The
     log is first reduced to one row per session and phase, so a session's list is as long as the
     number of different phases.
     """

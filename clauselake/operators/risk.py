@@ -97,14 +97,15 @@ def breach_summary(breaches: DataFrame, as_of: Column, critical: Sequence[str] |
 
 def breach_check(breaches: DataFrame, as_of: Column, critical: Sequence[str] | None = None,
                  user: str = "user_id") -> DataFrame:
-    """Counts per user in the strict reading and the number of exposed classes."""
+    """Counts per user in the strict reading, and the exposed classes by name with their number."""
     counts = breach_counts(breaches, as_of, "check", critical, user)
     classes = exposed_classes(breaches, user).groupBy(user).agg(
-        F.count(F.lit(1)).alias("exposed_types")
+        F.count(F.lit(1)).alias("exposed_types"),
+        F.sort_array(F.collect_list("data_class")).alias("exposed_data"),
     )
     return counts.join(classes, user, "left").withColumn(
         "exposed_types", F.coalesce("exposed_types", F.lit(0))
-    )
+    ).withColumn("exposed_data", F.coalesce("exposed_data", F.array().cast("array<string>")))
 
 
 def breach_stats(users: DataFrame, breaches: DataFrame, as_of: Column,

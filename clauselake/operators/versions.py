@@ -136,48 +136,62 @@ def version_compare(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _side(pairs: DataFrame, texts: DataFrame, column: str, separator: str) -> DataFrame:
-    """Paragraphs of one side of the pairs: pair, position, text and hash of the compared form."""
-    wanted = pairs.select(F.col("id").alias("pair_id"), F.col(column).alias("_id"))
-    rows = texts.select(F.col("id").alias("_id"), "raw_text").join(wanted, "_id")
-    split = rows.select(
-        "pair_id", F.posexplode(tx.paragraphs(F.col("raw_text"), separator)).alias("pos", "paragraph")
+def _forms(texts: DataFrame, separator: str) -> DataFrame:
+    """Paragraphs of every version in the scan: version, position and hash of the compared form."""
+    split = texts.select(
+        F.col("id").alias("_id"),
+        F.posexplode(tx.paragraphs(F.col("raw_text"), separator)).alias("pos", "paragraph"),
+    )
+    return split.select(
+        "_id", "pos", F.sha2(F.lower(tx.trimmed(F.col("paragraph"))), 256).alias("_form")
     )
-    return computed(split, _form=F.sha2(F.lower(tx.trimmed(F.col("paragraph"))), 256))
+
+
+def _side(pairs: DataFrame, forms: DataFrame, column: str) -> DataFrame:
+    """The hashed paragraphs of one side of the pairs."""
+    wanted = pairs.select(F.col("id").alias("pair_id"), F.col(column).alias("_id"))
+    return forms.join(wanted, "_id")
 
 
 def paragraph_diff(pairs: DataFrame, texts: DataFrame, separator: str = r"\n\n+") -> DataFrame:
     """Added, removed and unchanged paragraphs of version pairs ``id, prev_id``.
 
     ``texts`` holds ``id, raw_text``. Paragraphs are compared trimmed and in lower case, by hash;
-    repeated paragraphs stay repeated on the output side. The compared side is made distinct
-    first, so no membership test multiplies rows.
+    repeated paragraphs stay repeated on the output side. Only hashes are compared; the paragraphs
+    of the result are fetched once, by version and position.
     """
     known = pairs.where(F.col("prev_id").isNotNull())
-    new, old = _side(known, texts, "id", separator), _side(known, texts, "prev_id", separator)
+    forms = _forms(texts, separator)
+    new, old = _side(known, forms, "id"), _side(known, forms, "prev_id")
     on = ["pair_id", "_form"]
     before = old.select(*on).distinct().withColumn("_known", F.lit(True))
     kept_or_new = new.join(before, on, "left").select(
-        "pair_id", F.when(F.col("_known"), "unchanged").otherwise("added").alias("status"), "pos",
-        "paragraph",
+        "pair_id", F.when(F.col("_known"), "unchanged").otherwise("added").alias("status"), "_id",
+        "pos",
     )
     gone = old.join(new.select(*on).distinct(), on, "left_anti").select(
-        "pair_id", F.lit("removed").alias("status"), "pos", "paragraph"
+        "pair_id", F.lit("removed").alias("status"), "_id", "pos"
+    )
+    said = texts.select(
+        F.col("id").alias("_id"),
+        F.posexplode(tx.paragraphs(F.col("raw_text"), separator)).alias("pos", "paragraph"),
+    )
+    return kept_or_new.unionByName(gone).join(said, ["_id", "pos"]).select(
+        "pair_id", "status", "pos", "paragraph"
     )
-    return kept_or_new.unionByName(gone)
 
 
 def paragraph_diff_counts(pairs: DataFrame, texts: DataFrame, separator: str = r"\n\n+"
                           ) -> DataFrame:
     """Numbers of added, removed and unchanged paragraphs per pair.
 
-    One shuffle of (pair, paragraph hash) with partial sums does it; no join is needed.
+    Hashes meet the pairs by version; one shuffle of (pair, hash) with partial sums does the rest.
     """
     known = pairs.where(F.col("prev_id").isNotNull())
+    forms = _forms(texts, separator)
 
     def marked(column: str, is_new: int) -> DataFrame:
-        side = _side(known, texts, column, separator)
-        return side.select("pair_id", "_form", F.lit(is_new).alias("_new"))
+        return _side(known, forms, column).select("pair_id", "_form", F.lit(is_new).alias("_new"))
 
     both = marked("id", 1).unionByName(marked("prev_id", 0))
     per_form = both.groupBy("pair_id", "_form").agg(
@@ -241,13 +255,17 @@ def analysis_set_diff(old: Column, new: Column) -> Column:
 def track(base: DataFrame, requests: DataFrame, checked_at: Column) -> DataFrame:
     """Start tracking (user, domain) pairs that are not tracked yet.
 
-    ``requests``: user_id, domain, policy_url, raw_text, score, threats.
+    ``requests``: user_id, domain, policy_url, score, threats and ``policy_hash`` (or ``raw_text``,
+    which is hashed here; hash it once per domain where many users ask for one).
     """
     from clauselake.operators.keyed import insert_if_absent
 
+    hashed = (
+        F.col("policy_hash") if "policy_hash" in requests.columns
+        else tx.content_hash(F.col("raw_text"), "normalized").alias("policy_hash")
+    )
     rows = requests.select(
-        "user_id", "domain", "policy_url",
-        tx.content_hash(F.col("raw_text"), "normalized").alias("policy_hash"),
+        "user_id", "domain", "policy_url", hashed,
         checked_at.alias("last_checked"), F.col("score").alias("last_score"),
         F.col("threats").alias("last_threats"), F.lit(False).alias("has_changes"),
         F.lit(None).cast("int").alias("previous_score"),

@@ -58,18 +58,25 @@ class Tables:
     def pages(self) -> DataFrame:
         return balanced(self.read("pages"), "page_id")
 
+    @property
+    def laid_pages(self) -> DataFrame:
+        """Pages whose menu stays one, or becomes a footer, a legal box or part of the body, in turn."""
+        html = F.col("html")
+        for i, (start, end) in enumerate(LAYOUTS):
+            moved = F.replace(F.replace("html", F.lit("<nav>"), F.lit(start)), F.lit("</nav>"), F.lit(end))
+            html = F.when(F.col("page_id") % len(LAYOUTS) == i, moved).otherwise(html)
+        return self.pages.withColumn("html", html)
+
     # -- bridge views
 
     @property
     def versions(self) -> DataFrame:
-        measured = computed(
-            self.documents, content_hash=tx.content_hash(F.col("text")),
-            word_count=tx.word_count(F.col("text")),
-        )
-        return measured.select(
+        # Plain columns: a query that does not use one of them never reads or works it out.
+        return self.documents.select(
             F.col("doc_id").alias("id"), F.col("source").alias("domain"),
-            F.col("lang").alias("policy_type"), F.col("text").alias("raw_text"), "content_hash",
-            "word_count",
+            F.col("lang").alias("policy_type"), F.col("text").alias("raw_text"),
+            tx.content_hash(F.col("text")).alias("content_hash"),
+            tx.word_count(F.col("text")).alias("word_count"),
             (1 + (F.col("doc_id") * 37) % 100).cast("int").alias("score"),
             F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("analyzed_at"),
         )
@@ -255,12 +262,13 @@ class Tables:
     @property
     def tracked(self) -> DataFrame:
         """Tracked domains of users, with the state of the first version of each source."""
-        first = self.read("documents").groupBy("source").agg(
-            F.min_by(F.struct("doc_id", "text"), "doc_id").alias("f")
+        # Texts are hashed in the scan, so that none is shuffled.
+        hashed = tx.content_hash(F.col("text"), "normalized").alias("hash")
+        first = self.documents.select("source", F.struct("doc_id", hashed).alias("d")).groupBy("source").agg(
+            F.min_by("d", "d.doc_id").alias("f")
         )
-        hashed = computed(first, policy_hash=tx.content_hash(F.col("f.text"), "normalized"))
-        base = hashed.select(
-            F.col("source"), "policy_hash",
+        base = first.select(
+            F.col("source"), F.col("f.hash").alias("policy_hash"),
             (1 + (F.col("f.doc_id") * 37) % 100).cast("int").alias("last_score"),
             (F.col("f.doc_id") % 4).cast("int").alias("last_threats"),
         )
@@ -276,14 +284,14 @@ class Tables:
     @property
     def snapshot(self) -> DataFrame:
         """Newest text of every source whose name ends in an even digit, others unchanged."""
-        last = self.read("documents").groupBy("source").agg(
-            F.max_by(F.struct("doc_id", "text"), "doc_id").alias("n"),
-            F.min_by(F.struct("doc_id", "text"), "doc_id").alias("f"),
+        hashed = tx.content_hash(F.col("text"), "normalized").alias("hash")
+        last = self.documents.select("source", F.struct("doc_id", hashed).alias("d")).groupBy("source").agg(
+            F.max_by("d", "d.doc_id").alias("n"), F.min_by("d", "d.doc_id").alias("f"),
         )
         pick = F.when(F.col("source").rlike("[02468]$"), F.col("n")).otherwise(F.col("f"))
         return last.select("source", pick.alias("v")).where("source <> 'src5'").select(
             F.col("source").alias("domain"),
-            tx.content_hash(F.col("v.text"), "normalized").alias("new_hash"),
+            F.col("v.hash").alias("new_hash"),
             (1 + (F.col("v.doc_id") * 37) % 100).cast("int").alias("new_score"),
             (F.col("v.doc_id") % 4).cast("int").alias("new_threats"),
             F.lit("2024-06-01 00:00:00").cast("timestamp").alias("checked_at"),
@@ -292,6 +300,9 @@ class Tables:
 
 # --------------------------------------------------------------------------- constants of the views
 
+LAYOUTS = (("<nav>", "</nav>"), ("<footer>", "</footer>"), ('<div class="legal-box">', "</div>"),
+           ("<section>", "</section>"))
+
 CATEGORIES = ("CONCERNING", "THREAT", "NOTABLE", "WARNING", "ATTENTION", "CAUTION", "STANDARD",
               "NORMAL", "POSITIVE", "GOOD", "EXCELLENT", "BRILLIANT")
 SAYINGS = ("vague words", "kept forever", "third parties track", "clear text", "unclear scope",
@@ -355,7 +366,8 @@ def trim_sql(expr: str) -> str:
 
 
 HASH = f"sha256({trim_sql('text')})"
-HASH_NORM = f"sha256({trim_sql(chr(114) + 'egexp_replace(lower(text), ' + q(chr(92) + 's+') + ', ' + q(' ') + ', ' + q('g') + ')')})"
+SPACED = r"regexp_replace(lower(text), '\s+', ' ', 'g')"
+HASH_NORM = f"sha256({trim_sql(SPACED)})"
 WORDS = r"CAST(len(regexp_extract_all(text, '\S+')) AS INT)"
 
 V_VERSIONS = f"""v_versions AS (SELECT doc_id AS id, source AS domain, lang AS policy_type, text AS raw_text,

@@ -135,7 +135,7 @@ def pdf_text(t):
 
 
 @query(rf"""SELECT doc_id, CAST(len(p) AS INT) AS hits, array_to_string(p, ',') AS positions FROM (
- SELECT doc_id, list_slice(list_filter(range(0, length(text) - 1), lambda i: substr(low, i + 1, 2) = 'en'), 1, 100) AS p
+ SELECT doc_id, list_filter(range(0, length(text) - 1), lambda i: substr(low, i + 1, 2) = 'en') AS p
  FROM (SELECT doc_id, text, lower(text) AS low FROM documents) x) d""")
 def find_all_positions(t):
     hits = tx.find_all(F.col("text"), "EN")
@@ -176,7 +176,7 @@ _TITLE = rf"""CASE WHEN regexp_matches(t, {q(tx.HEADING_MARKDOWN)}) THEN regexp_
   FROM few WHERE length(body) > 0 AND length(string_split(body, chr(10))[1]) < 80),
  u AS (SELECT * FROM found UNION ALL SELECT * FROM extra),
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) - 1 AS n FROM u)
-SELECT doc_id, CAST(n AS INT) AS n, CAST(pos AS INT) AS pos, title, CAST(level AS INT) AS level FROM r WHERE n < 20""")
+SELECT doc_id, CAST(n AS INT) AS n, CAST(pos AS INT) AS pos, title, CAST(level AS INT) AS level FROM r""")
 def extract_sections(t):
     return t.documents.select(
         "doc_id", F.posexplode(tx.sections(F.col("text"))).alias("n", "s")

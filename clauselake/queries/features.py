@@ -94,7 +94,7 @@ def link_features(t):
     """The content features of the page stand on the page row and are joined to its links."""
     pages = t.pages
     content = pages.select("page_id", fe.page_features(F.col("html")).alias("page"))
-    rows = li.extract_links(pages, only_privacy=False).join(content, "page_id")
+    rows = li.extract_links(t.laid_pages, only_privacy=False).join(content, "page_id")
     out = rows.select(
         "page_id", "context", "pos",
         fe.link_features(F.col("text"), F.col("href"), F.col("context"), F.col("url"), F.col("page")).alias("f"),
@@ -124,7 +124,7 @@ V_NINE = f"""v_nine AS (SELECT page_id, context, pos, {', '.join(f'{v} AS {k}' f
 
 
 def _nine(t):
-    return li.extract_links(t.pages, only_privacy=False).select(
+    return li.extract_links(t.laid_pages, only_privacy=False).select(
         "page_id", "context", "pos",
         fe.link_features9(F.col("text"), F.col("href"), F.col("context")).alias("features"),
     )
@@ -167,10 +167,10 @@ def score_links(t):
 @query()
 def train_link_model(t):
     """Rows only: a network fitted on all links, to tell footer links from others."""
-    links = li.extract_links(t.pages, only_privacy=False)
+    links = li.extract_links(t.laid_pages, only_privacy=False)
     rows = links.select(
         fe.link_features(F.col("text"), F.col("href"), F.lit("unknown"), F.col("url")).alias("features"),
-        (F.col("context") == "nav").cast("int").alias("target"),
+        (F.col("context") == "footer").cast("int").alias("target"),
     )
     model, accuracy = fe.train_link_model(rows, layers=(24, 8, 2), max_iter=30)
     return rows.groupBy("target").agg(F.count(F.lit(1)).alias("examples")).withColumn(
@@ -184,7 +184,7 @@ FEEDBACK = """f AS (SELECT user_id AS domain, event_id, (SELECT count(*) FROM pa
   UNION ALL SELECT 's' || f.domain || '.com', p.url, 0, html FROM f JOIN p ON page_id = (f.event_id + 1) % n WHERE event_type = 'error')"""
 
 
-@query(f"""WITH {FEEDBACK}, x AS (SELECT domain, url, target, trim(lower(substr(html, 1, 1000))) AS words, lower(url) AS u, url AS full_url, lower(html) AS low FROM e),
+@query(f"""WITH {FEEDBACK}, x AS (SELECT domain, url, target, trim(lower(html)) AS words, lower(url) AS u, url AS full_url, lower(html) AS low FROM e),
  y AS (SELECT domain, url, target, {', '.join(f'{v} AS {k}' for k, v in (link_sql('words', 'url', "'footer'", 'domain', PAGE_SQL)).items())} FROM x)
 SELECT url, target, count(*) AS examples, {', '.join(f'round(sum({k}), 4) AS {k}' for k in fe.FEATURE_NAMES)} FROM y GROUP BY 1, 2""")
 def feedback_examples(t):

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clauselake.functions import text as tx
 from clauselake.functions import urls as ur
 from clauselake.operators import candidates as ca
 from clauselake.operators import detection as de
 from clauselake.operators import links as li
 from clauselake.plans import flows
 from clauselake.queries.base import (
+    LAYOUTS,
     TYPES,
     V_CANDIDATES,
     any_found,
@@ -41,9 +43,13 @@ LINK_PATHS = ("/the", "/and", "/le", "/about", "/le")
 EXACT = ("the", "and", "le", "contact")
 WORDS = ("th", "un", "er")
 
-# The pages hold plain <footer> and <nav> blocks, so the SQL needs no other region form.
-V_LINKS = rf"""v_visible AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g') AS v FROM pages),
+# The pages hold plain <footer>, <nav> and legal blocks, so the SQL needs no other region form.
+MOVED = " ".join(
+    f"WHEN {i} THEN replace(replace(html, '<nav>', {q(start)}), '</nav>', {q(end)})" for i, (start, end) in enumerate(LAYOUTS))
+V_LINKS = rf"""v_pages AS (SELECT page_id, url, CASE page_id % {len(LAYOUTS)} {MOVED} END AS html FROM pages),
+v_visible AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g') AS v FROM v_pages),
 v_regions AS (SELECT page_id, url, 'footer' AS context, 0 AS ctx, array_to_string(regexp_extract_all(v, '(?is)<footer\b[^>]*>.*?</footer\s*>'), chr(10)) AS r FROM v_visible
+ UNION ALL SELECT page_id, url, 'legal_hub', 1, array_to_string(regexp_extract_all(v, '(?is)<div class="legal-box">.*?</div\s*>'), chr(10)) FROM v_visible
  UNION ALL SELECT page_id, url, 'nav', 2, array_to_string(regexp_extract_all(v, '(?is)<nav\b[^>]*>.*?</nav\s*>'), chr(10)) FROM v_visible
  UNION ALL SELECT page_id, url, 'body', 3, regexp_replace(regexp_replace(v, '(?is)<footer\b[^>]*>.*?</footer\s*>', ' ', 'g'), '(?is)<nav\b[^>]*>.*?</nav\s*>', ' ', 'g') FROM v_visible),
 v_anchors AS (SELECT page_id, url, context, ctx, unnest(regexp_extract_all(r, {q(li.ANCHOR)})) AS a, generate_subscripts(regexp_extract_all(r, {q(li.ANCHOR)}), 1) - 1 AS pos FROM v_regions),
@@ -69,8 +75,8 @@ def resolve_sql(href: str, base: str) -> str:
 
 def _links(t, only_privacy: bool = True):
     return li.extract_links(
-        t.pages, terms=LINK_WORDS, texts=LINK_TEXTS, patterns=LINK_PATTERNS,
-        only_privacy=only_privacy,
+        t.laid_pages, terms=LINK_WORDS, texts=LINK_TEXTS, patterns=LINK_PATTERNS,
+        only_privacy=only_privacy, least=3,
     )
 
 
@@ -98,7 +104,7 @@ def resolved_links(t):
  WHERE ({any_found('lower(text)', LINK_TEXTS + WORDS)} OR {' OR '.join(matches('href', p) for p in LINK_PATTERNS)}) AND NOT regexp_matches(href, '^(mailto:|javascript:|#)')
  GROUP BY ALL""")
 def footer_links(t):
-    rows = li.extract_footer_links(t.pages).withColumn("domain", ur.url_host(F.col("url")))
+    rows = li.extract_footer_links(t.laid_pages).withColumn("domain", ur.url_host(F.col("url")))
     return li.footer_privacy_links(rows, texts=LINK_TEXTS, patterns=LINK_PATTERNS, words=WORDS).select(
         "page_id", "link_url"
     )
@@ -385,14 +391,14 @@ def validate_by_type(t):
 
 @query(r"""SELECT query, target, round((contains(b, 'privacy')::INT * 10 + contains(b, 'policy')::INT * 5 + contains(b, 'notice')::INT * 5 - contains(b, 'help')::INT * 5
  - contains(b, 'support')::INT * 5 - contains(b, 'community')::INT * 10 - length(target) * 0.05::DOUBLE), 6) AS score FROM (
- SELECT page_id % 20 AS query, url AS target, lower(url || substr(html, 1, 200)) AS b FROM pages) r WHERE NOT contains(lower(target), 'login') AND NOT contains(lower(target), 'signup')""")
+ SELECT page_id % 20 AS query, url AS target, lower(url || coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), 'Privacy Policy')) AS b FROM pages) r WHERE NOT contains(lower(target), 'login') AND NOT contains(lower(target), 'signup')""")
 def rerank_search_results(t):
     rows = t.pages.select(
         (F.col("page_id") % 20).alias("query"),
         F.when(F.col("page_id") % 3 == 0, F.concat(
             F.lit("https://s.example.com/l/?kh=-1&uddg="), F.url_encode("url"), F.lit("&x=1")))
         .otherwise(F.col("url")).alias("url"),
-        F.substring("html", 1, 200).alias("title"),
+        tx.html_title(F.col("html")).alias("title"),
     )
     return ca.rerank_search_results(rows).select("query", "target", F.round("score", 6).alias("score"))
 
@@ -474,9 +480,8 @@ def sitemap_urls(t):
 
 
 @query(f"""WITH d AS (SELECT DISTINCT {HOST.format('url')} AS domain FROM pages),
- l AS (SELECT {HOST.format('url')} AS domain, page_id, 'https://' || {HOST.format('url')} || '/m' || page_id || '.xml' AS sitemap_url FROM pages WHERE page_id % 2 = 0),
- k AS (SELECT domain, sitemap_url FROM l QUALIFY row_number() OVER (PARTITION BY domain ORDER BY sitemap_url) <= 3)
-SELECT * FROM k UNION ALL SELECT domain, 'https://' || domain || '/sitemap.xml' FROM d WHERE domain NOT IN (SELECT domain FROM l)""")
+ l AS (SELECT {HOST.format('url')} AS domain, page_id, 'https://' || {HOST.format('url')} || '/m' || page_id || '.xml' AS sitemap_url FROM pages WHERE page_id % 2 = 0)
+SELECT domain, sitemap_url FROM l UNION ALL SELECT domain, 'https://' || domain || '/sitemap.xml' FROM d WHERE domain NOT IN (SELECT domain FROM l)""")
 def sitemap_sources_of_domains(t):
     host = ur.url_host(F.col("url"))
     robots = t.pages.where("page_id % 2 = 0").select(

@@ -121,10 +121,12 @@ def breach_summary(t):
 
 
 @query(with_views(V_BREACHES, V_CLASSES) + f""", a AS (SELECT user_id, count(*) AS total, count_if({HIT} AND is_verified AND NOT is_retired) AS critical,
-  count_if(CAST(breach_date AS DATE) > DATE '2023-01-01' AND is_verified) AS recent FROM v_breaches GROUP BY 1), c AS (SELECT user_id, count(*) AS exposed_types FROM v_classes GROUP BY 1)
-SELECT a.user_id, total, critical, recent, exposed_types FROM a JOIN c ON a.user_id = c.user_id""")
+  count_if(CAST(breach_date AS DATE) > DATE '2023-01-01' AND is_verified) AS recent FROM v_breaches GROUP BY 1), c AS (SELECT user_id, count(*) AS exposed_types, string_agg(data_class, '|' ORDER BY data_class) AS exposed_data FROM v_classes GROUP BY 1)
+SELECT a.user_id, total, critical, recent, exposed_types, exposed_data FROM a JOIN c ON a.user_id = c.user_id""")
 def breach_check(t):
-    return ri.breach_check(t.breaches, _as_of(), CRITICAL)
+    return ri.breach_check(t.breaches, _as_of(), CRITICAL).withColumn(
+        "exposed_data", F.array_join("exposed_data", "|")
+    )
 
 
 @query(with_views(V_BREACHES, V_CLASSES) + f""", a AS (SELECT user_id, count(*) AS total, count_if({HIT} AND is_verified) AS critical, count_if(CAST(breach_date AS DATE) > DATE '2023-01-01') AS recent FROM v_breaches GROUP BY 1),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clauselake.functions import text as tx
 from clauselake.operators import changelog as cl
 from clauselake.operators import keyed as ke
 from clauselake.operators import versions as ve
@@ -303,15 +304,15 @@ def track_policies(t):
         "last_checked", "last_score", "last_threats", F.lit(False).alias("has_changes"),
         F.lit(None).cast("int").alias("previous_score"), F.lit(None).cast("int").alias("previous_threats"),
     )
-    last = t.read("documents").groupBy(F.col("source").alias("domain")).agg(
-        F.max_by("text", "doc_id").alias("raw_text")
-    )
+    hashed = t.documents.select(
+        F.col("source").alias("domain"), "doc_id", tx.content_hash(F.col("text"), "normalized").alias("h"))
+    last = hashed.groupBy("domain").agg(F.max_by("h", "doc_id").alias("policy_hash"))
     users = t.read("customer").select(
         F.col("c_custkey").alias("user_id"),
         F.concat(F.lit("src"), (F.col("c_custkey") % 23).cast("string")).alias("domain"),
     )
     requests = users.join(last, "domain").select(
-        "user_id", "domain", "raw_text", F.lit("https://x").alias("policy_url"),
+        "user_id", "domain", "policy_hash", F.lit("https://x").alias("policy_url"),
         F.lit(1).alias("score"), F.lit(0).alias("threats"),
     )
     out = ve.track(base, requests, F.lit("2024-02-01").cast("timestamp"))

@@ -117,12 +117,12 @@ def sitemap_lines(robots: DataFrame, url: str = "url", body: str = "body") -> Da
     return robots.select(url, F.posexplode(found).alias("pos", "sitemap_url"))
 
 
-def sitemap_sources(domains: DataFrame, robots_lines: DataFrame, limit: int = 3) -> DataFrame:
-    """Sitemaps per domain: the first ``limit`` robots lines, else ``/sitemap.xml``."""
+def sitemap_sources(domains: DataFrame, robots_lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sitemaps per domain: the robots lines (the first ``limit`` if given), else ``/sitemap.xml``."""
     named = robots_lines.withColumn("domain", url_host(F.col("url")))
-    listed = top_per_key(named, ["domain"], [F.col("pos"), F.col("sitemap_url")], limit).select(
-        "domain", "sitemap_url"
-    )
+    if limit is not None:
+        named = top_per_key(named, ["domain"], [F.col("pos"), F.col("sitemap_url")], limit)
+    listed = named.select("domain", "sitemap_url")
     missing = domains.select("domain").distinct().join(listed, "domain", "left_anti")
     return listed.join(domains.select("domain").distinct(), "domain", "left_semi").unionByName(
         missing.withColumn(
@@ -132,9 +132,9 @@ def sitemap_sources(domains: DataFrame, robots_lines: DataFrame, limit: int = 3)
 
 
 def read_sitemap_urls(sitemaps: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
-    """All addresses of url sets, and those of the first child of index files.
+    """All addresses of url sets, and those of all children of index files.
 
-    Result: sitemap_url, loc. Children are looked up in the same table.
+    Result: sitemap_url, loc. Children are looked up in the same table, once per index that names them.
     """
     xml = F.col(body)
     locs = F.regexp_extract_all(
@@ -143,7 +143,7 @@ def read_sitemap_urls(sitemaps: DataFrame, url: str = "url", body: str = "body")
     is_index = F.rlike(xml, F.lit(r"(?i)<sitemapindex[\s>]"))
     plain = sitemaps.where(~is_index).select(F.col(url).alias("sitemap_url"), locs.alias("_locs"))
     children = sitemaps.where(is_index).select(
-        F.col(url).alias("parent"), F.try_element_at(locs, F.lit(1)).alias("sitemap_url")
+        F.col(url).alias("parent"), F.explode(F.array_distinct(locs)).alias("sitemap_url")
     )
     of_children = plain.join(children, "sitemap_url").select(
         F.col("parent").alias("sitemap_url"), "_locs"

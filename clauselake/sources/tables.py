@@ -26,10 +26,10 @@ def read_jdbc_table(spark: SparkSession, url: str, table: str, key: str, low: in
 def balanced(df: DataFrame, key: str) -> DataFrame:
     """Spread a table of few files over the cores before heavy per-row text work.
 
-    A file is one task at least, however heavy its rows. Tables with as many files as cores are
-    returned as they are, so large tables are never shuffled here.
+    A table that is scanned in as many tasks as there are cores is returned as it is; what is shuffled
+    is less than one task's input (``spark.sql.files.maxPartitionBytes``) for each core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores * 2, F.col(key))

@@ -74,6 +74,12 @@ def test_owner(spark):
          ("https://facebook.com/privacy", "meta.com"), ("https://b.com", "a.com"), ("nonsense", "a.com")], "u string, d string")
     got = [(r.owner_confidence, r.owner_valid) for r in ad.check_owner(df, "u", "d").collect()]
     assert got == [(100, True), (95, True), (90, True), (0, False), (0, False), (0, False)]
+    pairs = [("https://evil.co.th/privacy", "bank.co.th"), ("https://a.com.my", "b.com.my"), ("https://x.bank.co.th", "bank.co.th"),
+             ("https://a.github.io", "b.github.io")]
+    df = spark.createDataFrame(pairs, "u string, d string")
+    assert [r.owner_confidence for r in ad.check_owner(df, "u", "d").collect()] == [0, 0, 95, 95]
+    listed = ad.check_owner(df, "u", "d", suffixes=("co.th", "com.my", "github.io")).collect()
+    assert [r.owner_confidence for r in listed] == [0, 0, 95, 0]
     assert owners(spark, [("https://a.com/privacy", "a.com"), ("https://a.com/profile/1", "a.com"), ("https://b.com/x", "a.com")]) == [
         (True, 100, 0), (True, 80, 0), (False, 0, 1)]
 
@@ -88,7 +94,7 @@ def pages(spark, html=PAGE, url="https://a.com/"):
 
 
 def test_extract_by_context(spark):
-    got = {(r.context, r.href, r.text) for r in li.extract_links(pages(spark)).collect()}
+    got = {(r.context, r.href, r.text) for r in li.extract_links(pages(spark), least=3).collect()}
     assert got == {("footer", "/privacy", "Privacy Policy"), ("footer", "mailto:privacy@a", "privacy"),
                    ("legal_hub", "/terms", "T"), ("nav", "/cookies-info", "Cookies")}
     every = {(r.context, r.href) for r in li.extract_links(pages(spark), only_privacy=False).collect()}
@@ -99,12 +105,13 @@ def test_extract_by_context(spark):
 def test_body_gate(spark):
     few = "<body><p><a href='/privacy'>x</a></p><footer><a href='/p1'>privacy</a></footer></body>"
     many = "<body><p><a href='/privacy'>x</a></p><footer>" + "".join(f"<a href='/p{i}'>privacy</a>" for i in range(3)) + "</footer></body>"
-    assert {r.context for r in li.extract_links(pages(spark, few)).collect()} == {"footer", "body"}
-    assert {r.context for r in li.extract_links(pages(spark, many)).collect()} == {"footer"}
+    assert {r.context for r in li.extract_links(pages(spark, few), least=3).collect()} == {"footer", "body"}
+    assert {r.context for r in li.extract_links(pages(spark, many), least=3).collect()} == {"footer"}
+    assert {r.context for r in li.extract_links(pages(spark, many)).collect()} == {"footer", "body"}
 
 
 def test_homepage_confidence(spark):
-    rows = li.dedupe_links_first(li.score_homepage_links(li.extract_links(pages(spark)))).withColumn("domain", F.lit("a.com"))
+    rows = li.dedupe_links_first(li.score_homepage_links(li.extract_links(pages(spark), least=3))).withColumn("domain", F.lit("a.com"))
     got = {r.link_url: (r.score, r.confidence) for r in li.homepage_confidence(rows).collect()}
     assert got["https://a.com/privacy"][1] == 98 and got["https://a.com/privacy"][0] == 100 + 100 + 25 + 20
     assert li.homepage_confidence(rows.withColumn("m", F.lit(0.0)), model_score="m").count() == len(got)
@@ -228,13 +235,15 @@ def test_paths(spark):
 def test_sitemaps(spark):
     maps = spark.createDataFrame(
         [("https://a.com/sitemap.xml", "<sitemapindex><sitemap><loc>https://a.com/s1.xml</loc></sitemap><sitemap><loc>https://a.com/s2.xml</loc></sitemap></sitemapindex>"),
-         ("https://a.com/s1.xml", "<urlset><url><loc>https://a.com/privacy</loc></url><url><loc><![CDATA[https://a.com/x]]></loc></url></urlset>")],
+         ("https://a.com/s1.xml", "<urlset><url><loc>https://a.com/privacy</loc></url><url><loc><![CDATA[https://a.com/x]]></loc></url></urlset>"),
+         ("https://a.com/s2.xml", "<urlset><url><loc>https://a.com/y</loc></url></urlset>")],
         "url string, body string")
     got = {tuple(r) for r in read_sitemap_urls(maps).collect()}
-    assert got == {(m, u) for m in ("https://a.com/sitemap.xml", "https://a.com/s1.xml") for u in ("https://a.com/privacy", "https://a.com/x")}
+    assert got == {(m, u) for m in ("https://a.com/sitemap.xml", "https://a.com/s1.xml") for u in ("https://a.com/privacy", "https://a.com/x")} | {
+        (m, "https://a.com/y") for m in ("https://a.com/sitemap.xml", "https://a.com/s2.xml")}
     robots = spark.createDataFrame([("https://a.com/robots.txt", "User-agent: *\nsitemap: s1\nSitemap:s2\nSITEMAP: s3\nSitemap: s4")], "url string, body string")
     domains = spark.createDataFrame([("a.com",), ("b.com",)], "domain string")
-    assert {tuple(r) for r in sitemap_sources(domains, sitemap_lines(robots)).collect()} == {
+    assert {tuple(r) for r in sitemap_sources(domains, sitemap_lines(robots), 3).collect()} == {
         ("a.com", "s1"), ("a.com", "s2"), ("a.com", "s3"), ("b.com", "https://b.com/sitemap.xml")}
 
 

@@ -233,7 +233,7 @@ def test_breaches(spark):
     s = ri.breach_summary(b, at).first()
     assert (s.total, s.critical, s.recent, s.exposed_data) == (4, 3, 2, ["Passwords", "Email", "Credit cards"])
     c = ri.breach_check(b, at).first()
-    assert (c.critical, c.recent, c.exposed_types) == (1, 1, 3)
+    assert (c.critical, c.recent, c.exposed_types, c.exposed_data) == (1, 1, 3, ["Credit cards", "Email", "Passwords"])
     users = spark.createDataFrame([("u",), ("v",)], "user_id string")
     st = {r.user_id: r for r in ri.breach_stats(users, b, at).collect()}
     assert (st["u"].critical, st["u"].risk_level, st["u"].top_exposed_data) == (2, "HIGH", ["Email", "Passwords", "Credit cards"])

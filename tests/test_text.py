@@ -119,6 +119,8 @@ def test_find_all_overlaps(spark):
     assert one(spark, "aAaa b", lambda c: tx.find_all(c, "aa")) == [0, 1, 2]
     assert one(spark, "a" * 300, lambda c: tx.find_all(c, "a", 100)) == list(range(100))
     assert one(spark, "xyz", lambda c: tx.find_all(c, "q")) == []
+    assert one(spark, "a" * 3000, lambda c: tx.find_all(c, "a")) == list(range(3000))
+    assert one(spark, "b.a.a", lambda c: tx.find_all(c, ".A")) == [1, 3] and one(spark, "", lambda c: tx.find_all(c, "a")) == []
 
 
 def test_pdf_text(spark):
