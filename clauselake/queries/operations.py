@@ -151,9 +151,12 @@ def request_spacing(t):
     return op.request_spacing(_requests(t), 60000).drop("ts")
 
 
-@query(with_views(V_LOGS) + f""", g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '6 hours' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS brk FROM v_logs WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)),
+SESSIONS = f""", g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '6 hours' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS brk FROM v_logs WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)),
  s AS (SELECT *, sum(brk) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS sid FROM g)
-SELECT session_id, {STAMP.format('min(ts)')} AS start_time, {STAMP.format("max(ts) + INTERVAL '6 hours'")} AS end_time, count(*) AS entries, CAST(count_if(category = 'network') AS BIGINT) AS http_requests, CAST(count_if(level = 'error') AS BIGINT) AS errors FROM s GROUP BY session_id, sid""")
+SELECT session_id, {STAMP.format('min(ts)')} AS start_time, {STAMP.format("max(ts) + INTERVAL '6 hours'")} AS end_time, count(*) AS entries, CAST(count_if(category = 'network') AS BIGINT) AS http_requests, CAST(count_if(level = 'error') AS BIGINT) AS errors FROM s GROUP BY session_id, sid"""
+
+
+@query(with_views(V_LOGS) + SESSIONS)
 def windowed_log_sessions(t):
     rows = jobs.stream_log_sessions(t.logs, "6 hours")
     return rows.withColumn("start_time", _stamp("start_time")).withColumn("end_time", _stamp("end_time"))
@@ -209,22 +212,25 @@ def batched_policy_changes(t):
     return out.withColumn("analyzed_at", _stamp("analyzed_at"))
 
 
-@query()
+@query(with_views(V_REQUESTS) + f"""SELECT host, {STAMP.format('w')} AS window_start, count(*) AS requests FROM (SELECT host, time_bucket(INTERVAL '30 minutes', ts) AS w FROM v_requests) x
+ WHERE w + INTERVAL '30 minutes' <= (SELECT max(ts) FROM v_requests) - INTERVAL '1 minute' GROUP BY host, w HAVING count(*) > 3""")
 def stream_request_bursts(t):
-    """Rows only: windows still open when the files end are not written in append mode."""
+    """Windows that ended before the watermark; open ones are written when later files close them."""
     e = _stream(t, "events")
     rows = e.select(F.col("event_type").alias("host"), "ts", F.col("event_id").alias("id"))
-    return _run(t, jobs.stream_request_bursts(rows, "30 minutes", 3))
+    out = _run(t, jobs.stream_request_bursts(rows, "30 minutes", 3))
+    return out.withColumn("window_start", _stamp("window_start"))
 
 
-@query()
+@query(with_views(V_LOGS) + SESSIONS + " HAVING max(ts) + INTERVAL '6 hours' <= (SELECT max(ts) FROM v_logs) - INTERVAL '1 hour'")
 def stream_log_sessions(t):
-    """Rows only: sessions still open when the files end are not written in append mode."""
+    """Sessions that ended before the watermark; open ones are written when later files close them."""
     rows = _stream(t, "events").select(
         F.col("user_id").alias("session_id"), "ts",
         F.when(F.col("event_type") == "view", "network").otherwise("system").alias("category"),
         F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level"),
     )
-    return _run(t, jobs.stream_log_sessions(rows, "6 hours"))
+    out = _run(t, jobs.stream_log_sessions(rows, "6 hours"))
+    return out.withColumn("start_time", _stamp("start_time")).withColumn("end_time", _stamp("end_time"))
 
 

@@ -27,31 +27,27 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     and dropped.
     """
     rows = pd.concat(list(batches), ignore_index=True).sort_values(["analyzed_at", "content_hash"])
-    known = state.exists
-    old_hash, old_score, last = state.get if known else (None, None, None)
-    last = pd.Timestamp(last) if last is not None else None
-    out = []
-    for r in rows.itertuples(index=False):
-        at = pd.Timestamp(r.analyzed_at)
-        if last is not None and at <= last:
-            continue
-        score = None if pd.isna(r.score) else int(r.score)
-        if known and (r.content_hash != old_hash or score != old_score):
-            out.append(
-                (key[0], key[1], at, old_score, score,
-                 "score_changed" if score != old_score else "content_changed")
-            )
-        known, old_hash, old_score, last = True, r.content_hash, score, at
+    old_hash, old_score, last = state.get if state.exists else (None, None, None)
     if last is not None:
-        state.update((old_hash, old_score, last.to_pydatetime()))
-    if not out:
+        rows = rows[rows["analyzed_at"] > pd.Timestamp(last)]
+    rows = rows.drop_duplicates("analyzed_at")
+    if rows.empty:
         return
-    columns = ["domain", "policy_type", "analyzed_at", "old_score", "new_score", "change_type"]
-    frame = pd.DataFrame(out, columns=columns)
-    frame["old_score"] = frame["old_score"].astype("Int32")
-    frame["new_score"] = frame["new_score"].astype("Int32")
-    frame["analyzed_at"] = pd.to_datetime(frame["analyzed_at"])
-    yield frame
+    score = rows["score"].astype("Int32")
+    before_hash, before = rows["content_hash"].shift(), score.shift()
+    known = pd.Series(True, rows.index)
+    before_hash.iloc[0], before.iloc[0], known.iloc[0] = old_hash, old_score, last is not None
+    moved_score = (score != before).fillna(True) & ~(score.isna() & before.isna())
+    moved = known & (moved_score | (rows["content_hash"] != before_hash))
+    newest = rows.iloc[-1]
+    state.update((newest["content_hash"], None if pd.isna(newest["score"]) else int(newest["score"]),
+                  pd.Timestamp(newest["analyzed_at"]).to_pydatetime()))
+    if moved.any():
+        yield pd.DataFrame({
+            "domain": key[0], "policy_type": key[1], "analyzed_at": pd.to_datetime(rows["analyzed_at"]),
+            "old_score": before, "new_score": score,
+            "change_type": moved_score.map({True: "score_changed", False: "content_changed"}),
+        })[moved]
 
 
 def stream_policy_changes(snapshots: DataFrame) -> DataFrame:
