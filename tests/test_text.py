@@ -112,7 +112,8 @@ def test_sections(spark):
     few = one(spark, "some text without any heading.\n\nsecond", tx.sections)
     assert [s.title for s in few] == ["some text without any heading."]
     many = "\n".join(f"Title {'x' * i}".title() for i in range(2, 40))
-    assert len(one(spark, many, tx.sections)) == 20
+    assert len(one(spark, many, tx.sections)) == 38
+    assert len(one(spark, many, lambda c: tx.sections(c, 20))) == 20
 
 
 def test_find_all_overlaps(spark):
