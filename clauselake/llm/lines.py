@@ -85,15 +85,16 @@ def templates(lines: DataFrame, min_docs: int = 2, short_docs: int = 10, least:
     return alone.union(merged.select("line", "template").join(whole, "template").select("line", "first"))
 
 
-def drop_recurring_lines(docs: DataFrame, keep_first: bool = True, min_docs: int = 2, short_docs: int = 10) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, keep_first: bool = True, min_docs: int = 2, short_docs: int = 10,
+                         into: tuple[str, str] = ("lines_cut", "lines_kept")) -> DataFrame:
     """All rows and columns of ``docs (doc_id, text, ...)``, with recurring template lines cut from ``text``.
 
-    The columns ``lines_cut`` and ``lines_kept`` are added (``n_chars`` is set anew where it exists).
+    Two columns are added, the numbers of lines cut and kept (``n_chars`` is set anew where it exists).
     The first line of each template stays (by ``doc_id``, then place) unless ``keep_first`` is false.
     Rows are documents: repeated rows (same id and text) are one document and are cut alike. Null and
     empty texts stay as they are; a null ``doc_id`` is an id like any other and comes first. Lines of
-    white space only are never cut. Other columns pass through, whatever their names (but for the
-    two added, which are replaced). An empty table gives an empty one.
+    white space only are never cut. Other columns pass through, whatever their names (``into`` names
+    the two added; others of these names are replaced). An empty table gives an empty one.
     """
     lines = durable(parsed(docs))
     found = templates(lines, min_docs, short_docs)
@@ -103,12 +104,12 @@ def drop_recurring_lines(docs: DataFrame, keep_first: bool = True, min_docs: int
     cut = cut.groupBy("row").agg(F.collect_set("at").alias("__line_cut")).withColumnRenamed("row", "__line_row")
     whole = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col("__line_cut"))
-    joined = _row(docs.drop("lines_cut", "lines_kept")).join(cut, "__line_row", "left").select("*", F.inline(F.array(F.struct(
+    joined = _row(docs.drop(*into)).join(cut, "__line_row", "left").select("*", F.inline(F.array(F.struct(
         whole.alias("__line_all"), F.when(F.col("__line_cut").isNotNull(), kept).alias("__line_kept")))))
     text = F.when(F.col("__line_cut").isNull(), F.col("text")).otherwise(F.array_join(
         F.transform("__line_kept", lambda i: F.element_at("__line_all", i + 1)), "\n"))
-    out = joined.withColumn("text", text).withColumn("lines_cut", F.coalesce(F.size("__line_cut"), F.lit(0))) \
-        .withColumn("lines_kept", F.coalesce(F.size("__line_kept"), F.size("__line_all"), F.lit(0)))
+    out = joined.withColumn("text", text).withColumn(into[0], F.coalesce(F.size("__line_cut"), F.lit(0))) \
+        .withColumn(into[1], F.coalesce(F.size("__line_kept"), F.size("__line_all"), F.lit(0)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out.drop("__line_row", "__line_cut", "__line_all", "__line_kept")

@@ -118,16 +118,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", skip=None, w
     return Model(kernel, solve([0, 1]), *isotonic(seen.p.to_numpy(), seen.y.to_numpy(float)))
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+def scored(docs: DataFrame, model: Model, threshold: float = 0.7, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs (doc_id, text, ...)`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` up).
 
     Scores come from the whole text alone; null counts as empty. All rows and columns stay, repeated
-    rows score alike, an empty table gives an empty one; columns named like the two are replaced.
+    rows score alike, an empty table gives an empty one. ``into`` names the two new columns; others of
+    these names are replaced.
     """
     keep_small(docs.sparkSession)
-    kept = docs.drop("score", "predicted")
+    kept = docs.drop(*into)
     at = kept.columns.index("text")
-    out = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+    out = T.StructType([*kept.schema.fields, T.StructField(into[0], T.DoubleType())])
     names = out.names
 
     def run(batches):
@@ -136,7 +137,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             x = np.array([features(t, *bag(t)) for t in found]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names)
 
-    return kept.mapInArrow(run, out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return kept.mapInArrow(run, out).withColumn(into[1], (F.col(into[0]) >= threshold).cast("int"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 4, rest: int = 2, threshold: float = 0.7) -> DataFrame:

@@ -14,23 +14,24 @@ from clauselake.llm.common import held_out, shared_folder, table
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier accepts; the held-out labels of its query teach it nothing here either."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), skip=held_out(F.col("doc_id"), 4, 2))
-    return quality.scored(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.scored(docs, model, into=("__score", "__good")).where("__good = 1").select(*docs.columns)
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; lines of a recurring template stay in its first document only."""
-    return lines.drop_recurring_lines(docs).select(*docs.columns)
+    return lines.drop_recurring_lines(docs, into=("__cut", "__left")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; a null id stays."""
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id or doc_id is null") \
-        .select("doc_id").distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi").select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates, once; rows without id stay."""
+    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    # Both steps use the same partitioning by id.
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows without id can't be told apart and stay."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 

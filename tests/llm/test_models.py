@@ -179,3 +179,9 @@ def test_pipeline_stages_take_odd_rows(spark):
     for rows in (docs, docs.limit(0)):
         for _, stage in p.STAGES:
             stage(spark, rows, SMALL).collect()
+    assert p.one_of_each_group(spark, docs, SMALL).count() == 3
+    clash = docs.select("*", *[F.lit(7).alias(c) for c in ("score", "predicted", "lines_cut", "fp", "component_id", "item_id", "key", "_row")])
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, clash, SMALL)
+        assert out.columns == clash.columns and {(r.score, r.predicted, r.lines_cut, r.fp) for r in out.collect()} <= {(7, 7, 7, 7)}
+    assert p.to_target_weights(spark, clash, SMALL).count() == 4
