@@ -29,9 +29,12 @@ SIDE = frozenset("head nav footer aside form button select dialog menu input lab
 SIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent "
     "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar sidebars side "
-    "menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar pagination pager comment "
+    "menu menus nav navbar navigation breadcrumb breadcrumbs header footer masthead topbar toolbar pagination pager comment "
     "comments commentlist disqus respond reply replies share sharing social related recommended recommendations widget "
     "widgets hidden".split())
+#: Class names with one of these parts tell how the page is laid out, as in has-sidebar or menu-open.
+LAYOUT_WORDS = frozenset("has with without no js layout open opened closed enabled disabled".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
                   r"|<[!?][^>]*>", re.S)
@@ -39,9 +42,12 @@ _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def beside(tag: str, attributes: str) -> bool:
-    """True for menus, notices, adverts, forms, comments and what else stands beside the article."""
-    if tag in SIDE:
+def beside(tag: str, attributes: str, inside: bool = False, named: bool = True) -> bool:
+    """True for menus, notices, adverts, forms, comments and what else stands beside the article.
+
+    ``inside`` an article a header is part of it; without ``named`` class names and ids don't count.
+    """
+    if tag in SIDE or tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
@@ -53,15 +59,20 @@ def beside(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and not SIDE_WORDS.isdisjoint(p.lower() for p in _PARTS.findall(value)):
-            return True
+        for word in value.split() if named and name in ("class", "id") else ():
+            parts = {p.lower() for p in _PARTS.findall(word)}
+            if inside or tag in HEADINGS:
+                parts.discard("header")
+            if parts & SIDE_WORDS and not parts & LAYOUT_WORDS:
+                return True
     return False
 
 
 class Page:
     """Nodes in page order, with their parents, and the pieces of text between the tags."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, named: bool = True):
+        self.named = named
         self.tag, self.up, self.out = ["html"], [-1], [False]
         self.pieces: list[tuple[int, str, int]] = []
         self.blocks = 0
@@ -126,7 +137,7 @@ class Page:
         inside = any(self.tag[i] in ("article", "main") for i in stack)
         self.tag.append(tag)
         self.up.append(up)
-        self.out.append(self.out[up] or beside(tag, attributes) or tag == "header" and not inside)
+        self.out.append(self.out[up] or beside(tag, attributes, inside, self.named))
         stack.append(len(self.tag) - 1)
 
     def main_text(self) -> str:
@@ -183,7 +194,10 @@ class Page:
 
 
 def main_text(html: str | None) -> str:
-    return Page(html).main_text() if html else ""
+    """The main text; where class names and ids would leave none, they don't count."""
+    if not html:
+        return ""
+    return Page(html).main_text() or Page(html, named=False).main_text()
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -199,6 +199,8 @@ TEXT = "Head & line\nFirst part here link.\nSecond <b> part, with some more word
     (PAGE % f"<article>{BODY}<div class='ad'>buy</div></article>", TEXT),
     (PAGE % f"<main><header><div>{BODY}</div></header></main>", TEXT),
     (PAGE % f"<div id=content>{BODY}</div>", TEXT),
+    (PAGE % f"<div class='layout with-sidebar menu-open'><article><div class='post-header'>{BODY}</div></article></div>", TEXT),
+    (f"<div class='promo'>{BODY}</div>", TEXT),
     (f"<article>{BODY}", TEXT), ("just text\n here", "just text here"), ("", ""), (None, ""), ("<p>", ""),
     ("<div><p>one</p></div>", "one"), ("a < b <p>c > d", "a < b\nc > d"), ("<script>x", ""), ("<p>a<!-- b", "a"),
 ])
