@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clauselake.session import durable, shared_folder
 
-__all__ = ["durable", "held_out", "keep_small", "shared_folder", "table", "texts", "whole_text"]
+__all__ = ["durable", "held_out", "keep_small", "remove", "shared_folder", "table", "texts", "whole_text"]
 
 BATCH_ROWS = 512
 
@@ -30,6 +30,12 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this library has written, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(key: Column, parts: int, rest: int) -> Column:
     """True where the CRC-32 of the key's decimal text leaves ``rest``; a null key is never held out."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == rest, F.lit(False))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clauselake.llm.common import durable, keep_small, shared_folder, whole_text
+from clauselake.llm.common import durable, keep_small, remove, shared_folder, whole_text
 
 #: Word pieces of the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,8 +113,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLO
     write_token_files(docs, folder, vocabulary)
     part = F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("part")
     counts = durable(stitched(scanned(spark, folder, block)).select(part, "ordinal", "tokens"))
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, folder)
     # The text stays in the scan, so that it is cut into the same tasks.
     row = F.monotonically_increasing_id()
     ids = durable(docs.select(F.spark_partition_id().cast("long").alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"),

@@ -1,6 +1,7 @@
 """Learned operators, exact search, token files and the pipeline over small tables."""
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -169,6 +170,8 @@ def test_pipeline_runs_and_its_decisions_take_effect(spark):
         assert now <= before and now
         before = now
     assert p.run(spark, SF).count() == len(before)
+    left = [f for f in Path(p.shared_folder(spark).removeprefix("file:")).glob("pipeline-*/*")]
+    assert {f.name for f in left} == {"4"}
 
 
 def test_pipeline_stages_take_odd_rows(spark):
