@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("corpus", "detection", "urls", "links", "features", "versions", "risk", "operations")
+PARTS = ("corpus", "detection", "urls", "links", "features", "versions", "risk", "operations",
+         "files")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
