@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,8 @@ from clauselake.llm.common import durable, keep_small, whole_text
 
 _SPACES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 K1, B = 1.2, 0.75
+#: Block bounds that are summed at a time.
+BOUNDS = 1 << 21
 
 
 def normal(text: str) -> list[bytes]:
@@ -65,6 +68,20 @@ class Index:
         return Index([i for i, _, _ in items], vocabulary, exact, bound, block,
                      max(len(w) for _, w, _ in items), checks)
 
+    def _open_blocks(self, term: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+        """Passages and blocks whose summed bounds reach ``least``; no other block holds an item that does.
+
+        Passages are taken a few at a time, so that a very long text needs no more memory than they do.
+        """
+        at = 0
+        while at < len(starts):
+            most = starts[at] + max(1, BOUNDS // self.bound.shape[1])
+            after = max(at + 1, int(np.searchsorted(ends, most, "right")))
+            sums = np.add.reduceat(self.bound[term[starts[at]:ends[after - 1]]], starts[at:after] - starts[at])
+            for k, b in zip(*np.nonzero(sums >= least), strict=True):
+                yield at + int(k), int(b)
+            at = after
+
     def search(self, words: list[bytes], least: float, overlap: float) -> dict[int, tuple[float, float, float]]:
         """Per item the best verified passage: score, overlap of the question, overlap of the answer."""
         get = self.vocabulary.get
@@ -80,8 +97,7 @@ class Index:
         starts = np.flatnonzero(np.diff(passage, prepend=-1))
         ends = np.append(starts[1:], len(keys))
         out: dict[int, tuple[float, float, float]] = {}
-        # A block whose summed bounds stay under the threshold holds no item that reaches it.
-        for k, b in zip(*np.nonzero(np.add.reduceat(self.bound[term], starts) >= least), strict=True):
+        for k, b in self._open_blocks(term, starts, ends, least):
             scores = self.exact[term[starts[k]:ends[k]], b * self.block:(b + 1) * self.block].sum(0)
             for j in np.flatnonzero(scores >= least):
                 item, score = b * self.block + int(j), float(scores[j])

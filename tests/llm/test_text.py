@@ -132,7 +132,9 @@ def test_benchmark_passages_are_found(spark):
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
 
 
-def test_block_bounds_lose_no_passage():
+@pytest.mark.parametrize("bounds", [decontaminate.BOUNDS, 700, 1])
+def test_block_bounds_lose_no_passage(monkeypatch, bounds):
+    monkeypatch.setattr(decontaminate, "BOUNDS", bounds)
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}".encode() for i in range(300)]
     items = [(k, [vocabulary[i] for i in rng.integers(0, 300, rng.integers(5, 30))], 3) for k in range(90)]
