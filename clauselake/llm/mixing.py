@@ -104,7 +104,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS
                 [*batch.columns[1:], pa.array(x[:, -1].astype(np.int64)), pa.array(p.tolist(), pa.list_(pa.float64()))],
                 [*batch.schema.names[1:], "tokens", "posteriors"])
 
-    key = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in kept.columns])
+    # The hash passes over nulls, so where they stand is hashed too.
+    cells = [F.col(f"`{c}`").cast("string") for c in kept.columns]
+    key = F.xxhash64(*cells, F.array(*[c.isNull() for c in cells]))
     narrow = durable(kept.select(whole_text().alias("text"), key.alias("row"))
                      .mapInArrow(run, "row long, tokens long, posteriors array<double>"))
     mass = [F.col("tokens") * F.col("posteriors")[i] for i in range(k)]

@@ -152,6 +152,8 @@ def test_mixing_of_odd_rows(spark):
     out = mixing.mixed(docs, labels)
     assert sorted(out.columns) == ["doc_id", "domain", "posteriors", "rate", "text", "tokens"] and out.count() == 85
     assert {r.rate for r in out.where("text is null or text = ''").collect()} == {1.0}
+    shifted = spark.createDataFrame([(1, None, "a b c"), (1, "a b c", None)], "doc_id int, note string, text string")
+    assert {r.note: r.tokens for r in mixing.mixed(shifted, labels).collect()} == {None: 3, "a b c": 0}
     assert mixing.mixed(docs.limit(0), labels).count() == 0
     assert mixing.mixed(docs, labels.limit(0)).select("posteriors").first()[0] == [1 / 3] * 3
 
