@@ -144,9 +144,20 @@ def find_all_positions(t):
     )
 
 
-@query()
+# White-space runs before a possible header are marked; a piece that does not open with one joins the piece before.
+@query(rf"""WITH p AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '(\n\s*\n)([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS pieces FROM documents),
+ e AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM p),
+ h AS (SELECT *, sum(CASE WHEN i = 1 OR regexp_full_match(string_split(piece, chr(10))[1], '[A-Z0-9][^.!?]{{0,100}}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM e),
+ g AS (SELECT doc_id, sec, string_agg(piece, '' ORDER BY i) AS body FROM h GROUP BY 1, 2),
+ s AS (SELECT doc_id, sec, CASE WHEN sec < max(sec) OVER (PARTITION BY doc_id) THEN regexp_replace(body, '\n\s*\n$', '') ELSE body END AS body FROM g),
+ f AS (SELECT doc_id, sec, body, string_split(body, chr(10))[1] AS first, length(first) > 3 AND length(first) < 100 AS has FROM s),
+ c AS (SELECT doc_id, sec, coalesce(last_value(CASE WHEN has THEN {trim_sql('first')} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sec ROWS UNBOUNDED PRECEDING), 'Introduction') AS title,
+  CASE WHEN has THEN {trim_sql('substr(body, length(first) + 2)')} ELSE body END AS content FROM f),
+ parts AS (SELECT doc_id, sec, title, length(content) > 800 AS long, CASE WHEN length(content) > 800 THEN regexp_extract_all(content, '.{{1,800}}(?:\s|$)|.{{1,800}}') ELSE [content] END AS x FROM c),
+ o AS (SELECT doc_id, sec, title, long, unnest(x) AS content, generate_subscripts(x, 1) AS k FROM parts)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec, k) - 1 AS INT) AS pos,
+ CASE WHEN long THEN title || ' (Part ' || k || ')' ELSE title END AS title, CAST(length(CASE WHEN long THEN {trim_sql('content')} ELSE content END) AS INT) AS chars FROM o""")
 def chunks_by_header(t):
-    """Rows only: the split looks ahead, which the SQL engine's patterns cannot."""
     spaced = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     return t.documents.select(
         "doc_id", F.posexplode(tx.chunks_by_header(spaced, 800)).alias("pos", "c")
