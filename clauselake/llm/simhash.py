@@ -80,7 +80,8 @@ def _forest(left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray:
         while stack:
             at = stack.pop()
             rest = np.flatnonzero(open_ if same else open_ & (side != side[at]))
-            near = rest[np.bitwise_count(every[rest] ^ every[at]) <= distance]
+            # Of signed integers numpy counts the bits of the absolute value.
+            near = rest[np.bitwise_count((every[rest] ^ every[at]).view(np.uint64)) <= distance]
             open_[near] = False
             stack.extend(near.tolist())
             if len(near):

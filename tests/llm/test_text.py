@@ -69,6 +69,23 @@ def test_links_of_a_large_bucket_come_in_chunks(spark):
     assert shape(whole) == shape(cut)
 
 
+def test_links_of_a_large_bucket_count_the_sign_bit(spark):
+    rng = np.random.default_rng(8)
+    prints = []
+    for base in rng.integers(0, 1 << 37, 40, dtype=np.int64):
+        # All agree in the three lowest blocks only, so that there is one bucket of all.
+        one = int(base) << 27
+        for other in (one, one ^ 1 << 63 ^ 1 << 30 ^ 1 << 40 ^ 1 << 50):
+            prints.append(other - (other >> 63 << 64))
+    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4
+    want = sorted(sorted(b for b in prints if near(a, b)) for a in prints[::2])
+    assert all(len(g) == 2 for g in want)
+    fps = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for chunk in (10_000, 16):
+        got = _groups(components.components(simhash.links(fps, chunk=chunk)))
+        assert sorted(sorted(v) for v in got.values()) == want
+
+
 def _groups(df):
     out = defaultdict(list)
     for r in df.collect():
