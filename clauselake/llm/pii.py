@@ -13,11 +13,23 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@[A-Za-
 ISO_DATE = r"(?<![0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])"
 DATE = "|".join(rf"(?<![0-9./-])[0-9]{{2}}{s}[0-9]{{2}}{s}[0-9]{{4}}(?![0-9]|[./-][0-9])" for s in (r"\.", "/", "-"))
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Countries by the length of their IBANs; other codes are taken at any length.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "(?<![A-Za-z0-9])(?:{}|(?!{})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])".format(
+    "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+             for n, c in IBANS.items()), "|".join(IBANS.values()).replace(" ", "|"))
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = (r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
          r"|(?<![0-9A-Za-z+])\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])")
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: A whole run of digits, up to where another kind begins; the cards in it are found by their check digits.
+CARD_RUN = r"[0-9](?:[ -]?[0-9]){12,}+"
+CARD = rf"(?<![0-9])[0-9](?:(?:[ -](?!{'|'.join((ISO_DATE, DATE, IP, SSN, PHONE))}))?[0-9]){{12,}}+"
+LEAST_CARD, MOST_CARD, WALK = 13, 19, 100
 #: All but e-mails, behind a look at the first characters; e-mails are searched where a text has an @.
 NUMBERS = rf"(?=[0-9+(]|[A-Z]{{2}}[0-9])(?:{'|'.join((ISO_DATE, DATE, IP, IBAN, SSN, PHONE, CARD))})"
 ALL = f"{EMAIL}|{NUMBERS}"
@@ -118,12 +130,67 @@ def _mod97(text: Column) -> Column:
         c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
 
 
-def _card(value: Column, key: Column, back: bool) -> Column:
-    digits = _digits(value)
+def _card_groups(run: Column) -> Column:
+    return F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0))
+
+
+def _is_card(groups: Column, at: Column, many: Column) -> Column:
+    return F.element_at(F.transform(F.array(F.array_join(F.slice(groups, at + 1, many), "")), lambda d: F.length(d).between(
+        LEAST_CARD, MOST_CARD) & (_luhn(d) == 0)), 1)
+
+
+def _card_marks(groups: Column) -> Column:
+    """Per group of digits of a run: the groups of the card that begins there, 0 if none does, -1 inside a card.
+
+    From left to right the longest valid card at each group; cards begin and end with a group.
+    """
+    n = F.size(groups)
+    most = lambda i: F.coalesce(F.array_max(F.filter(
+        F.sequence(F.lit(1), F.least(F.lit(MOST_CARD), n - i)), lambda m: _is_card(groups, i, m))), F.lit(0))
+    put = lambda s, i, k: F.struct(
+        F.greatest(s["next"], i + k).alias("next"), F.concat(s["marks"], F.array(k)).alias("marks"))
+    return F.aggregate(
+        F.sequence(F.lit(0), n - 1), F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("marks")),
+        lambda s, i: F.when(i < s["next"], put(s, i, F.lit(-1))).otherwise(
+            F.element_at(F.transform(F.array(most(i)), lambda k: put(s, i, k)), 1)))["marks"]
+
+
+def _sealed_card(digits: Column, key: Column, back: bool) -> Column:
     body = _permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), key, F.lit("card"), back)
-    sealed = F.element_at(F.transform(F.array(body), lambda b: F.concat(
+    return F.element_at(F.transform(F.array(body), lambda b: F.concat(
         b, F.pmod(10 - _luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))), 1)
-    return F.when(_luhn(digits) == 0, _laid(value, sealed)).otherwise(value)
+
+
+def _card(run: Column, key: Column, back: bool) -> Column:
+    """All cards of a run of digits.
+
+    Each goes on from number to number until the same cards are found in the run again, so that the
+    way back finds them too; it takes them in the opposite order.
+    """
+    def changed(groups: Column, marks: Column) -> Column:
+        n = F.size(groups)
+
+        def swapped(g: Column, at: Column, many: Column) -> Column:
+            part = F.array_join(F.slice(g, at + 1, many), " ")
+            new = F.split(_laid(part, _sealed_card(_digits(part), key, back)), " ")
+            return F.concat(F.slice(g, F.lit(1), at), new, F.slice(g, at + many + 1, n))
+
+        def others(g: Column, at: Column) -> Column:
+            """True if the run would now be cut in another way before the end of the card."""
+            return F.exists(F.sequence(F.greatest(F.lit(0), at - MOST_CARD + 1), at), lambda i: F.element_at(marks, i + 1).between(
+                0, MOST_CARD) & F.exists(F.sequence(F.lit(1), F.lit(MOST_CARD)), lambda m: (m > F.element_at(marks, i + 1)) & (
+                    i + m <= n) & (i + m > at) & _is_card(g, i, m)))
+
+        order = F.sequence(F.lit(0), n - 1)
+        return F.aggregate(F.reverse(order) if back else order, groups, lambda g, at: F.when(
+            F.element_at(marks, at + 1) > 0, F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), g, lambda s, t: F.when(
+                (t == 0) | others(s, at), swapped(s, at, F.element_at(marks, at + 1))).otherwise(s))).otherwise(g))
+
+    marked = F.transform(F.array(_card_groups(run)), lambda g: F.struct(g.alias("g"), _card_marks(g).alias("marks")))
+    new = F.element_at(F.transform(marked, lambda r: F.when(
+        F.exists(r["marks"], lambda k: k > 0), changed(r["g"], r["marks"])).otherwise(r["g"])), 1)
+    between = F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0))
+    return F.array_join(F.zip_with(new, between, lambda g, b: F.concat(g, F.coalesce(b, F.lit("")))), "")
 
 
 def _iban(value: Column, key: Column, back: bool) -> Column:
@@ -198,7 +265,7 @@ def pseudonym(value: Column, key: Column, back: bool = False) -> Column:
         .when(_whole(value, IBAN), _iban(value, key, back))
         .when(_whole(value, SSN), _ssn(value, key, back))
         .when(_whole(value, PHONE), F.concat(prefix, _laid(rest, _permuted(_digits(rest), key, F.lit("phone"), back))))
-        .when(_whole(value, CARD), _card(value, key, back))
+        .when(_whole(value, CARD_RUN), _card(value, key, back))
         .otherwise(value))
 
 
@@ -209,7 +276,9 @@ def pseudonymised(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     numbers, dates of 1800 to 2199 and e-mail local parts. Each is permuted among the values of its own
     format by a Feistel network keyed with ``key``, check digits are set anew, separators stay; so equal
     values get equal pseudonyms in all documents, different ones differ, and ``back=True`` undoes it
-    (but for capitals of e-mails). Values that fail validation stay. Each row is worked out by itself,
+    (but for capitals of e-mails, and cards in long rows of one-digit numbers). A card beside other
+    digits is found by its check digits and may, so that the way back finds it too, get another
+    pseudonym than alone. Values that fail validation stay. Each row is worked out by itself,
     without a shuffle. Null and empty texts stay; other columns pass through, except that one named
     ``values_replaced`` is replaced; an empty table gives an empty one.
     """
@@ -223,6 +292,9 @@ def pseudonymised(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     between = F.when(mail, F.split("text", ALL, -1)).otherwise(F.split("text", NUMBERS, -1))
     text = F.when(F.col("__pii_new").isNull(), F.col("text")).otherwise(
         F.array_join(F.zip_with(between, "__pii_new", lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), ""))
-    changed = F.size(F.filter(F.arrays_zip("__pii_old", "__pii_new"), lambda p: p["__pii_old"] != p["__pii_new"]))
+    changed = F.aggregate(
+        F.filter(F.arrays_zip("__pii_old", "__pii_new"), lambda p: p["__pii_old"] != p["__pii_new"]), F.lit(0),
+        lambda n, p: n + F.when(_whole(p["__pii_old"], CARD_RUN), F.size(F.filter(
+            _card_marks(_card_groups(p["__pii_old"])), lambda k: k > 0))).otherwise(1))
     return made.withColumn("text", text).withColumn("values_replaced", F.coalesce(F.when(F.col("__pii_new").isNotNull(), changed), F.lit(0))) \
         .drop("__pii_old", "__pii_new")

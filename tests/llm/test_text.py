@@ -199,6 +199,30 @@ def test_pseudonyms_keep_format_link_and_come_back(spark):
     assert pii.pseudonymised(frame(spark, []), "k").count() == 0
 
 
+def luhn(text):
+    digits = [int(c) for c in text if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10
+
+
+def test_values_beside_other_numbers_are_found(spark):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    rows = [(1, f"{card} 123"), (2, f"{card} 12/25"), (3, f"2 {card}"), (4, f"{iban} EUR"), (5, f"{iban} 12"),
+            (6, f"7 {card} 5500-0000-0000-0004 99"), (7, f"{card} 415-555-2671 {card} 2021-03-04"), (8, "12345 4111111111111111 12345"),
+            (9, "4111 1111 1111 1112 12"), (10, " ".join(f"{i % 90 + 10}" for i in range(60)))]
+    rows += [(100 + i, f"{i} {card} {i:03}") for i in range(60)]
+    out = pii.pseudonymised(frame(spark, rows), "k1")
+    got = {r.doc_id: r for r in out.collect()}
+    for i, text in rows:
+        assert re.sub("[0-9]", "0", got[i].text) == re.sub("[0-9]", "0", text)
+        assert i in (9, 10) or not {card, iban, card.replace(" ", "")} & set(re.findall("ES.*1332|4111(?: ?1111){3}", got[i].text))
+    assert got[9].text == rows[8][1] and got[9].values_replaced == 0
+    assert [got[i].values_replaced for i in range(1, 9)] == [1, 1, 1, 1, 1, 2, 4, 1]
+    assert got[1].text.endswith(" 123") and got[2].text.endswith(" 12/25") and got[3].text.startswith("2 ")
+    assert luhn(got[1].text[:19]) == luhn(got[3].text[2:]) == 0
+    back = pii.pseudonymised(out, "k1", back=True).collect()
+    assert {r.doc_id: r.text for r in back} == dict(rows)
+
+
 def test_date_pseudonyms_are_a_permutation(spark):
     days = spark.sql("select explode(sequence(date'1999-01-01', date'2001-12-31')) d").selectExpr(
         "cast(datediff(d, date'1970-01-01') as long) doc_id", "date_format(d, 'yyyy-MM-dd') text")
