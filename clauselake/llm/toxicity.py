@@ -30,6 +30,7 @@ for _i in range(26):
 _EDGE = "\"'()[]{}<>.,;:?!*#%&~^=/\\|-_+…“”‘’«»¿¡"
 _OPEN = "\"'([{<.,;:?~^=/\\-_…“”‘’«»¿"
 _RUN = re.compile(r"(.)\1\1")
+_TWICE = re.compile(r"(.)\1")
 _SPLIT = re.compile(r"(?:[^\W_][.\-_*·]){2,}[^\W_]")
 CACHE = 200_000
 
@@ -105,6 +106,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray, known: frozenset[str] = frozenset()):
         self.model, self.known, self.memory = model, known, {}
+        self.starts = {w[:k] for w in known if len(w) > 3 for k in range(1, len(w))}
 
     def token(self, w: str) -> str:
         found = self.memory.get(w)
@@ -115,16 +117,49 @@ class Restorer:
         return found
 
     def _token(self, w: str) -> str:
-        core = w.lstrip(_OPEN).rstrip(_EDGE)
-        core = re.sub(r"^([^\w\s])\1+|([^\w\s])\2+$", "", core)
+        whole = w.lstrip(_OPEN).rstrip(_EDGE)
+        core = re.sub(r"^([^\w\s])\1+|([^\w\s])\2+$", "", whole)
+        if core != whole and (found := self._known(whole)):
+            return found
         if core.isalpha() and not _RUN.search(core):
-            return core
+            return _TWICE.search(core) and self._known(core) or core
         if not any(c.isalpha() for c in core) or "@" in core and "." in core:
-            return core.strip(_EDGE)
+            return self._known(core[::2] if _SPLIT.fullmatch(core) else core) or core.strip(_EDGE)
         if _SPLIT.fullmatch(core):
             core = core[::2]
         return decode(core, self.model, self.known.__contains__)
 
+    def _known(self, core: str) -> str | None:
+        """The known word behind what may as well be a plain word or a number."""
+        if core in self.known:
+            return core
+        if not self.known or not all(c.isalpha() or c in LEET for c in core):
+            return None
+        found = decode(core, self.model, self.known.__contains__)
+        return found if found in self.known else None
+
+    def joined(self, text: str) -> list[str]:
+        """Known words of four letters or more that stand in pieces, one of two characters at least."""
+        tokens = text.lower().split()
+        cores = [t.lstrip(_OPEN).rstrip(_EDGE) for t in tokens]
+        out = []
+        for i, piece in enumerate(cores):
+            if piece in self.starts:
+                whole, longest = piece, len(piece)
+                for k in range(i + 1, len(cores)):
+                    after = cores[k]
+                    whole, longest = whole + after, max(longest, len(after))
+                    if longest > 1 and after and whole in self.known:
+                        out.append(whole)
+                    if whole not in self.starts:
+                        break
+            if i and self.known and len(piece) < 5 and len(cores[i - 1]) < 5 and piece and cores[i - 1]:
+                whole = cores[i - 1] + piece
+                if len(whole) > 3 and not whole.isalpha() and any(c.isalpha() for c in whole) \
+                        and self.token(whole) in self.known:
+                    out.append(self.token(whole))
+        return out
+
     def words(self, text: str) -> tuple[list[str], list[str]]:
         """Restored words, and the strings that single spaced characters make up."""
         tokens = text.lower().split()
@@ -144,6 +179,8 @@ class Restorer:
         for joined in spaced:
             inside = {w for w in told if len(w) > 3 and w in joined}
             found, many = found | inside, many + len(inside)
+        pieces = [w for w in self.joined(text) if w in told]
+        found, many = found | set(pieces), many + len(pieces)
         return {told[w] for w in found}, many, len(words)
 
 

@@ -73,6 +73,22 @@ def test_decoding(noisy, plain):
     assert restorer.words("a s t u p i d. man")[1] == ["astupid"]
 
 
+@pytest.mark.parametrize("noisy, plain", [
+    ("stuupid", "stupid"), ("idioot", "idiot"), ("morron", "moron"), ("455", "ass"), ("@$$", "ass"), ("a$$", "ass"), ("1d10t", "idiot"),
+    ("good", "good"), ("moon", "moon"), ("455.5", "455.5"), ("1234", "1234"), ("$$$", ""), ("2021", "2021")])
+def test_doubled_letters_and_letterless_tokens(noisy, plain):
+    text = "the idiot is stupid and the moron is an ass and a good man in the moon " * 20
+    codes = toxicity._CODE[np.frombuffer(text.encode(), np.uint8)]
+    counts = np.zeros((28, 28, 28))
+    np.add.at(counts, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    told = {"stupid": 0, "idiot": 1, "moron": 2, "ass": 3}
+    restorer = toxicity.Restorer(toxicity.language_model(counts), frozenset(told))
+    assert restorer.token(noisy) == plain
+    assert restorer.hits(f"well {noisy} then", told)[0] == ({told[plain]} if plain in told else set())
+    assert restorer.hits("you stu pid mo ron, and 1d 10t", told)[:2] == ({0, 1, 2}, 3)
+    assert restorer.hits("more on the id of it", told)[0] == set()
+
+
 def test_trigrams_cross_no_blocks_twice(spark):
     docs = spark.createDataFrame([(1, "abcab"), (2, None), (3, "ab")], "doc_id long, text string")
     counts = toxicity.trigrams(docs)
