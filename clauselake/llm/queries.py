@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, htmltext, lines, mixing, pii, quality, simhash, tokencounts, topk, toxicity
+from clauselake.llm import (
+    decontaminate, htmltext, lines, mixing, pii, quality, resampling, simhash, tokencounts, topk, toxicity)
 from clauselake.llm.common import table
 from clauselake.llm.sql import SQL
 
@@ -55,6 +56,10 @@ def op10_quality(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_resampling(spark, sf_dir):
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -63,6 +68,6 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_decontamination, op3_pii, op4_topk, op5_mixing, op6_token_counts, op7_toxicity, op8_simhash,
-    op9_html_text, op10_quality, pipeline)}
+    op9_html_text, op10_quality, op12_resampling, pipeline)}
 
 __all__ = ["QUERIES", "SQL"]

@@ -44,4 +44,32 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 10
 """
 
-SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op4_topk": TOP_K}
+# The sixteen numbers are the CRC-32 of half a byte.
+RESAMPLING = r"""
+WITH w AS (SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 't', item_id, row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT side, r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+      || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f FROM w),
+n AS (SELECT side, r, f, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM n)),
+b AS (SELECT f, xor(4294967295, list_reduce(
+        list_transform(range(len(h)), lambda i: strpos('0123456789ABCDEF', h[i + 2 - 2 * (i % 2)]) - 1),
+        lambda c, x: xor(c >> 4, CAST([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+          3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108] AS BIGINT[])[(xor(c, x) & 15) + 1]),
+        4294967295)) % 10000 AS b FROM h),
+p AS (SELECT side, r, b, sum(n) AS n FROM n JOIN b USING (f) GROUP BY ALL),
+c AS (SELECT b, coalesce(sum(n) FILTER (WHERE side = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 't'), 0) AS t FROM p GROUP BY b),
+a AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS s, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t FROM c),
+g AS (SELECT b, CAST(floor(1000 * ln((CAST(c.t AS DOUBLE) + 1) * (a.s + 10000) / ((CAST(c.s AS DOUBLE) + 1) * (a.t + 10000)))) AS BIGINT) AS g FROM c, a),
+d AS (SELECT r, sum(n) AS n, sum(n * g) AS weight FROM p JOIN g USING (b) WHERE side = 'd' GROUP BY r),
+v AS (SELECT id AS doc_id, len(w) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || left(sha256('42:' || coalesce(CAST(id AS VARCHAR), '')), 8)
+          AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+      FROM w LEFT JOIN d USING (r) WHERE side = 'd'),
+k AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS k FROM v)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND k <= (SELECT 5 * count(*) // 100 FROM v WHERE words >= 20) THEN k END AS rank FROM k
+"""
+
+SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op4_topk": TOP_K, "op12_resampling": RESAMPLING}
