@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauselake.llm import (
-    decontaminate, htmltext, lines, mixing, pii, quality, resampling, simhash, tokencounts, topk, toxicity)
+    decontaminate, htmltext, lines, mixing, pii, quality, ranking, resampling, simhash, tokencounts, topk, toxicity)
 from clauselake.llm.common import table
 from clauselake.llm.sql import SQL
 
@@ -60,6 +60,10 @@ def op12_resampling(spark, sf_dir):
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_ranked_search(spark, sf_dir):
+    return ranking.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -68,6 +72,6 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_decontamination, op3_pii, op4_topk, op5_mixing, op6_token_counts, op7_toxicity, op8_simhash,
-    op9_html_text, op10_quality, op12_resampling, pipeline)}
+    op9_html_text, op10_quality, op12_resampling, op13_ranked_search, pipeline)}
 
 __all__ = ["QUERIES", "SQL"]

@@ -72,4 +72,21 @@ k AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC,
 SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND k <= (SELECT 5 * count(*) // 100 FROM v WHERE words >= 20) THEN k END AS rank FROM k
 """
 
-SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op4_topk": TOP_K, "op12_resampling": RESAMPLING}
+RANKED_SEARCH = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+a AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * CAST(a.n AS DOUBLE) + 2) / (2 * CAST(count(*) AS DOUBLE) + 1))) AS BIGINT) AS weight
+      FROM t, a WHERE term IN (SELECT term FROM i) GROUP BY term, a.n),
+m AS (SELECT r, doc_id, 50 + (50 * len(w) * a.n) // a.l AS m FROM d, a WHERE doc_id IS NOT NULL AND len(w) > 0),
+s AS (SELECT item_id, m.r, any_value(m.doc_id) AS doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM i JOIN w USING (term) JOIN t USING (term) JOIN m ON t.r = m.r GROUP BY item_id, m.r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op4_topk": TOP_K, "op12_resampling": RESAMPLING,
+                       "op13_ranked_search": RANKED_SEARCH}
