@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauselake.llm import (
-    decontaminate, htmltext, lines, mixing, pii, quality, ranking, resampling, simhash, tokencounts, topk, toxicity)
+    decontaminate, htmltext, lines, mixing, pii, quality, ranking, resampling, simhash, tokencounts, tokentable, topk,
+    toxicity)
 from clauselake.llm.common import table
 from clauselake.llm.sql import SQL
 
@@ -56,6 +57,10 @@ def op10_quality(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_table(spark, sf_dir):
+    return tokentable.token_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark, sf_dir):
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -72,6 +77,6 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_decontamination, op3_pii, op4_topk, op5_mixing, op6_token_counts, op7_toxicity, op8_simhash,
-    op9_html_text, op10_quality, op12_resampling, op13_ranked_search, pipeline)}
+    op9_html_text, op10_quality, op11_token_table, op12_resampling, op13_ranked_search, pipeline)}
 
 __all__ = ["QUERIES", "SQL"]
