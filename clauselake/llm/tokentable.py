@@ -28,18 +28,16 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Row groups of 32 MB, pages of at most 256 documents or 256 KB.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 256
-#: Stretches and pieces that a task remembers.
-MOST = 800_000
-#: Stretches that one text for the library holds.
-GROUP = 500
-
-# A word piece can't reach over these borders: between a character that is no white space and a space, and between
-# a Latin letter and an ASCII character that is no letter.
-_STRETCH = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[ -@\[-`{-~\n]|\Z)|\n(?=[!-~])|\s*\S+|\s+")
+#: Pieces of text that a Python worker remembers, and how many of them one text for the library holds.
+MOST, GROUP = 1_500_000, 500
+
+# No word piece reaches over a border between a character that is no white space and white space. Python counts
+# the four separators as white space, the library does not.
+_PIECE = re.compile(r"\s*\S+|\s+")
 _UNSAFE = re.compile(r"[\x1c-\x1f]")
-#: Stands before a piece that has no space before it.
+_WIDE = re.compile(r"\s[ \n]")
+#: Stands before a piece that has neither a space nor a newline before it.
 BARE = "\x1c"
-_WIDE = re.compile(r"\s ")
 
 
 class Ragged:
@@ -77,7 +75,7 @@ class Numbers(dict):
 
 
 class Encoder:
-    """Identifiers of whole texts by the tokenizers library; equal stretches are encoded once while they are remembered."""
+    """Identifiers of whole texts by the tokenizers library; equal pieces are encoded once while they are remembered."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -89,7 +87,6 @@ class Encoder:
 
     def forget(self) -> None:
         self.pieces, self.of_piece = Numbers(), Ragged()
-        self.stretches, self.of_stretch = Numbers(), Ragged()
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,52 +95,45 @@ class Encoder:
     def newline(self) -> int:
         return self.plain(["\n"])[0][0]
 
-    def _learn_stretches(self) -> None:
-        new = list(itertools.islice(self.stretches, len(self.of_stretch), None))
-        # A newline parts two words and is a piece of its own, so that one call encodes many.
-        one = [w.strip() == w or w[0] == " " and not w[1:2].isspace() and not w.isspace() for w in new]
-        words, rest = list(itertools.compress(new, one)), [w for w, o in zip(new, one, strict=True) if not o]
+    def _learn(self) -> None:
+        new = [p[1:] if p[:1] == BARE else p if p[:1] == "\n" else " " + p
+               for p in itertools.islice(self.pieces, len(self.of_piece), None)]
+        # A newline parts two pieces and is a token of its own, so that one text for the library holds many pieces.
+        # A piece may itself begin with one newline; pieces with other white space go alone.
+        one = np.array([len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and (not p[0].isspace() or p[0] in " \n")
+                        for p in new], bool)
+        words, rest = list(itertools.compress(new, one)), list(itertools.compress(new, ~one))
         groups = self.plain(["\n".join([*words[i:i + GROUP], ""]) for i in range(0, len(words), GROUP)])
         flat = np.fromiter(chain.from_iterable(groups), np.int32)
-        border = np.flatnonzero(flat == self.newline)
-        if len(border) == len(words):
-            size = np.diff(border, prepend=-1) - 1
-            flat = np.delete(flat, border)
+        newlines = np.flatnonzero(flat == self.newline)
+        at = np.cumsum([1 + (w[0] == "\n") for w in words], dtype=np.int64)
+        if len(words) and len(newlines) == at[-1]:
+            border = newlines[at - 1]
+            size, flat = np.diff(border, prepend=-1) - 1, np.delete(flat, border)
         else:
-            words, rest, flat, size = [], new, flat[:0], border[:0]
-            one = [False] * len(new)
+            one[:] = False
+            words, rest, flat, size = [], new, flat[:0], at[:0]
         others = self.plain(rest)
         mixed = Ragged()
         mixed.extend(flat, size)
         mixed.extend(np.array(list(chain.from_iterable(others)), np.int32), np.array(list(map(len, others)), np.int64))
-        one = np.array(one, bool)
-        self.of_stretch.extend(*mixed.take(np.where(one, np.cumsum(one) - 1, len(words) + np.cumsum(~one) - 1)))
-
-    def _learn_pieces(self) -> None:
-        new = itertools.islice(self.pieces, len(self.of_piece), None)
-        cut = [_STRETCH.findall(p[1:] if p[:1] == BARE else " " + p) for p in new]
-        many = np.fromiter(map(len, cut), np.int64, len(cut))
-        numbers = np.fromiter(map(self.stretches.__getitem__, chain.from_iterable(cut)), np.int64, int(many.sum()))
-        self._learn_stretches()
-        ids, size = self.of_stretch.take(numbers)
-        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(many))]
-        self.of_piece.extend(ids, np.diff(ends))
+        self.of_piece.extend(*mixed.take(np.where(one, np.cumsum(one) - 1, len(words) + np.cumsum(~one) - 1)))
 
     def encode(self, texts: list[str], end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All identifiers of the texts, each text ended by ``end``, and the size of each."""
-        if len(self.pieces) > MOST or len(self.stretches) > MOST:
+        if len(self.pieces) > MOST:
             self.forget()
         cut: list[list[str]] = []
         for t in texts:
-            if _UNSAFE.search(t):
+            if not t or _UNSAFE.search(t):
                 cut.append([])
-            elif _WIDE.search(t):
-                cut.append([BARE + p for p in _STRETCH.findall(t)])
+            elif _WIDE.search(t) or t[0] in " \n":
+                cut.append([BARE + p for p in _PIECE.findall(t)])
             else:
-                cut.append((BARE + t).split(" ") if t else [])
+                cut.append((BARE + t).replace("\n", " \n").split(" "))
         many = np.fromiter(map(len, cut), np.int64, len(cut))
         numbers = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cut)), np.int64, int(many.sum()))
-        self._learn_pieces()
+        self._learn()
         ids, size = self.of_piece.take(numbers)
         bounds = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(many))]
         out, sizes = [], np.empty(len(texts), np.int64)
