@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,9 +61,8 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 5 * two[None]) / (counts.sum(2, keepdims=True) + 5))
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
+def lattice(word: str) -> Iterator[list[tuple[str, float]]]:
     """Per position the strings it may stand for, with a channel cost."""
-    out = []
     for c, run in itertools.groupby(word):
         n = len(list(run))
         letters = c if c.isalpha() else LEET.get(c, "")
@@ -73,10 +72,9 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         if c.isalpha() or n > 2:
             twice = [(x + x, p - (0.0 if n == 2 else 1.0)) for x, p in options]
             once = [(x, p - (2.0 if n == 2 else 0.0)) for x, p in options]
-            out.append(once + twice if n > 1 else options)
+            yield once + twice if n > 1 else options
         else:
-            out.extend([options] * n)
-    return out
+            yield from [options] * n
 
 
 def decode(word: str, model: np.ndarray, known: Callable[[str], bool] = lambda w: False, keep: int = 4) -> str:
@@ -107,6 +105,7 @@ class Restorer:
     def __init__(self, model: np.ndarray, known: frozenset[str] = frozenset()):
         self.model, self.known, self.memory = model, known, {}
         self.starts = {w[:k] for w in known if len(w) > 3 for k in range(1, len(w))}
+        self.prefixes = {w[:k] for w in known for k in range(len(w) + 1)}
 
     def token(self, w: str) -> str:
         found = self.memory.get(w)
@@ -133,11 +132,20 @@ class Restorer:
         """The known word behind what may as well be a plain word or a number."""
         if core in self.known:
             return core
-        if not self.known or not all(c.isalpha() or c in LEET for c in core):
+        if not self.known or not all(c.isalpha() or c in LEET for c in core) or not self._reaches(core):
             return None
         found = decode(core, self.model, self.known.__contains__)
         return found if found in self.known else None
 
+    def _reaches(self, core: str) -> bool:
+        """True if a path through the lattice spells a known word; the walk ends where no known word goes on."""
+        at = {""}
+        for options in lattice(core):
+            at = {s + x for s in at for x, _ in options} & self.prefixes
+            if not at:
+                return False
+        return not self.known.isdisjoint(at)
+
     def joined(self, text: str) -> list[str]:
         """Known words of four letters or more that stand in pieces, one of two characters at least."""
         tokens = text.lower().split()
