@@ -23,15 +23,9 @@ from clauselake.functions.terms import (
 from clauselake.functions.text import trimmed
 from clauselake.values import domains as D
 from clauselake.values import link_terms as L
+from clauselake.values.suffix_rules import PRIVATE_RULES, REGISTRY_RULES
 from clauselake.values.text_terms import PRIVACY_TERMS
 
-# Suffixes of more than one label that are known without a table. Operators take a
-# full public suffix list instead.
-PUBLIC_SUFFIXES = (
-    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp",
-    "or.jp", "com.br", "com.mx", "com.ar", "com.tr", "com.cn", "com.tw", "com.hk", "com.sg",
-    "co.in", "co.kr", "co.za", "co.il",
-)
 # Second labels under which most countries register names, as in co.th or com.my.
 COUNTRY_SECOND = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "govt", "mil", "ne", "net", "or", "org")
 # Locale folders that mark a page as not English.
@@ -105,21 +99,37 @@ def host_suffixes(host: Column) -> Column:
     return F.reverse(F.aggregate(F.reverse(F.split(host, r"\.")), start, grow))
 
 
+def parent_domain(host: Column) -> Column:
+    """The host without its first label, null for a single label."""
+    return F.nullif(F.regexp_extract(host, r"^[^.]*\.(.+)$", 1), F.lit(""))
+
+
 def public_suffix(host: Column, suffixes: Sequence[str] | None = None) -> Column:
-    """Longest suffix of the list ``suffixes``, else the last label.
+    """Public suffix of a host by the rules ``suffixes``, else its last label.
 
-    Without a list the known ones are used, and two labels under a country whose second is one of
-    ``COUNTRY_SECOND``.
+    Rules are written as in the public suffix list: ``a.b``, ``*.b`` for every label under ``b``, ``!a.b`` for
+    what is no suffix in spite of that. An exception wins, then the longest rule. They go into the plan as
+    sets, so the list is meant to be short; ``operators.suffixes`` takes a table. Without a list the built-in
+    rules hold, and two labels under a country whose second is one of ``COUNTRY_SECOND``.
     """
-    known = PUBLIC_SUFFIXES if suffixes is None else suffixes
-    listed = F.filter(host_suffixes(host), lambda s: s.isin(*known)) if known else F.array()
-    country = None
+    rules = (*REGISTRY_RULES, *PRIVATE_RULES) if suffixes is None else suffixes
+    plain = [r for r in rules if r[:1] not in "*!"]
+    above = [r[2:] for r in rules if r.startswith("*.")]
+    out = [r[1:] for r in rules if r.startswith("!")]
+    parts = host_suffixes(host)
+
+    def is_rule(s: Column) -> Column:
+        return s.isin(*plain) | F.coalesce(parent_domain(s).isin(*above), F.lit(False)) if above else s.isin(*plain)
+
+    found = []
+    if out:
+        found.append(parent_domain(F.try_element_at(F.filter(parts, lambda s: s.isin(*out)), F.lit(1))))
+    if rules:
+        found.append(F.try_element_at(F.filter(parts, is_rule), F.lit(1)))
     if suffixes is None:
         pattern = rf"(?:^|\.)((?:{'|'.join(COUNTRY_SECOND)})\.[a-z]{{2}})$"
-        country = F.nullif(F.regexp_extract(host, pattern, 1), F.lit(""))
-    found = [F.try_element_at(listed.cast("array<string>"), F.lit(1)), country,
-             F.element_at(F.split(host, r"\."), -1)]
-    return F.coalesce(*[f for f in found if f is not None])
+        found.append(F.nullif(F.regexp_extract(host, pattern, 1), F.lit("")))
+    return F.coalesce(*found, F.element_at(F.split(host, r"\."), -1))
 
 
 def registrable_domain(host: Column, suffixes: Sequence[str] | None = None) -> Column:

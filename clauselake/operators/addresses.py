@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 
 from clauselake.functions import urls as ur
 from clauselake.operators.staging import computed
+from clauselake.operators.suffixes import with_roots
 from clauselake.values import domains as D
 
 
 def check_owner(df: DataFrame, url: str | Column, target: str | Column,
                 related: Mapping[str, Sequence[str]] = D.RELATED_DOMAINS,
-                prefix: str = "owner_", suffixes: Sequence[str] | None = None) -> DataFrame:
+                prefix: str = "owner_", suffixes: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Add ``owner_valid``, ``owner_confidence`` and ``owner_reason``.
 
     Blocked 0, same host 100, same registrable domain 95, related company 90, else 0. The block
-    test comes first, so a related domain that is blocked itself stays at 0. ``suffixes`` is a public
-    suffix list; without it ``public_suffix`` goes by its rule.
+    test comes first, so a related domain that is blocked itself stays at 0. Two hosts that are suffixes
+    themselves have no domain in common. ``suffixes`` are public suffix rules, as a short list or as the
+    table of ``operators.suffixes``; without them the built-in rules hold.
     """
     address = F.col(url) if isinstance(url, str) else url
     domain = F.col(target) if isinstance(target, str) else target
@@ -34,16 +36,19 @@ def check_owner(df: DataFrame, url: str | Column, target: str | Column,
         _wanted=F.regexp_replace(F.lower(domain), r"^www\.", ""),
         _blocked=ur.is_blocked_url(address),
     )
-    staged = computed(
-        hosts,
-        _root=ur.registrable_domain(F.col("_host"), suffixes),
-        _wanted_root=ur.registrable_domain(F.col("_wanted"), suffixes),
-    )
+    if isinstance(suffixes, DataFrame):
+        staged = with_roots(hosts, suffixes, {"_host": "_root", "_wanted": "_wanted_root"})
+    else:
+        staged = computed(
+            hosts,
+            _root=ur.registrable_domain(F.col("_host"), suffixes),
+            _wanted_root=ur.registrable_domain(F.col("_wanted"), suffixes),
+        )
     related_hit = F.concat_ws(" ", "_wanted", "_root").isin(*pairs) if pairs else F.lit(False)
     confidence = (
         F.when(F.col("_blocked"), 0)
         .when(F.col("_host") == F.col("_wanted"), 100)
-        .when(F.col("_root").eqNullSafe(F.col("_wanted_root")), 95)
+        .when(F.col("_root") == F.col("_wanted_root"), 95)
         .when(related_hit, 90)
         .otherwise(0)
     )
@@ -80,7 +85,7 @@ def score_domains(df: DataFrame, url: str | Column, target: str | Column,
 
 
 def validate_urls(df: DataFrame, url: str | Column, target: str | Column,
-                  suffixes: Sequence[str] | None = None) -> DataFrame:
+                  suffixes: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Owner and quality together: ``url_valid, url_confidence, quality, url_issues``."""
     address = F.col(url) if isinstance(url, str) else url
     owner, quality = F.col("_o_confidence"), F.col("quality")

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from clauselake.functions import urls as ur
 from clauselake.operators.addresses import check_owner, score_domains, validate_urls
+from clauselake.operators.keyed import spread_join
+from clauselake.operators.suffixes import host_parts, suffix_rules
 from clauselake.queries.base import any_found, found_count, match_sum, matches, q, query, sql_list
 from clauselake.values import domains as D
+from clauselake.values.suffix_rules import PRIVATE_RULES, REGISTRY_RULES
 
 HOST = r"nullif(lower(regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '')"
 BARE = r"regexp_replace(" + HOST + r", '^www\.', '')"
@@ -205,3 +208,75 @@ def validated_urls(t):
     )
 
 
+
+
+# Hosts over the given orders: names of customers below suffixes of every kind of rule, or such a suffix alone.
+BELOW = ("github.io", "k12.ca.us", "high.sch.uk", "tokyo.jp", "x.kawasaki.jp", "city.kawasaki.jp", "co.th", "herokuapp.com",
+         "www.ck", "b.ck", "example.com", "unknown", "ca.us", "eu-1.elb.amazonaws.com")
+ALL_RULES = [(r, False) for r in REGISTRY_RULES] + [(r, True) for r in PRIVATE_RULES]
+
+
+def _hosts_sql(key: str, step: int) -> str:
+    return (f"CASE WHEN ({key} + {step}) % 7 = 0 THEN '' WHEN {key} % 3 = 0 THEN 'w.n' || (o_custkey % {step + 2}) || '.' "
+            f"ELSE 'n' || (o_custkey % {step + 2}) || '.' END || [{', '.join(q(b) for b in BELOW)}][CAST({key} % {len(BELOW)} AS INT) + 1]")
+
+
+def _hosts(key, step: int):
+    name = F.concat(F.lit("n"), (F.col("o_custkey") % (step + 2)).cast("string"), F.lit("."))
+    return F.concat(
+        F.when((key + step) % 7 == 0, "").when(key % 3 == 0, F.concat(F.lit("w."), name)).otherwise(name),
+        F.element_at(F.array(*map(F.lit, BELOW)), (key % len(BELOW)).cast("int") + 1),
+    )
+
+
+def rule_table(t):
+    return suffix_rules(t.spark.createDataFrame(ALL_RULES, "rule string, private boolean"))
+
+
+def _parts_sql(rules) -> str:
+    """CTEs from ``h(host)`` to ``p(host, root, tld)``, by a join of suffixes and rules written another way."""
+    values = ", ".join(f"({q(r)})" for r, _ in rules)
+    return f"""r(rule) AS (VALUES {values}),
+ d AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM h),
+ s AS (SELECT host, i, array_to_string(l[i:], '.') AS s, array_to_string(l[i + 1:], '.') AS up FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS i FROM d) x),
+ m AS (SELECT host, i + 1 AS place, 0 AS k FROM s JOIN r ON rule = '!' || s UNION ALL SELECT host, i, 1 FROM s JOIN r ON rule = s
+  UNION ALL SELECT host, i, 1 FROM s JOIN r ON rule = '*.' || up WHERE up <> ''),
+ b AS (SELECT host, arg_min(place, k * 1000 + place) AS place FROM m GROUP BY host),
+ p AS (SELECT d.host, l, coalesce(place, len(l)) AS place, array_to_string(l[coalesce(place, len(l)):], '.') AS tld,
+  CASE WHEN coalesce(place, len(l)) > 1 THEN array_to_string(l[coalesce(place, len(l)) - 1:], '.') END AS root FROM d LEFT JOIN b ON d.host = b.host)"""
+
+
+@query(f"""WITH h AS (SELECT o_orderkey, {_hosts_sql('o_orderkey', 1)} AS host FROM orders), {_parts_sql(ALL_RULES)}
+SELECT o_orderkey, h.host, CASE WHEN place > 2 THEN array_to_string(l[:place - 2], '.') END AS subdomain, root AS root_domain, tld FROM h JOIN p ON h.host = p.host""")
+def domain_parts_by_rules(t):
+    rows = t.read("orders").select("o_orderkey", _hosts(F.col("o_orderkey"), 1).alias("host"))
+    return spread_join(rows, host_parts(rows, rule_table(t)), ["host"]).select(
+        "o_orderkey", "host", "subdomain", "root_domain", "tld")
+
+
+@query(f"""WITH h AS (SELECT o_orderkey, {_hosts_sql('o_orderkey', 1)} AS host FROM orders), {_parts_sql(ALL_RULES[:len(REGISTRY_RULES)])}
+SELECT tld, count(*) AS orders, count(DISTINCT root) AS roots FROM h JOIN p ON h.host = p.host GROUP BY tld""")
+def registry_suffixes(t):
+    """Suffixes without the rules of private owners."""
+    rows = t.read("orders").select(_hosts(F.col("o_orderkey"), 1).alias("host"))
+    parts = host_parts(rows, rule_table(t), private=False)
+    return spread_join(rows, parts, ["host"]).groupBy("tld").agg(
+        F.count(F.lit(1)).alias("orders"), F.countDistinct("root_domain").alias("roots"))
+
+
+_PAIRS = f"""o AS (SELECT o_orderkey, {_hosts_sql('o_orderkey', 1)} AS host, {_hosts_sql('(o_orderkey + o_orderkey % 2 * 14 + (o_orderkey % 5 = 0)::INT)', 2)} AS wanted FROM orders)"""
+
+
+@query(f"""WITH {_PAIRS}, h AS (SELECT host FROM o UNION SELECT wanted FROM o), {_parts_sql(ALL_RULES)}
+SELECT o_orderkey, x.host, x.wanted, CAST(CASE WHEN {blocked_url("'https://' || x.host || '/privacy'")} THEN 0 WHEN x.host = x.wanted THEN 100 WHEN a.root = b.root THEN 95 ELSE 0 END AS INT) AS confidence
+FROM (SELECT o_orderkey, regexp_replace(host, '^www\\.', '') AS host, regexp_replace(wanted, '^www\\.', '') AS wanted, host AS full_host, wanted AS full_wanted FROM o) x
+JOIN p a ON a.host = x.full_host JOIN p b ON b.host = x.full_wanted""")
+def owners_by_rules(t):
+    """Whether an address belongs to a domain, where most names lie under the same suffix."""
+    key = F.col("o_orderkey")
+    other = key + key % 2 * 14 + (key % 5 == 0).cast("int")
+    rows = t.read("orders").select("o_orderkey", _hosts(key, 1).alias("host"), _hosts(other, 2).alias("wanted"))
+    checked = check_owner(rows, F.concat(F.lit("https://"), F.col("host"), F.lit("/privacy")), "wanted", suffixes=rule_table(t))
+    bare = lambda c: F.regexp_replace(c, r"^www\.", "")
+    return checked.select("o_orderkey", bare("host").alias("host"), bare("wanted").alias("wanted"),
+                          F.col("owner_confidence").alias("confidence"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clauselake import schemas
 from clauselake.functions.urls import url_host
 from clauselake.operators.keyed import top_per_key
+from clauselake.operators.suffixes import suffix_rules
 
 # File kinds of a corpus, and the event file name.
 CORPUS_GLOB = "*.{txt,md,html,htm,TXT,MD,HTML,HTM}"
@@ -18,11 +19,10 @@ EVENT_NAME = r"log_(\d{4}-\d{2}-\d{2})T(\d{2})-(\d{2})-(\d{2})-(\d{3})Z_(\w+)\.j
 def read_corpus(spark: SparkSession, path: str, glob: str = CORPUS_GLOB) -> DataFrame:
     """``filename, content`` of every text, Markdown and HTML file; unreadable ones are skipped."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
+        spark.read.option("pathGlobFilter", glob)
         .option("ignoreCorruptFiles", True)
         .option("ignoreMissingFiles", True)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
     )
 
@@ -111,6 +111,20 @@ def read_terms(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
     return table
 
 
+def read_public_suffixes(spark: SparkSession, path: str) -> DataFrame:
+    """Rules ``kind, name, private`` of a public suffix list file, as ``operators.suffixes`` takes them.
+
+    A line is a rule up to its first white space; empty lines and ``//`` comments fall out. Rules between the marks
+    ``===BEGIN PRIVATE DOMAINS===`` and ``===END PRIVATE DOMAINS===`` are private.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    marked = F.regexp_replace("value", r"(?m)^//\s*===(BEGIN|END) PRIVATE DOMAINS===.*$", "\u0001$1")
+    parts = whole.select(F.posexplode(F.split(marked, "\u0001BEGIN|\u0001END")).alias("part", "lines"))
+    lines = parts.select((F.col("part") % 2 == 1).alias("private"), F.explode(F.split("lines", r"\r?\n")).alias("line"))
+    rule = F.regexp_extract("line", r"^\s*(\S+)", 1)
+    return suffix_rules(lines.select(rule.alias("rule"), "private").where(~F.startswith("rule", F.lit("//"))))
+
+
 def sitemap_lines(robots: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
     """``Sitemap:`` lines of robots.txt bodies: url, pos, sitemap_url."""
     found = F.regexp_extract_all(F.col(body), F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), F.lit(1))

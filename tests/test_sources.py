@@ -16,10 +16,10 @@ T0 = dt.datetime(2024, 1, 1)
 
 
 def test_corpus_files(spark, tmp_path):
-    for name, text in (("a.txt", "one two"), ("b.MD", "# x"), ("c.html", "<p>y</p>"), ("d.pdf", "no")):
+    for name, text in (("a.txt", "one\n\ntwo\n"), ("b.MD", "# x"), ("c.html", "<p>y</p>"), ("d.pdf", "no")):
         (tmp_path / name).write_text(text)
     got = {tuple(r) for r in readers.read_corpus(spark, str(tmp_path)).collect()}
-    assert got == {("a.txt", "one two"), ("b.MD", "# x"), ("c.html", "<p>y</p>")}
+    assert got == {("a.txt", "one\n\ntwo\n"), ("b.MD", "# x"), ("c.html", "<p>y</p>")}
 
 
 def test_event_files(spark, tmp_path):
