@@ -8,6 +8,7 @@ tests: one large alternation was several times slower over whole texts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from operator import add, or_
@@ -50,9 +51,61 @@ def terms_found(text: Column, terms: Sequence[str]) -> Column:
 
 
 def _found(bound: Column, terms: Sequence[str]) -> Column:
+    if len(terms) >= INDEX_FROM:
+        return _found_indexed(bound, terms)
     return F.filter(literal_array(terms), lambda t: F.contains(bound, t))
 
 
+# Terms from which on a text is looked up in an index of its letters instead of being searched once per term: at sf 0.1
+# 127 terms take 1.7 s by search and 3.7 s by index, 500 take 5.5 s both ways, 2000 take 21 and 14 s.
+INDEX_FROM = 800
+
+
+def gram_index(terms: Sequence[str]) -> dict[str, list[int]]:
+    """Places of the terms by a run of three characters that every match holds (fewer in shorter terms).
+
+    The run lies inside one word of the term. Of its runs a term takes the one that fewest terms share; a
+    term without any character but white space has none and stands under the empty run.
+    """
+    runs = []
+    for t in terms:
+        words = re.split(f"[{re.escape(SPACES)}]+", t)
+        found = {w[i:i + 3] for w in words if len(w) >= 3 for i in range(len(w) - 2)}
+        runs.append(found or {max(words, key=len)[:2]})
+    shared = Counter(r for found in runs for r in found)
+    index: dict[str, list[int]] = {}
+    for place, found in enumerate(runs):
+        index.setdefault(min(found, key=lambda r: (shared[r], r)), []).append(place)
+    return index
+
+
+def _grams(word: Column, size: int) -> Column:
+    places = F.when(F.length(word) >= size, F.sequence(F.lit(1), F.length(word) - (size - 1)))
+    return F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.substring(word, i, F.lit(size)))
+
+
+def _found_indexed(bound: Column, terms: Sequence[str]) -> Column:
+    """The terms that occur, in the order of the list: the distinct runs of the text are met with the runs of the
+    terms as hash sets, and only terms whose run is there are searched for."""
+    index = gram_index(terms)
+    words = F.array_distinct(F.split(bound, f"[{SPACE_SET}]+"))
+    sizes = sorted({len(r) for r in index} - {0})
+    grams = F.flatten(F.transform(words, lambda w: F.concat(*[_grams(w, n) for n in sizes])))
+    keys = literal_array(index)
+    places = F.split(F.lit("\x1f".join(",".join(map(str, p)) for p in index.values())), "\x1f", -1)
+    hits = F.array_intersect(keys, grams)
+    if "" in index:
+        hits = F.array_union(hits, F.array(F.lit("")))
+
+    def candidates(found: Column) -> Column:
+        lists = F.transform(found, lambda g: F.split(F.element_at(places, F.array_position(keys, g).cast("int")), ","))
+        return F.array_sort(F.transform(F.flatten(lists), lambda p: p.cast("int")))
+
+    words_of = literal_array(terms)
+    tried = F.transform(let(hits, candidates), lambda p: F.get(words_of, p))
+    return F.filter(tried, lambda t: F.contains(bound, t))
+
+
 def terms_found_count(text: Column, terms: Sequence[str]) -> Column:
     return F.size(terms_found(text, terms))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clauselake.functions import terms as tm
 from clauselake.functions import text as tx
 from clauselake.operators import detection as de
 from clauselake.queries.base import (
@@ -448,3 +449,31 @@ def keep_verified_claims(t):
     return de.keep_verified(
         items, verified, ["id"], "claim", F.col("category").isin("THREAT", "CONCERNING")
     )
+
+
+# A word list made by rule, long enough for the index: all words of three of these syllables.
+SYLLABLES = ("th", "en", "er", "ou", "in", "an", "on", "re", "es", "ti")
+MANY_TERMS = [a + b + c for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES]
+
+
+@query(f"""SELECT doc_id, len(f) AS terms_found, array_to_string(f, ' ') AS terms, CAST(coalesce(list_sum(list_transform(f, lambda t:
+ (length(x) - length(replace(x, t, ''))) // length(t))), 0) AS INT) AS occurrences FROM (
+ SELECT doc_id, x, list_filter([{', '.join(map(q, MANY_TERMS))}], lambda t: contains(x, t)) AS f FROM (SELECT doc_id, lower(text) AS x FROM documents) a) b""")
+def many_terms(t):
+    """A long word list over whole texts, by the index of letters."""
+    low = F.lower("text")
+    return t.documents.select("doc_id", tm.occurrence_map(low, MANY_TERMS).alias("found")).select(
+        "doc_id", F.size("found").alias("terms_found"), F.array_join(F.map_keys("found"), " ").alias("terms"),
+        F.aggregate(F.map_values("found"), F.lit(0), lambda a, n: a + n).alias("occurrences"))
+
+
+@query(_signals_sql() + """SELECT doc_id, array_to_string(list_filter([
+ CASE WHEN characters < 500 THEN 'Content too short (' || characters || ' chars, need 500)' END,
+ CASE WHEN words < 100 THEN 'Not enough words (' || words || ', need 100)' END,
+ CASE WHEN keyword_count < 3 THEN 'Not enough privacy keywords (' || keyword_count || ', need 3)' END,
+ CASE WHEN len(topics) < 2 THEN 'Not enough privacy topics covered (' || len(topics) || ', need 2)' END,
+ CASE WHEN negative > positive THEN 'More negative indicators (' || negative || ') than positive (' || positive || ') - may not be a privacy policy' END],
+ lambda s: s IS NOT NULL), ' | ') AS issues FROM v_signals""")
+def content_issue_texts(t):
+    """What the content check says, word by word."""
+    return de.validate_content(_signals(t)).select("doc_id", F.array_join("content_issues", " | ").alias("issues"))

@@ -280,3 +280,12 @@ def owners_by_rules(t):
     bare = lambda c: F.regexp_replace(c, r"^www\.", "")
     return checked.select("o_orderkey", bare("host").alias("host"), bare("wanted").alias("wanted"),
                           F.col("owner_confidence").alias("confidence"))
+
+
+@query(f"""WITH {OWNER} SELECT page_id, array_to_string(list_filter([
+ CASE WHEN owner = 0 THEN CASE WHEN host IS NULL THEN 'Invalid URL format' WHEN blocked THEN 'URL is from a blocked domain type (social media, directory, etc.)'
+  ELSE 'URL domain (' || host || ') doesn''t match target domain (' || wanted || ')' END END,
+ CASE WHEN quality < 30 THEN 'Low quality domain score' END, CASE WHEN blocked THEN 'URL matches blocked pattern' END], lambda s: s IS NOT NULL), ' | ') AS issues FROM k""")
+def url_issue_texts(t):
+    """What the address check says, word by word."""
+    return validate_urls(t.pages, "url", _target()).select("page_id", F.array_join("url_issues", " | ").alias("issues"))
