@@ -88,7 +88,7 @@ def _found_indexed(bound: Column, terms: Sequence[str]) -> Column:
     """The terms that occur, in the order of the list: the distinct runs of the text are met with the runs of the
     terms as hash sets, and only terms whose run is there are searched for."""
     index = gram_index(terms)
-    words = F.array_distinct(F.split(bound, f"[{SPACE_SET}]+"))
+    words = F.array_distinct(F.split(F.coalesce(bound, F.lit("")), f"[{SPACE_SET}]+"))
     sizes = sorted({len(r) for r in index} - {0})
     grams = F.flatten(F.transform(words, lambda w: F.concat(*[_grams(w, n) for n in sizes])))
     keys = literal_array(index)

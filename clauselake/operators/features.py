@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from clauselake.functions import urls as ur
 from clauselake.operators.detection import page_evidence
 from clauselake.operators.keyed import spread_join
 from clauselake.operators.staging import computed
+from clauselake.session import durable, exists, remove, shared_folder
 from clauselake.values import feature_terms as V
 
 # Feature names in model order.
@@ -182,30 +185,95 @@ def score_links(links: DataFrame, layers: Sequence[tuple], features: str = "feat
     )
 
 
-def train_link_model(examples: DataFrame, layers: Sequence[int] = (24, 32, 16, 2),
-                     newest: int | None = None, seed: int = 7, max_iter: int = 200,
-                     features: str = "features", target: str = "target"):
-    """Fit a network of the same shape on all examples; returns ``(model, accuracy)``.
-
-    ``newest`` trains on the newest rows only (10 000 was usual). Solver and output layer differ
-    from per-row descent, so results compare by accuracy, not by weight.
+def first_weights(layers: Sequence[int], seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Normal weights and biases of variance ``2 / inputs``, the same for the same seed."""
+    draw = np.random.default_rng(seed)
+    spread = [np.sqrt(2.0 / n) for n in layers]
+    return [(draw.normal(0, s, (out, n)), draw.normal(0, s, out)) for n, out, s in zip(layers, layers[1:], spread)]
+
+
+def gradient_sums(stack: Sequence[tuple[np.ndarray, np.ndarray]], x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per layer the summed directions that lower half the squared error of a sigmoid network."""
+    seen = [x]
+    for w, b in stack:
+        seen.append(1.0 / (1.0 + np.exp(-np.clip(seen[-1] @ w.T + b, -500, 500))))
+    error, out = y[:, None] - seen[-1], []
+    for (w, _), before, after in zip(reversed(stack), reversed(seen[:-1]), reversed(seen[1:])):
+        step = error * after * (1 - after)
+        out.append((step.T @ before, step.sum(0)))
+        error = step @ w
+    return out[::-1]
+
+
+def train_link_model(examples: DataFrame, layers: Sequence[int] = (24, 32, 16, 1), newest: int | None = None,
+                     seed: int = 7, epochs: int = 5, batch_rows: int = 65_536, rate: float = 0.15, momentum: float = 0.9,
+                     features: str = "features", target: str = "target") -> tuple[list[tuple[list, list]], float]:
+    """Train a sigmoid network by gradient descent with momentum; returns ``(layers, accuracy)``.
+
+    The layers go into ``score_links``. Rows are dealt into batches of about ``batch_rows`` by a hash of their
+    values and written once, a folder per batch; an epoch reads every batch once, in an order drawn from the
+    seed. The tasks of a batch send the sum of their rows' gradients, and one step follows their mean. With
+    ``batch_rows=1`` that is descent row by row. ``newest`` trains on the newest rows only (10 000 was usual).
+    Rows with a null target, or features that are null, of another length or hold a null, teach nothing. The accuracy
+    is that of the trained rows; without any it is 0 and the first weights come back.
     """
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector
-
     rows = examples
     if newest is not None:
         rows = rows.orderBy(F.col("created_at").desc()).limit(newest)
-    data = rows.select(
-        array_to_vector(F.col(features)).alias("features"), F.col(target).cast("double").alias("label")
-    )
-    model = MultilayerPerceptronClassifier(
-        layers=list(layers), seed=seed, maxIter=max_iter, featuresCol="features", labelCol="label"
-    ).fit(data)
-    right = model.transform(data).agg(
-        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")
-    )
-    return model, right.first()["a"]
+    x, y = F.col(features).cast("array<double>"), F.col(target).cast("double")
+    usable = y.isNotNull() & (F.size(x) == layers[0]) & ~F.exists(x, lambda v: v.isNull())
+    data = durable(rows.select(x.alias("x"), y.alias("y")).where(F.coalesce(usable, F.lit(False)))
+                   .withColumn("row", F.monotonically_increasing_id()))
+    stack = first_weights(layers, seed)
+    count = data.count()
+    if count:
+        batches = -(-count // batch_rows)
+        spark = examples.sparkSession
+        folder = f"{shared_folder(spark)}/training-{uuid.uuid4().hex}"
+        # Equal rows still differ in their place, so that no value fills a batch.
+        dealt = F.pmod(F.xxhash64(F.lit(seed), "x", "y", "row"), F.lit(batches))
+        data.select("x", "y", dealt.alias("batch")).repartition(F.col("batch")).write.partitionBy("batch").parquet(folder)
+        stack = _descend(spark, folder, stack, sorted(set(range(batches))), epochs, seed, rate, momentum)
+        remove(spark, folder)
+    plain = [(w.tolist(), b.tolist()) for w, b in stack]
+    right = score_links(data.select("x", "y"), plain, "x").agg(F.avg((F.col("is_policy").cast("double") == F.col("y")).cast("double")))
+    return plain, right.first()[0] if count else 0.0
+
+
+def _descend(spark, folder, stack, batches, epochs, seed, rate, momentum):
+    def sums(rows, stack):
+        def run(parts):
+            total, n = None, 0
+            for part in parts:
+                x = part.column(0).flatten().to_numpy().reshape(part.num_rows, -1) if part.num_rows else None
+                if x is None:
+                    continue
+                found = gradient_sums(stack, x, part.column(1).to_numpy())
+                total = found if total is None else [(a + c, b + d) for (a, b), (c, d) in zip(total, found)]
+                n += part.num_rows
+            if total is not None:
+                flat = np.concatenate([v.ravel() for pair in total for v in pair])
+                yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["g", "n"])
+
+        # One row of a few thousand numbers per task of a batch.
+        return rows.mapInArrow(run, "g array<double>, n long").collect()
+
+    speed = [np.zeros_like(v) for pair in stack for v in pair]
+    schema = "x array<double>, y double"
+    order = np.random.default_rng(seed)
+    there = {b: f"{folder}/batch={b}" for b in batches}
+    there = {b: p for b, p in there.items() if exists(spark, p)}
+    for _ in range(epochs):
+        for b in order.permutation(sorted(there)):
+            found = sorted(sums(spark.read.schema(schema).parquet(there[b]), stack), key=lambda r: (r.n, r.g))
+            mean = np.sum([r.g for r in found], axis=0) / sum(r.n for r in found)
+            at, flat = 0, [v for pair in stack for v in pair]
+            for i, v in enumerate(flat):
+                speed[i] = momentum * speed[i] + rate * mean[at:at + v.size].reshape(v.shape)
+                at += v.size
+            moved = [v + s for v, s in zip(flat, speed)]
+            stack = list(zip(moved[::2], moved[1::2]))
+    return stack
 
 
 def feedback_examples(feedback: DataFrame, pages: DataFrame, text_chars: int | None = None) -> DataFrame:

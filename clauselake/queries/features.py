@@ -166,16 +166,16 @@ def score_links(t):
 
 @query()
 def train_link_model(t):
-    """Rows only: a network fitted on all links, to tell footer links from others."""
+    """Rows only: a network trained on all links, to tell links of footers and legal boxes from others."""
     links = li.extract_links(t.laid_pages, only_privacy=False)
     rows = links.select(
-        fe.link_features(F.col("text"), F.col("href"), F.lit("unknown"), F.col("url")).alias("features"),
-        (F.col("context") == "footer").cast("int").alias("target"),
+        fe.link_features(F.col("text"), F.col("href"), F.col("context"), F.col("url")).alias("features"),
+        F.col("context").isin("footer", "legal_hub").cast("int").alias("target"),
     )
-    model, accuracy = fe.train_link_model(rows, layers=(24, 8, 2), max_iter=30)
+    layers, accuracy = fe.train_link_model(rows, epochs=40, rate=4.0)
     return rows.groupBy("target").agg(F.count(F.lit(1)).alias("examples")).withColumn(
         "accuracy", F.lit(accuracy)
-    ).withColumn("layers", F.lit(len(model.getLayers())))
+    ).withColumn("layers", F.lit(len(layers)))
 
 
 FEEDBACK = """f AS (SELECT user_id AS domain, event_id, (SELECT count(*) FROM pages) AS n, event_type FROM events WHERE event_type IN ('signup', 'error')),

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clauselake.operators import features as fe
@@ -66,10 +67,51 @@ def test_load_weights():
     assert fe.load_weights('[{"weights": [[1, 2]], "bias": [3]}]') == [([[1, 2]], [3])]
 
 
+XOR = [([0.0, 0.0], 0), ([0.0, 1.0], 1), ([1.0, 0.0], 1), ([1.0, 1.0], 0)]
+
+
 def test_xor_is_learned(spark):
-    df = spark.createDataFrame([([0.0, 0.0], 0), ([0.0, 1.0], 1), ([1.0, 0.0], 1), ([1.0, 1.0], 0)] * 5, "features array<double>, target int")
-    _, accuracy = fe.train_link_model(df, layers=(2, 4, 2), seed=11, max_iter=500)
+    df = spark.createDataFrame(XOR * 5, "features array<double>, target int").coalesce(2)
+    layers, accuracy = fe.train_link_model(df, layers=(2, 6, 1), seed=11, epochs=60, rate=8.0)
     assert accuracy == 1.0
+    scored = fe.score_links(df, layers).select("target", "is_policy").collect()
+    assert all(r.is_policy == bool(r.target) for r in scored)
+
+
+def test_training_equals_a_run_on_the_driver(spark):
+    """One batch: the steps are those of plain descent with momentum, however the rows lie."""
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 24))
+    y = (x[:, 3] + x[:, 11] > 1).astype(int)
+    df = spark.createDataFrame([(v.tolist(), int(t)) for v, t in zip(x, y)], "features array<double>, target int").repartition(5)
+    got, accuracy = fe.train_link_model(df, epochs=20, rate=0.5)
+    stack = [[w.copy(), b.copy()] for w, b in fe.first_weights((24, 32, 16, 1), 7)]
+    speed = [[np.zeros_like(w), np.zeros_like(b)] for w, b in stack]
+    for _ in range(20):
+        out = [x]
+        for w, b in stack:
+            out.append(1 / (1 + np.exp(-(out[-1] @ w.T + b))))
+        delta = (y[:, None] - out[-1]) * out[-1] * (1 - out[-1])
+        for k in (2, 1, 0):
+            back = delta @ stack[k][0]
+            for i, g in enumerate((delta.T @ out[k], delta.sum(0))):
+                speed[k][i] = 0.9 * speed[k][i] + 0.5 * g / 300
+            delta = back * out[k] * (1 - out[k])
+        for k in range(3):
+            for i in (0, 1):
+                stack[k][i] = stack[k][i] + speed[k][i]
+    for (w, b), (v, c) in zip(got, stack):
+        assert np.allclose(w, v, atol=1e-9) and np.allclose(b, c, atol=1e-9)
+    assert 0 < accuracy <= 1
+
+
+def test_training_is_the_same_twice_and_for_odd_rows(spark):
+    rows = [([0.1, 0.2], 1), ([0.9, 0.1], 0), (None, 1), ([0.1], 1), ([0.1, None], 0), ([0.3, 0.3], None)] * 6
+    df = spark.createDataFrame(rows, "features array<double>, target int").coalesce(1)
+    a = fe.train_link_model(df, layers=(2, 3, 1), epochs=2, batch_rows=3)
+    assert a == fe.train_link_model(df, layers=(2, 3, 1), epochs=2, batch_rows=3)
+    layers, accuracy = fe.train_link_model(df.limit(0), layers=(2, 3, 1))
+    assert accuracy == 0.0 and len(layers) == 2
 
 
 def test_feedback(spark):
