@@ -514,3 +514,32 @@ def read_policies(t):
     return flows.read_policies(t.pages).select("page_id", "content_confidence", "content_valid")
 
 
+
+
+# Sitemaps over the given pages: a file per page, an index per ten pages, indexes of ten indexes that also name the
+# index before them, and two that name each other.
+_LEAF, _INNER, _OUTER = "'https://m.example/l' || page_id", "'https://m.example/i' || (page_id // 10)", "'https://m.example/o' || (page_id // 100)"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT page_id, url FROM pages),
+ e(a, b) AS (SELECT DISTINCT {_INNER}, {_LEAF} FROM p UNION SELECT {_OUTER}, {_INNER} FROM p
+  UNION SELECT {_OUTER}, 'https://m.example/o' || (page_id // 100 - 1) FROM p UNION SELECT 'https://m.example/o0', 'https://m.example/o1'),
+ r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT s AS sitemap_url, count(*) AS addresses, count(DISTINCT loc) AS distinct_addresses FROM (
+ SELECT {_LEAF} AS s, url AS loc FROM p UNION ALL SELECT r.a, url FROM r JOIN p ON r.b = {_LEAF}) x GROUP BY s""")
+def nested_sitemaps(t):
+    """Indexes of indexes, with loops."""
+    p = t.read("pages").select("page_id", "url")
+    at = lambda letter, n: F.concat(F.lit("https://m.example/" + letter), n.cast("string"))
+    page = F.col("page_id")
+    inner, outer = F.floor(page / 10), F.floor(page / 100)
+    leaf = p.select(at("l", page).alias("url"), F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc></url></urlset>")).alias("body"))
+    edges = p.select(at("i", inner).alias("a"), at("l", page).alias("b")).unionByName(
+        p.select(at("o", outer).alias("a"), at("i", inner).alias("b"))).unionByName(
+        p.select(at("o", outer).alias("a"), at("o", outer - 1).alias("b"))).unionByName(
+        p.select(F.lit("https://m.example/o0").alias("a"), F.lit("https://m.example/o1").alias("b"))).distinct()
+    index = edges.groupBy(F.col("a").alias("url")).agg(F.concat(
+        F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "b", F.lit("</loc></sitemap>"))), ""),
+        F.lit("</sitemapindex>")).alias("body"))
+    return read_sitemap_urls(leaf.unionByName(index)).groupBy("sitemap_url").agg(
+        F.count(F.lit(1)).alias("addresses"), F.countDistinct("loc").alias("distinct_addresses"))

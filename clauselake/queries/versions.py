@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from clauselake.functions import text as tx
@@ -18,6 +20,8 @@ from clauselake.queries.base import (
     trim_sql,
     with_views,
 )
+from clauselake.session import durable, remove, shared_folder
+from clauselake.sources import stored
 from clauselake.streaming.jobs import policy_changes_batch
 
 TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
@@ -184,12 +188,14 @@ def policy_changes(t):
 # --------------------------------------------------------------------------- keyed tables
 
 
-@query("""WITH b AS (SELECT o_custkey AS user_id, o_orderpriority AS domain, min(o_orderkey) AS id, min(o_totalprice) AS score FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+UPSERT_SQL = """WITH b AS (SELECT o_custkey AS user_id, o_orderpriority AS domain, min(o_orderkey) AS id, min(o_totalprice) AS score FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
  u AS (SELECT o_custkey AS user_id, o_orderpriority AS domain, o_orderkey AS id, o_totalprice AS score FROM orders WHERE o_orderstatus <> 'F'
   QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
 SELECT coalesce(b.user_id, u.user_id) AS user_id, coalesce(b.domain, u.domain) AS domain, coalesce(b.id, u.id) AS id, CASE WHEN u.id IS NOT NULL THEN u.score ELSE b.score END AS score
- FROM b FULL JOIN u ON b.user_id = u.user_id AND b.domain = u.domain""")
-def upsert_rows(t):
+ FROM b FULL JOIN u ON b.user_id = u.user_id AND b.domain = u.domain"""
+
+
+def _upserted(t):
     o = t.read("orders").select(
         F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("domain"),
         F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), "o_orderstatus",
@@ -198,9 +204,26 @@ def upsert_rows(t):
     base = o.where("o_orderstatus = 'F'").groupBy("user_id", "domain").agg(
         F.min("id").alias("id"), F.min("score").alias("score")
     )
-    updates = o.where("o_orderstatus <> 'F'")
-    return ke.upsert(base, updates, ["user_id", "domain"],
-                     [F.col("o_orderdate").desc(), F.col("id").desc()], keep=["id"])
+    return base, o.where("o_orderstatus <> 'F'"), [F.col("o_orderdate").desc(), F.col("id").desc()]
+
+
+@query(UPSERT_SQL)
+def upsert_rows(t):
+    base, updates, order = _upserted(t)
+    return ke.upsert(base, updates, ["user_id", "domain"], order, keep=["id"])
+
+
+@query(UPSERT_SQL)
+def upsert_stored_rows(t):
+    """The same in a stored table, bucket by bucket, one round of updates for each half of the users."""
+    base, updates, order = _upserted(t)
+    path, keys = f"{shared_folder(t.spark)}/stored-{uuid.uuid4().hex}", ["user_id", "domain"]
+    stored.create_stored(base, path, keys, 16)
+    for half in (0, 1):
+        stored.upsert_stored(t.spark, path, updates.where(F.col("user_id") % 2 == half), keys, order, 16, keep=["id"])
+    out = durable(stored.read_stored(t.spark, path))
+    remove(t.spark, path)
+    return out
 
 
 @query(with_views(V_VERSIONS) + """, b AS (SELECT domain, policy_type, content_hash, max(id) AS id, max(score) AS score FROM v_versions WHERE id % 2 = 0 GROUP BY 1, 2, 3),

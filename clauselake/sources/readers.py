@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from clauselake import schemas
 from clauselake.functions.urls import url_host
-from clauselake.operators.keyed import top_per_key
+from clauselake.operators.keyed import spread_join, top_per_key
 from clauselake.operators.suffixes import suffix_rules
+from clauselake.session import durable
 
 # File kinds of a corpus, and the event file name.
 CORPUS_GLOB = "*.{txt,md,html,htm,TXT,MD,HTML,HTM}"
@@ -145,23 +146,29 @@ def sitemap_sources(domains: DataFrame, robots_lines: DataFrame, limit: int | No
     )
 
 
-def read_sitemap_urls(sitemaps: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
-    """All addresses of url sets, and those of all children of index files.
+def read_sitemap_urls(sitemaps: DataFrame, url: str = "url", body: str = "body", max_depth: int | None = None) -> DataFrame:
+    """All addresses of url sets, and those of every url set that an index file reaches.
 
-    Result: sitemap_url, loc. Children are looked up in the same table, once per index that names them.
+    Result: sitemap_url, loc. An index may name further indexes, to any depth (or ``max_depth`` steps); each index
+    reaches a file once, however many ways lead to it, and indexes that name each other end there. Files
+    that are not in the table give nothing.
     """
     xml = F.col(body)
     locs = F.regexp_extract_all(
         xml, F.lit(r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</loc>"), F.lit(1)
     )
-    is_index = F.rlike(xml, F.lit(r"(?i)<sitemapindex[\s>]"))
+    is_index = F.coalesce(F.rlike(xml, F.lit(r"(?i)<sitemapindex[\s>]")), F.lit(False))
     plain = sitemaps.where(~is_index).select(F.col(url).alias("sitemap_url"), locs.alias("_locs"))
-    children = sitemaps.where(is_index).select(
-        F.col(url).alias("parent"), F.explode(F.array_distinct(locs)).alias("sitemap_url")
-    )
-    of_children = plain.join(children, "sitemap_url").select(
-        F.col("parent").alias("sitemap_url"), "_locs"
-    )
+    edges = durable(sitemaps.where(is_index).select(
+        F.col(url).alias("_from"), F.explode(F.array_distinct(locs)).alias("_to")).distinct())
+    reached = durable(edges.select(F.col("_from").alias("parent"), F.col("_to").alias("sitemap_url")))
+    frontier, depth = reached, 1
+    while max_depth is None or depth < max_depth:
+        # Only what was reached for the first time goes on, so loops end.
+        step = frontier.join(edges, F.col("sitemap_url") == F.col("_from")).select("parent", F.col("_to").alias("sitemap_url")).distinct()
+        frontier = durable(step.join(reached, ["parent", "sitemap_url"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        reached, depth = durable(reached.unionByName(frontier)), depth + 1
+    of_children = spread_join(plain, reached, ["sitemap_url"]).select(F.col("parent").alias("sitemap_url"), "_locs")
     return plain.unionByName(of_children).select("sitemap_url", F.explode("_locs").alias("loc"))
-
-
