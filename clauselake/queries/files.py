@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clauselake.operators import corpus as co
 from clauselake.queries.base import query, with_views
 from clauselake.queries.corpus import V_BIGRAMS, V_WORDS, tokens_view
-from clauselake.session import shared_folder
+from clauselake.session import durable, remove, shared_folder
 from clauselake.sources.readers import read_pages
 from clauselake.sources.writers import append_examples, write_frequencies
 
@@ -37,7 +37,9 @@ def written_frequencies(t):
         t.spark.read.schema(TERMS).json(f"{root}/{kind}").select(F.lit(kind).alias("kind"), "*")
         for kind in ("words", "bigrams")
     ]
-    return parts[0].unionByName(parts[1])
+    out = durable(parts[0].unionByName(parts[1]))
+    remove(t.spark, root)
+    return out
 
 
 @query("SELECT event_type AS target, count(*) AS examples, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
@@ -47,6 +49,8 @@ def appended_examples(t):
     rows = t.read("events").select("event_id", F.col("event_type").alias("target"))
     for rest in (0, 1):
         append_examples(rows.where(F.pmod("event_id", F.lit(2)) == rest), root)
-    return t.spark.read.parquet(root).groupBy("target").agg(
+    out = durable(t.spark.read.parquet(root).groupBy("target").agg(
         F.count(F.lit(1)).alias("examples"), F.sum("event_id").alias("ids")
-    )
+    ))
+    remove(t.spark, root)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clauselake.operators import operations as op
 from clauselake.functions.text import content_hash
 from clauselake.queries.base import HASH, V_ANALYSIS_LOG, V_LOGS, Tables, query, with_views
-from clauselake.session import shared_folder
+from clauselake.session import durable, remove, shared_folder
 from clauselake.streaming import jobs
 
 STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
@@ -178,7 +178,9 @@ def _run(t: Tables, stream):
     """Run a stream over the files that are there; sink and state go to the shared folder."""
     root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     jobs.run_available(stream, f"{root}/out", f"{root}/state")
-    return t.spark.read.schema(stream.schema).parquet(f"{root}/out")
+    out = durable(t.spark.read.schema(stream.schema).parquet(f"{root}/out"))
+    remove(t.spark, root)
+    return out
 
 
 CHANGE_SQL = f"""WITH v AS (SELECT source AS domain, lang AS policy_type, {HASH} AS h, CAST(1 + (doc_id * 37) % 100 AS INT) AS score, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS at_time FROM documents),
@@ -203,12 +205,39 @@ def stream_policy_changes(t):
     return out.withColumn("analyzed_at", _stamp("analyzed_at"))
 
 
+@query(CHANGE_SQL + " AND at_time >= TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((SELECT max(doc_id) // 4 FROM documents) AS INT))")
+def stateful_policy_changes(t):
+    """State that begins with a table: the oldest quarter is known, the rest comes as a stream in three parts."""
+    root, spark = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}", t.spark
+    d = t.read("documents")
+    rows = durable(d.select(
+        F.col("source").alias("domain"), F.col("lang").alias("policy_type"), content_hash(F.col("text")).alias("content_hash"),
+        (1 + (F.col("doc_id") * 37) % 100).cast("int").alias("score"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("analyzed_at"), "doc_id"))
+    last = rows.agg(F.max("doc_id")).first()[0] or 0
+    cuts = [last // 4, last // 2, last * 3 // 4, last + 1]
+    known = rows.where(F.col("doc_id") < cuts[0]).drop("doc_id")
+    before = spark.conf.get(jobs.STORE[0])
+    spark.conf.set(*jobs.STORE)
+    try:
+        for low, high in zip(cuts, cuts[1:]):
+            rows.where((F.col("doc_id") >= low) & (F.col("doc_id") < high)).drop("doc_id").write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(known.schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/in")
+            jobs.run_available(jobs.stateful_policy_changes(stream, known), f"{root}/out", f"{root}/state")
+    finally:
+        spark.conf.set(jobs.STORE[0], before)
+    out = durable(spark.read.parquet(f"{root}/out"))
+    remove(spark, root)
+    return out.withColumn("analyzed_at", _stamp("analyzed_at"))
+
+
 @query(CHANGE_SQL)
 def batched_policy_changes(t):
     """State as a table, each micro-batch through the batch operators."""
     root = f"{shared_folder(t.spark)}/changes-{uuid.uuid4().hex}"
     jobs.run_policy_changes(_snapshots(t), root, f"{root}/checkpoint")
-    out = t.spark.read.parquet(f"{root}/changes").drop("batch")
+    out = durable(t.spark.read.parquet(f"{root}/changes").drop("batch"))
+    remove(t.spark, root)
     return out.withColumn("analyzed_at", _stamp("analyzed_at"))
 
 
@@ -234,3 +263,40 @@ def stream_log_sessions(t):
     return out.withColumn("start_time", _stamp("start_time")).withColumn("end_time", _stamp("end_time"))
 
 
+
+
+# --------------------------------------------------------------------------- streams to their end
+
+
+def _run_to_end(t: Tables, rows, build):
+    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    jobs.run_to_end(rows, build, f"{root}/out", f"{root}/state", f"{root}/marks")
+    out = durable(t.spark.read.parquet(f"{root}/out"))
+    remove(t.spark, root)
+    return out
+
+
+def _delivered_twice(rows):
+    """A third of the entries comes a second time."""
+    return rows.unionByName(rows.where(F.col("event_id") % 3 == 0))
+
+
+@query(with_views(V_REQUESTS) + f"""SELECT host, {STAMP.format('w')} AS window_start, count(*) AS requests
+ FROM (SELECT host, time_bucket(INTERVAL '30 minutes', ts) AS w FROM v_requests) x GROUP BY host, w HAVING count(*) > 3""")
+def stream_request_bursts_to_end(t):
+    """All windows, also those that are open when the entries end; repeated requests count once."""
+    rows = _delivered_twice(_stream(t, "events").select(F.col("event_type").alias("host"), "ts", "event_id", F.col("event_id").alias("id")))
+    out = _run_to_end(t, rows, lambda r: jobs.stream_request_bursts(r, "30 minutes", 3, once_by=["event_id"]))
+    return out.withColumn("window_start", _stamp("window_start"))
+
+
+@query(with_views(V_LOGS) + SESSIONS)
+def stream_log_sessions_to_end(t):
+    """All sessions, also those that are open when the log ends; repeated entries count once."""
+    rows = _delivered_twice(_stream(t, "events").select(
+        F.col("user_id").alias("session_id"), "ts", "event_id",
+        F.when(F.col("event_type") == "view", "network").otherwise("system").alias("category"),
+        F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level"),
+    ))
+    out = _run_to_end(t, rows, lambda r: jobs.stream_log_sessions(r, "6 hours", once_by=["event_id"]))
+    return out.withColumn("start_time", _stamp("start_time")).withColumn("end_time", _stamp("end_time"))

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from clauselake import schemas
@@ -172,6 +173,51 @@ def test_late_snapshot_is_dropped(spark, tmp_path):
     assert [(r.new_score, r.change_type) for r in spark.read.parquet(out).collect()] == [(1, "content_changed")]
 
 
+@pytest.fixture
+def disk_state(spark):
+    spark.conf.set(*jobs.STORE)
+    yield
+    spark.conf.unset(jobs.STORE[0])
+
+
+def test_stateful_changes_begin_with_a_table_and_go_on_after_a_restart(spark, tmp_path, disk_state):
+    rows = snapshots(120)
+    src, out, check = str(tmp_path / "s"), str(tmp_path / "o"), str(tmp_path / "c")
+    known = spark.createDataFrame(rows[:30], SNAP)
+    for a, b in ((30, 60), (60, 61), (61, 120)):
+        in_parts(spark, rows[a:b], SNAP, src, 1 if b - a < 3 else 3)
+        jobs.run_available(jobs.stateful_policy_changes(stream_of(spark, src, SNAP), known), out, check)
+    got = {tuple(r) for r in spark.read.parquet(out).collect()}
+    every = {tuple(r) for r in jobs.policy_changes_batch(spark.createDataFrame(rows, SNAP)).collect()}
+    assert got == {r for r in every if r[2] >= rows[30][4]} and len(got) > 40
+
+
+def test_silent_keys_are_forgotten(spark, tmp_path, disk_state):
+    src, out, check = str(tmp_path / "s"), str(tmp_path / "o"), str(tmp_path / "c")
+    parts = [[("a", "p", "x", 1, T0), ("b", "p", "x", 1, T0)], [("b", "p", "y", 1, T0 + dt.timedelta(days=3))],
+             [("b", "p", "y", 1, T0 + dt.timedelta(days=6))], [("a", "p", "z", 1, T0 + dt.timedelta(days=7)), ("b", "p", "z", 1, T0 + dt.timedelta(days=7))]]
+    for part in parts:
+        in_parts(spark, part, SNAP, src, 1)
+        jobs.run_available(jobs.stateful_policy_changes(stream_of(spark, src, SNAP), silent_ms=4 * 86_400_000), out, check)
+    assert sorted((r.domain, r.analyzed_at) for r in spark.read.parquet(out).collect()) == [
+        ("b", T0 + dt.timedelta(days=3)), ("b", T0 + dt.timedelta(days=7))]
+
+
+def test_a_stream_to_its_end_closes_all_and_counts_once(spark, tmp_path):
+    schema = "session_id string, ts timestamp, category string, level string, id int"
+    rows = [("s", T0 + dt.timedelta(minutes=10 * i), "network", "error" if i % 2 else "info", i) for i in range(20)]
+    rows += [("t", T0 + dt.timedelta(minutes=m), "x", "info", 100 + m) for m in (0, 50, 199)]
+    src, out, check, marks = (str(tmp_path / x) for x in "socm")
+    in_parts(spark, rows + rows[5:9], schema, src, 1)
+    build = lambda r: jobs.stream_log_sessions(r, once_by=["id"])
+    jobs.run_to_end(stream_of(spark, src, schema), build, out, check, marks)
+    got = sorted(map(tuple, spark.read.parquet(out).collect()))
+    df = spark.createDataFrame(rows + rows[5:9], schema)
+    assert got == sorted(map(tuple, build(df).collect())) and len(got) == 4
+    jobs.run_to_end(stream_of(spark, src, schema), build, out, check, marks)
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == got
+
+
 LOG = "session_id string, ts timestamp, category string, level string"
 
 
