@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clauselake.operators import corpus as co
 from clauselake.queries.base import query, with_views
 from clauselake.queries.corpus import V_BIGRAMS, V_WORDS, tokens_view
 from clauselake.session import durable, remove, shared_folder
-from clauselake.sources.readers import read_pages
+from clauselake.sources.readers import read_analysis_log, read_pages
 from clauselake.sources.writers import append_examples, write_frequencies
 
 TERMS = "term string, count long, documents long"
@@ -54,3 +55,22 @@ def appended_examples(t):
     ))
     remove(t.spark, root)
     return out
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, source AS domain, CAST(doc_id % 3 > 0 AS BOOLEAN) AS success, CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id % 100 AS INT) END AS score,
+ length(text) AS error_chars, md5(text) AS error_hash, lang AS policy_type FROM documents""")
+def analysis_log_file(t):
+    """Whole documents as the error texts of an analysis log: sixteen JSON arrays, cut where the splits fall."""
+    root, place = _folder(t), Window.partitionBy("g").orderBy("doc_id")
+    row = F.to_json(F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("domain"), (F.col("doc_id") % 3 > 0).alias("success"),
+        F.col("text").alias("error"), F.when(F.col("doc_id") % 5 > 0, (F.col("doc_id") % 100).cast("int")).alias("score"),
+        F.col("lang").alias("policyType")))
+    lines = t.documents.withColumn("g", F.pmod("doc_id", F.lit(16))).select(
+        "g", F.row_number().over(place).alias("n"), F.lead("doc_id").over(place).isNull().alias("last"), row.alias("row"))
+    text = F.concat(F.when(F.col("n") == 1, "[").otherwise(""), "row", F.when(F.col("last"), "]").otherwise(","))
+    lines.select("g", text.alias("value")).write.partitionBy("g").text(root)
+    out = durable(read_analysis_log(t.spark, root).select(
+        "id", "domain", "success", "score", F.length("error").alias("error_chars"), F.md5("error").alias("error_hash"), "policy_type"))
+    remove(t.spark, root)
+    return out

@@ -10,7 +10,8 @@ from clauselake import schemas
 from clauselake.functions.urls import url_host
 from clauselake.operators.keyed import spread_join, top_per_key
 from clauselake.operators.suffixes import suffix_rules
-from clauselake.session import durable
+from clauselake.session import durable, exists
+from clauselake.sources.arrays import read_json_array
 
 # File kinds of a corpus, and the event file name.
 CORPUS_GLOB = "*.{txt,md,html,htm,TXT,MD,HTML,HTM}"
@@ -75,15 +76,8 @@ def stream_jsonl_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_analysis_log(spark: SparkSession, path: str) -> DataFrame:
-    """Analysis log kept as one JSON array; an empty frame when there is no file."""
-    log = (
-        spark.read.schema(schemas.ANALYSIS_LOG)
-        .option("multiLine", True)
-        .option("ignoreMissingFiles", True)
-    )
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    raw = log.json(path) if there else spark.createDataFrame([], schemas.ANALYSIS_LOG)
+    """Analysis log kept as one JSON array, read in splits by many tasks; an empty frame when there is no file."""
+    raw = read_json_array(spark, path, schemas.ANALYSIS_LOG) if exists(spark, path) else spark.createDataFrame([], schemas.ANALYSIS_LOG)
     return raw.select(
         "id", "domain", "url", "timestamp", "success", "error", "score",
         F.col("policyType").alias("policy_type"), F.col("analysisTimeMs").alias("analysis_time_ms"),
