@@ -11,17 +11,28 @@ from clauselake.llm.common import durable, whole_text
 
 #: Leading tokens that, with the token count, choose the leaf of a line.
 DEPTH = 4
+#: Constant tokens that a line needs, in number and as a share of all, for its others to count as variable fields.
+CONSTANT, CONSTANT_SHARE = 3, 0.5
 #: Stretches of a line that are compared within a leaf, and how many of them may be variable fields.
 STRETCHES, VARIABLE = 8, 2
 PAIRS = [f"p{i}" for i in range(STRETCHES // 2)]
 LOW = (1 << 32) - 1
 
 
+def _split(line: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(line, r"[\x09-\x0D]", " ")), " +")
+
+
 def _tokens(line: Column) -> Column:
     """White-space tokens; one with a digit is a variable field, `<*>`."""
-    plain = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")) \
-        .otherwise(line)
-    return F.split(F.trim(F.regexp_replace(plain, r"[\x09-\x0D]", " ")), " +")
+    return _split(F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>"))
+                  .otherwise(line))
+
+
+def _is_template(t: Column) -> Column:
+    """True if enough tokens are constant; rows of numbers are not."""
+    constant = F.size(F.filter(t, lambda x: x != "<*>"))
+    return (constant >= CONSTANT) & (constant >= F.size(t) * F.lit(CONSTANT_SHARE))
 
 
 def _row(docs: DataFrame) -> DataFrame:
@@ -32,15 +43,18 @@ def parsed(docs: DataFrame) -> DataFrame:
     """``(row, doc_id, at, n, line, leaf, p0 .. p3)`` per line that has words, hashes instead of texts.
 
     ``line`` identifies the line with its fields replaced, ``leaf`` the count and leading tokens, and
-    ``p0 .. p3`` the eight stretches of a line of eight tokens or more, two 32-bit hashes in each.
+    ``p0 .. p3`` the eight stretches of a line of eight tokens or more, two 32-bit hashes in each. A line with
+    too few constant tokens keeps its numbers and has no stretches: it is compared by its exact tokens.
     """
     rows = _row(docs).select(
         F.col("__line_row").alias("row"), "doc_id", F.posexplode(F.split(whole_text(), "\n")).alias("at", "line"))
-    rows = rows.select("row", "doc_id", "at", F.inline(F.array(F.struct(_tokens(F.col("line")).alias("t")))))
+    rows = rows.select("row", "doc_id", "at", "line", F.inline(F.array(F.struct(_tokens(F.col("line")).alias("g")))))
+    rows = rows.select("row", "doc_id", "at", F.inline(F.array(F.struct(
+        _is_template(F.col("g")).alias("fits"), F.when(_is_template(F.col("g")), F.col("g")).otherwise(_split(F.col("line"))).alias("t")))))
     n = F.size("t")
     cut = [(n * i / STRETCHES).cast("int") for i in range(STRETCHES + 1)]
     stretch = [F.hash(F.slice("t", a + 1, b - a)).cast("long") for a, b in itertools.pairwise(cut)]
-    pairs = [F.when(n >= STRETCHES, F.shiftleft(a, 32).bitwiseOR(b.bitwiseAND(F.lit(LOW)))).alias(f"p{i}")
+    pairs = [F.when((n >= STRETCHES) & F.col("fits"), F.shiftleft(a, 32).bitwiseOR(b.bitwiseAND(F.lit(LOW)))).alias(f"p{i}")
              for i, (a, b) in enumerate(zip(stretch[::2], stretch[1::2], strict=True))]
     return rows.where(~((n == 1) & (F.col("t")[0] == ""))).select(
         "row", "doc_id", "at", n.alias("n"), F.xxhash64("t").alias("line"),
@@ -52,7 +66,7 @@ def templates(lines: DataFrame, min_docs: int = 2, short_docs: int = 10, least:
 
     Lines of ``short`` tokens or more that share a leaf belong to the template of that leaf's most
     frequent stretches (ties to the first seen) when at most ``VARIABLE`` of eight stretches differ; any other line is its own
-    template. A template recurs in ``min_docs`` documents (``short_docs`` if it has fewer than
+    template, and a line with too few constant tokens recurs only as it stands. A template recurs in ``min_docs`` documents (``short_docs`` if it has fewer than
     ``short`` tokens, never under ``least``), counted by pairs of document and variant, in two
     documents at least. Everything before the last sums is pre-aggregated by line.
     """
@@ -64,8 +78,9 @@ def templates(lines: DataFrame, min_docs: int = 2, short_docs: int = 10, least:
         F.count("*").alias("docs"), F.min("first").alias("first"), F.max("row").alias("hi"),
         F.min("row").alias("lo"), F.first("n").alias("n"), F.first("leaf").alias("leaf"),
         *[F.first(p).alias(p) for p in PAIRS]))
-    shared = distinct.where(F.col("n") >= short).groupBy("leaf").agg(F.count("*").alias("v")).where("v > 1")
-    inside = distinct.where(F.col("n") >= short).join(shared.select("leaf"), "leaf")
+    long = distinct.where((F.col("n") >= short) & F.col("p0").isNotNull())
+    shared = long.groupBy("leaf").agg(F.count("*").alias("v")).where("v > 1")
+    inside = long.join(shared.select("leaf"), "leaf")
     stretch = [half for p in PAIRS for half in (F.shiftrightunsigned(p, 32), F.col(p).bitwiseAND(F.lit(LOW)))]
     common = inside.select("leaf", "docs", "first", F.posexplode(F.array(*stretch)).alias("i", "s")) \
         .groupBy("leaf", "i", "s").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")) \

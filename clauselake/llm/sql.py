@@ -5,15 +5,18 @@ from __future__ import annotations
 LINE_DEDUP = r"""
 WITH whole AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM whole),
-t AS (SELECT doc_id, pos, string_split_regex(trim(regexp_replace(CASE WHEN regexp_matches(line, '[0-9]')
+g AS (SELECT doc_id, pos, string_split_regex(trim(regexp_replace(line, '[\x09-\x0D]', ' ', 'g')), ' +') AS e,
+        string_split_regex(trim(regexp_replace(CASE WHEN regexp_matches(line, '[0-9]')
         THEN regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') ELSE line END,
-        '[\x09-\x0D]', ' ', 'g')), ' +') AS t FROM l),
-p AS (SELECT doc_id, pos, len(t) AS n, array_to_string(t, ' ') AS line, len(t) || ' ' || array_to_string(t[1:4], ' ') AS leaf,
+        '[\x09-\x0D]', ' ', 'g')), ' +') AS g FROM l),
+t AS (SELECT doc_id, pos, fits, CASE WHEN fits THEN g ELSE e END AS t FROM (SELECT *, len(list_filter(g, lambda x: x <> '<*>')) >= 3
+        AND 2 * len(list_filter(g, lambda x: x <> '<*>')) >= len(g) AS fits FROM g)),
+p AS (SELECT doc_id, pos, len(t) AS n, array_to_string(t, ' ') AS line, fits, len(t) || ' ' || array_to_string(t[1:4], ' ') AS leaf,
         list_transform(range(8), lambda i: array_to_string(t[(len(t) * i) // 8 + 1:(len(t) * (i + 1)) // 8], ' ')) AS s
       FROM t WHERE NOT (len(t) = 1 AND t[1] = '')),
-d AS (SELECT line, any_value(n) AS n, any_value(leaf) AS leaf, any_value(s) AS s, count(DISTINCT doc_id) AS docs,
+d AS (SELECT line, any_value(n) AS n, any_value(fits) AS fits, any_value(leaf) AS leaf, any_value(s) AS s, count(DISTINCT doc_id) AS docs,
         min({'doc': doc_id, 'pos': pos}) AS first, min(doc_id) AS lo, max(doc_id) AS hi FROM p GROUP BY line),
-inside AS (SELECT * FROM d WHERE n >= 8 AND leaf IN (SELECT leaf FROM d WHERE n >= 8 GROUP BY leaf HAVING count(*) > 1)),
+inside AS (SELECT * FROM d WHERE n >= 8 AND fits AND leaf IN (SELECT leaf FROM d WHERE n >= 8 AND fits GROUP BY leaf HAVING count(*) > 1)),
 st AS (SELECT leaf, docs, first, unnest(range(8)) AS i, unnest(s) AS s FROM inside),
 sums AS (SELECT leaf, i, s, sum(docs) AS docs, min(first) AS first FROM st GROUP BY ALL),
 common AS (SELECT leaf, i, arg_min(s, {'d': -docs, 'f': first}) AS c FROM sums GROUP BY leaf, i),
