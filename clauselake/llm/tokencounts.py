@@ -35,6 +35,8 @@ def _encoder(path: str):
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> None:
     """One flat file of token identifiers per task, each document ended by ``END``, nothing else.
 
+    A session's limit of records per file does not hold here: documents are found by their place in the task.
+
     ``vocabulary`` is a file of ranks that every executor has. Null and empty texts give no tokens.
     """
     keep_small(docs.sparkSession)
@@ -46,7 +48,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["tokens"])
 
     docs.select(whole_text().alias("text")).mapInArrow(run, "tokens binary") \
-        .select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", END_TEXT).text(folder)
+        .select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", END_TEXT) \
+        .option("maxRecordsPerFile", 0).text(folder)
 
 
 def scanned(spark: SparkSession, folder: str, block: int = BLOCK, end: int = END) -> DataFrame:
@@ -114,7 +117,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLO
     part = F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("part")
     counts = durable(stitched(scanned(spark, folder, block)).select(part, "ordinal", "tokens"))
     remove(spark, folder)
-    # The text stays in the scan, so that it is cut into the same tasks.
+    # Splits of a scan go by file sizes, not by columns, so the ids come in the same tasks as the texts did.
     row = F.monotonically_increasing_id()
     ids = durable(docs.select(F.spark_partition_id().cast("long").alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"),
                               "doc_id"))
