@@ -10,6 +10,7 @@ from clauselake.operators import operations as op
 from clauselake.functions.text import content_hash
 from clauselake.queries.base import HASH, V_ANALYSIS_LOG, V_LOGS, Tables, query, with_views
 from clauselake.session import durable, remove, shared_folder
+from clauselake.sources.writers import read_state
 from clauselake.streaming import jobs
 
 STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
@@ -166,12 +167,9 @@ def windowed_log_sessions(t):
 
 
 def _stream(t: Tables, table: str):
-    schema = t.read(table).schema
-    return (
-        t.spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .parquet(t.sf_dir)
-    )
+    """The files of a table as a stream. A pattern fits a single file and a folder of files; a stream over a plain path
+    must be a folder."""
+    return t.spark.readStream.schema(t.read(table).schema).parquet(f"{t.sf_dir}/{table}.parque[t]")
 
 
 def _run(t: Tables, stream):
@@ -236,7 +234,7 @@ def batched_policy_changes(t):
     """State as a table, each micro-batch through the batch operators."""
     root = f"{shared_folder(t.spark)}/changes-{uuid.uuid4().hex}"
     jobs.run_policy_changes(_snapshots(t), root, f"{root}/checkpoint")
-    out = durable(t.spark.read.parquet(f"{root}/changes").drop("batch"))
+    out = durable(read_state(t.spark, f"{root}/changes", t.spark.createDataFrame([], jobs.CHANGE_SCHEMA)).drop("batch"))
     remove(t.spark, root)
     return out.withColumn("analyzed_at", _stamp("analyzed_at"))
 

@@ -255,3 +255,20 @@ def test_unused_columns_are_pruned(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = df.select("doc_id", F.length("text"))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_streams_read_tables_of_one_file_and_of_a_folder_of_files(spark, tmp_path):
+    from clauselake.queries import load
+
+    rows = [(i, f"text {i % 3}", "en", f"s{i % 2}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    folder, single, none = tmp_path / "folder", tmp_path / "single", tmp_path / "none"
+    docs.repartition(3).write.parquet(str(folder / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    single.mkdir()
+    next((tmp_path / "one").glob("part-*")).rename(single / "documents.parquet")
+    docs.limit(0).write.parquet(str(none / "documents.parquet"))
+    batched, streamed = (load()[0][name] for name in ("batched_policy_changes", "stream_policy_changes"))
+    got = {at: sorted(map(tuple, batched(spark, str(at)).collect())) for at in (folder, single, none)}
+    assert len(got[folder]) == 10 and got[folder] == got[single] and got[none] == []
+    assert sorted(map(tuple, streamed(spark, str(folder)).collect())) == got[folder]
