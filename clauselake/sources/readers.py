@@ -155,14 +155,28 @@ def read_sitemap_urls(sitemaps: DataFrame, url: str = "url", body: str = "body",
     plain = sitemaps.where(~is_index).select(F.col(url).alias("sitemap_url"), locs.alias("_locs"))
     edges = durable(sitemaps.where(is_index).select(
         F.col(url).alias("_from"), F.explode(F.array_distinct(locs)).alias("_to")).distinct())
-    reached = durable(edges.select(F.col("_from").alias("parent"), F.col("_to").alias("sitemap_url")))
-    frontier, depth = reached, 1
-    while max_depth is None or depth < max_depth:
-        # Only what was reached for the first time goes on, so loops end.
-        step = frontier.join(edges, F.col("sitemap_url") == F.col("_from")).select("parent", F.col("_to").alias("sitemap_url")).distinct()
-        frontier = durable(step.join(reached, ["parent", "sitemap_url"], "left_anti"))
-        if frontier.isEmpty():
+    # Only what leads to another index can go on; the steps are counted, so that each round doubles the way.
+    onward = durable(edges.join(edges.select(F.col("_from").alias("_to")).distinct(), "_to", "left_semi").select(
+        F.col("_from").alias("parent"), F.col("_to").alias("index"), F.lit(1).alias("steps")))
+    ways, length = onward, 1
+    # Indexes are reached by ways of one step less than files are.
+    longest = None if max_depth is None else max_depth - 1
+    newest = onward
+    while longest is None or length < longest:
+        # A way of up to twice the length begins with a shortest one of the full length.
+        far = newest.where(F.col("steps") == length).select("parent", F.col("index").alias("_via"), F.col("steps").alias("_first"))
+        step = far.join(ways.select(F.col("parent").alias("_via"), "index", "steps"), "_via").groupBy("parent", "index").agg(
+            F.min(F.col("_first") + F.col("steps")).alias("steps"))
+        known = ways.select(F.col("parent").alias("_p"), F.col("index").alias("_i"))
+        newest = durable(step.join(known, F.col("parent").eqNullSafe(F.col("_p")) & (F.col("index") == F.col("_i")), "left_anti"))
+        if newest.isEmpty():
             break
-        reached, depth = durable(reached.unionByName(frontier)), depth + 1
+        ways, length = durable(ways.unionByName(newest)), length * 2
+    if longest is not None:
+        ways = ways.where(F.col("steps") <= longest)
+    direct = edges.join(plain.select(F.col("sitemap_url").alias("_to")).distinct(), "_to", "left_semi").select(
+        F.col("_from").alias("index"), F.col("_to").alias("sitemap_url"))
+    through = ways.select("parent", "index").join(direct, "index").select("parent", "sitemap_url")
+    reached = direct.select(F.col("index").alias("parent"), "sitemap_url").unionByName(through).distinct()
     of_children = spread_join(plain, reached, ["sitemap_url"]).select(F.col("parent").alias("sitemap_url"), "_locs")
     return plain.unionByName(of_children).select("sitemap_url", F.explode("_locs").alias("loc"))

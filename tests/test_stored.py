@@ -97,3 +97,23 @@ def test_indexes_of_indexes_and_loops(spark):
 def test_depth_can_be_bounded(spark):
     got = {r.sitemap_url for r in readers.read_sitemap_urls(maps(spark), max_depth=1).where("loc = 'u2'").collect()}
     assert got == {"leaf2", "low"}
+
+
+def test_long_chains_and_rings_of_indexes(spark):
+    index = lambda *locs: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in locs) + "</sitemapindex>"
+    leaf = lambda loc: f"<urlset><url><loc>{loc}</loc></url></urlset>"
+    n = 40
+    chain = [(f"c{i}", index(f"c{i + 1}", f"leaf{i}")) for i in range(n)] + [(f"leaf{i}", leaf(f"u{i}")) for i in range(n)]
+    ring = [(f"r{i}", index(f"r{(i + 1) % 9}", f"r{(i + 4) % 9}")) for i in range(8)] + [("r8", index("r0", "leaf0")), (None, index("r3", "leaf1"))]
+    maps = spark.createDataFrame(chain + ring, "url string, body string")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sitemaps", "")
+    got = {(r.sitemap_url, r["loc"]) for r in readers.read_sitemap_urls(maps).collect()}
+    assert len(jobs.getJobIdsForGroup("sitemaps")) < 120
+    spark.sparkContext.setJobGroup("", "")
+    leaves = {(f"leaf{i}", f"u{i}") for i in range(n)}
+    assert got == leaves | {(f"c{i}", f"u{k}") for i in range(n) for k in range(i, n)} | {(f"r{i}", "u0") for i in range(9)} | {
+        (None, "u0"), (None, "u1")}
+    for depth in (1, 2, 3, 6):
+        got = {(r.sitemap_url, r["loc"]) for r in readers.read_sitemap_urls(maps, max_depth=depth).collect() if (r.sitemap_url or "r")[0] == "c"}
+        assert got == {(f"c{i}", f"u{k}") for i in range(n) for k in range(i, min(n, i + depth))}
