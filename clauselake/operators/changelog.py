@@ -80,6 +80,20 @@ def tracked_changelogs(tracked: DataFrame, changelogs: DataFrame) -> DataFrame:
     return spread_join(tracked.select("user_id", "domain").distinct(), changelogs, ["domain"])
 
 
+def tracked_changelog_counts(tracked: DataFrame, changelogs: DataFrame) -> DataFrame:
+    """Per user the number of changelogs of the tracked domains and the smallest ``new_version_id`` among them.
+
+    The changelogs are counted per domain before they meet the users: the rows that
+    meet are those of ``tracked``, not one per user and changelog.
+    """
+    per_domain = changelogs.groupBy("domain").agg(
+        F.count(F.lit(1)).alias("changelogs"), F.min("new_version_id").alias("first_id")
+    )
+    return tracked_changelogs(tracked, per_domain).groupBy("user_id").agg(
+        F.sum("changelogs").alias("changelogs"), F.min("first_id").alias("first_id")
+    )
+
+
 def critical_changes(tracked: DataFrame, changelogs: DataFrame, limit: int = 20) -> DataFrame:
     """Newest CRITICAL or HIGH changelogs per user.
 

@@ -317,3 +317,16 @@ def test_log_and_queue(spark):
     q = spark.createDataFrame([(1, "a", "pending", days(1)), (2, "b", "pending", days(0)), (3, "c", "odd", days(0))], "id int, domain string, status string, created_at timestamp")
     assert tuple(op.queue_stats(q).first()) == (2, 0, 0, 0) and op.next_pending(q).first().id == 2
     assert as_set(op.table_counts({"q": q, "log": log}), "table_name", "row_count") == {("q", 3), ("log", 3)}
+
+
+def test_changelogs_are_counted_per_domain_before_they_meet_users(spark):
+    tracked = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b"), (3, "none"), (None, "a"), (4, None)], "user_id long, domain string")
+    logs = spark.createDataFrame([("a", 5), ("a", None), ("b", 2), ("b", 9), (None, 1)], "domain string, new_version_id long")
+    plain = cl.tracked_changelogs(tracked, logs).groupBy("user_id").agg(F.count(F.lit(1)).alias("changelogs"), F.min("new_version_id").alias("first_id"))
+    got = sorted(map(tuple, cl.tracked_changelog_counts(tracked, logs).collect()), key=str)
+    assert got == sorted(map(tuple, plain.collect()), key=str) == [(1, 4, 2), (2, 2, 2), (None, 2, 5)]
+    # One domain that all track: 4 * 10 ** 10 pairs of user and changelog.
+    n = 200_000
+    users, logs = spark.range(n).select(F.col("id").alias("user_id"), F.lit("d").alias("domain")), spark.range(n).select(
+        F.lit("d").alias("domain"), F.col("id").alias("new_version_id"))
+    assert cl.tracked_changelog_counts(users, logs).agg(F.sum("changelogs"), F.max("first_id")).first()[:] == (n * n, 0)
