@@ -13,9 +13,13 @@ from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from operator import add, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clauselake.functions.matching import TermMatcher
+
 # The characters that count as white space, as a set and as a pattern class.
 RARE_SPACES = "\u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -121,8 +125,14 @@ def _times(bound: Column, term: Column, whole_word: bool = False) -> Column:
 
 
 def occurrence_map(text: Column, terms: Sequence[str]) -> Column:
-    """Map from each distinct term that occurs to its number of non-overlapping occurrences."""
+    """Map from each distinct term that occurs to its number of non-overlapping occurrences.
+
+    A list of ``INDEX_FROM`` terms or more is counted in batches of texts; ``text`` must then not be a variable of an
+    array function.
+    """
     distinct = list(dict.fromkeys(terms))
+    if len(distinct) >= INDEX_FROM and all(distinct):
+        return _counted_map(distinct)(text)
     return let(
         text,
         lambda x: F.map_from_entries(
@@ -131,6 +141,46 @@ def occurrence_map(text: Column, terms: Sequence[str]) -> Column:
     )
 
 
+def _counted_map(terms: Sequence[str]):
+    matcher, words = TermMatcher(terms), pa.array(terms, pa.string())
+
+    @F.arrow_udf("map<string,int>")
+    def counted(texts: pa.Array) -> pa.Array:
+        row, term, count = matcher.matches(texts)
+        ends = np.searchsorted(row, np.arange(len(texts) + 1))
+        return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(term)), pa.array(count, pa.int32()))
+
+    return counted
+
+
+def word_counts(text: Column, terms: Sequence[str]) -> Column:
+    """Occurrences of each term as whole words, in the order of the list, as ``word_hits`` counts them; all terms in one
+    pass over a batch of texts. Null texts hold nothing. ``text`` must not be a variable of an array function."""
+    if not terms or not all(terms):
+        return let(F.coalesce(text, F.lit("")), lambda x: F.transform(literal_array(terms), lambda t: _times(x, t, True)))
+    distinct = list(dict.fromkeys(terms))
+    matcher, places = TermMatcher(distinct), np.array([distinct.index(t) for t in terms])
+
+    @F.arrow_udf("array<int>")
+    def counted(texts: pa.Array) -> pa.Array:
+        found = np.zeros((len(texts), len(distinct)), dtype=np.int32)
+        row, term, count = matcher.matches(texts, whole_words=True)
+        found[row, term] = count
+        ends = np.arange(len(texts) + 1, dtype=np.int32) * len(places)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found[:, places].ravel()))
+
+    return counted(text)
+
+
+def hits_of(counts: Column, step: float, extra: int) -> Column:
+    """Sum over the counts above 0 of ``1 + step * min(count - 1, extra)``."""
+    return F.aggregate(
+        F.filter(counts, lambda n: n > 0),
+        F.lit(0.0),
+        lambda total, n: total + F.lit(1.0) + F.least(n - 1, F.lit(extra)) * F.lit(step),
+    )
+
+
 def occurrences_in(counts: Column, terms: Sequence[str]) -> Column:
     """Sum of the map's counts over a term list; a term listed twice counts twice."""
     return let(
@@ -159,15 +209,9 @@ def word_hits(text: Column, terms: Sequence[str], step: float, extra: int) -> Co
     """
 
     def counts(x: Column) -> Column:
-        return F.filter(
-            F.transform(_found(x, terms), lambda t: _times(x, t, True)), lambda n: n > 0
-        )
+        return F.transform(_found(x, terms), lambda t: _times(x, t, True))
 
-    return F.aggregate(
-        let(text, counts),
-        F.lit(0.0),
-        lambda total, n: total + F.lit(1.0) + F.least(n - 1, F.lit(extra)) * F.lit(step),
-    )
+    return hits_of(let(text, counts), step, extra)
 
 
 def required_literal(pattern: str) -> str | None:
@@ -192,17 +236,63 @@ def required_literal(pattern: str) -> str | None:
     return best if len(best) >= 3 and best.isascii() else None
 
 
+def _groups(pattern: str) -> list[tuple[list[str], str]]:
+    """The choices of each outermost group, and what follows it; lookarounds are left out."""
+    found, depth, i, start, cuts = [], 0, 0, 0, []
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*").match(pattern, i).end()
+        elif c == "(":
+            depth += 1
+            if depth == 1:
+                start, cuts = i + (3 if pattern.startswith("(?:", i) else 1), []
+        elif c == "|" and depth == 1:
+            cuts.append(i)
+        elif c == ")":
+            depth -= 1
+            if depth == 0 and pattern[start] != "?":
+                edges = [start - 1, *cuts, i]
+                found.append(([pattern[a + 1:b] for a, b in zip(edges, edges[1:])], pattern[i + 1:i + 2]))
+        i += 1
+    return found
+
+
+def required_choices(pattern: str) -> tuple[str, ...]:
+    """Lower-cased runs of letters of which every match of ``pattern`` holds at least one; empty if none are plain.
+
+    Either the one of ``required_literal``, or one for each choice of a group that must match.
+    """
+    literal = required_literal(pattern)
+    if literal is not None:
+        return (literal,)
+    p, best = re.sub(r"^\(\?[a-z]+\)", "", pattern), ()
+    groups = _groups(p)
+    if len(_groups(f"(?:{p})")[0][0]) > 1:
+        return ()
+    for choices, behind in groups:
+        if behind in ("?", "*", "{"):
+            continue
+        each = [required_choices(c) for c in choices]
+        runs = tuple(dict.fromkeys(r for e in each for r in e))
+        if all(each) and (not best or min(map(len, runs)) > min(map(len, best))):
+            best = runs
+    return best
+
+
 def pattern_found(text: Column, pattern: str, low: Column | None = None) -> Column:
-    """``rlike``, behind a plain substring test where the pattern allows one.
+    """``rlike``, behind plain substring tests where the pattern allows them.
 
-    The substring test is many times cheaper than the pattern and settles most texts. ``low`` is
+    A substring test is many times cheaper than the pattern, and they settle most texts. ``low`` is
     the lower-cased text when the caller has it at hand.
     """
-    literal = required_literal(pattern)
+    choices = required_choices(pattern)
     found = F.rlike(text, F.lit(pattern))
-    if literal is None or low is None:
+    if not choices or low is None:
         return found
-    return F.contains(low, F.lit(literal)) & found
+    return reduce(or_, [F.contains(low, F.lit(c)) for c in choices]) & found
 
 
 def patterns_matched(text: Column, patterns: Sequence[str], low: Column | None = None) -> Column:
