@@ -60,9 +60,9 @@ def word_count(text: Column) -> Column:
     ).otherwise(F.regexp_count(text, F.lit(r"\S+")))
 
 
-def plain_words(text: Column) -> Column:
-    """Lower case, every run of other than ASCII word characters, ``'`` and ``-`` one space."""
-    return F.btrim(F.regexp_replace(F.lower(text), r"[^\w'-]+", " "))
+def plain_words(text: Column, lowered: bool = False) -> Column:
+    """Lower case (``lowered`` texts are), every run of other than ASCII word characters, ``'`` and ``-`` one space."""
+    return F.btrim(F.regexp_replace(text if lowered else F.lower(text), r"[^\w'-]+", " "))
 
 
 def looks_like_html(text: Column) -> Column:

@@ -6,6 +6,7 @@ All rules are expressions on one row: a scan, one stage, no shuffle.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,16 +56,22 @@ def structure_flags(text: Column, low: Column | None = None) -> Column:
     )
 
 
-def document_type(words: Column,
-                  types: Mapping[str, Sequence[str]] = V.DOCUMENT_TYPE_TERMS) -> Column:
+def document_type(words: Column | None,
+                  types: Mapping[str, Sequence[str]] = V.DOCUMENT_TYPE_TERMS,
+                  counts: Mapping[str, Column] | None = None) -> Column:
     """Best type above 0.15 and its confidence; ``words`` comes from ``plain_words``.
 
-    Equal scores go to the type listed first.
+    Equal scores go to the type listed first. ``counts`` by type are taken instead of ``words`` where
+    the caller has them.
     """
+
+    def hits(name: str, terms: Sequence[str]) -> Column:
+        return tm.word_hits(words, terms, 0.3, 3) if counts is None else tm.hits_of(counts[name], 0.3, 3)
+
     scores = F.array(
         *[
             F.struct(
-                (tm.word_hits(words, terms, 0.3, 3) / F.lit(float(len(terms)))).alias("score"),
+                (hits(name, terms) / F.lit(float(len(terms)))).alias("score"),
                 F.lit(-i).alias("order"),
                 F.lit(name).alias("name"),
             )
@@ -95,20 +102,27 @@ def detect_policy(docs: DataFrame, text: str = "text",
     )
     read = computed(docs, _plain=plain)
     long_enough = F.length("_plain") >= MIN_DETECT_LENGTH
+    lowered = computed(read, _low=F.when(long_enough, F.lower("_plain")))
     cleaned = computed(
-        read,
-        _words=F.when(long_enough, tx.plain_words(F.col("_plain"))),
-        _flags=F.when(long_enough, structure_flags(F.col("_plain"), F.lower("_plain"))),
+        lowered,
+        _words=tx.plain_words(F.col("_low"), lowered=True),
+        _flags=F.when(long_enough, structure_flags(F.col("_plain"), F.col("_low"))),
     )
+    # The words of all lists are counted in one pass; each list has its run of the counts.
+    lists = [*categories.values(), *types.values()]
+    every = [t for terms in lists for t in terms]
+    counted = cleaned.drop("_low").withColumn("_counts", tm.word_counts(F.col("_words"), every))
+    ends = list(accumulate(map(len, lists), initial=0))
+    own = [F.slice("_counts", a + 1, b - a) for a, b in zip(ends, ends[1:])]
     scored = computed(
-        cleaned,
+        counted,
         _scores=F.array(
             *[
-                tm.word_hits(F.col("_words"), terms, 0.2, 4) / F.lit(float(len(terms)))
-                for terms in categories.values()
+                tm.hits_of(counts, 0.2, 4) / F.lit(float(len(terms)))
+                for counts, terms in zip(own, categories.values())
             ]
         ),
-        _type=document_type(F.col("_words"), types),
+        _type=document_type(None, types, dict(zip(types, own[len(categories):]))),
     )
     total = sum(weights.get(c, 1.0) for c in categories)
     weighted = F.lit(0.0)
@@ -138,7 +152,7 @@ def detect_policy(docs: DataFrame, text: str = "text",
         .withColumn(
             "structure", F.coalesce(F.col("_flags"), F.array().cast("array<string>"))
         )
-        .drop("_plain", "_words", "_scores", "_type", "_flags")
+        .drop("_plain", "_words", "_counts", "_scores", "_type", "_flags")
     )
 
 

@@ -107,3 +107,16 @@ def test_word_counts_equal_word_hits(spark):
 ])
 def test_runs_that_a_choice_needs(pattern, runs):
     assert tm.required_choices(pattern) == runs
+
+
+def test_detector_counts_all_its_words_in_one_pass(spark):
+    from clauselake.operators import detection as de
+
+    pad = " filler" * 90
+    texts = ["privacy policy of the data controller, section 4" + pad, "nothing" + pad, "short", None]
+    df = de.detect_policy(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), categories={"core": ("privacy", "data"), "none": ("absent",)},
+                          types={"p": ("privacy", "policy"), "t": ("terms",)}, weights={"core": 3.0, "none": 1.0})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
+    got = [(round(r.confidence, 6), r.document_type, r.matched_categories, r.structure) for r in df.orderBy("id").collect()]
+    assert got == [(0.9, "p", ["core"], ["numbered_sections"]), (0.0, None, [], []), (0.0, None, [], []), (0.0, None, [], [])]
