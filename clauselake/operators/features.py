@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ from clauselake.functions import urls as ur
 from clauselake.operators.detection import page_evidence
 from clauselake.operators.keyed import spread_join
 from clauselake.operators.staging import computed
-from clauselake.session import durable, exists, remove, shared_folder
+from clauselake.session import durable, exists
 from clauselake.values import feature_terms as V
 
 # Feature names in model order.
@@ -211,8 +211,8 @@ def train_link_model(examples: DataFrame, layers: Sequence[int] = (24, 32, 16, 1
     """Train a sigmoid network by gradient descent with momentum; returns ``(layers, accuracy)``.
 
     The layers go into ``score_links``. Rows are dealt into batches of about ``batch_rows`` by a hash of their
-    values and written once, a folder per batch; an epoch reads every batch once, in an order drawn from the
-    seed. The tasks of a batch send the sum of their rows' gradients, and one step follows their mean. With
+    values and kept as matrices by Spark, a few partitions per batch; an epoch reads every batch once, in an order
+    drawn from the seed. The tasks of a batch send the sum of their rows' gradients, and one step follows their mean. With
     ``batch_rows=1`` that is descent row by row. ``newest`` trains on the newest rows only (10 000 was usual).
     Rows with a null target, or features that are null, of another length or hold a null, teach nothing. The accuracy
     is that of the trained rows; without any it is 0 and the first weights come back.
@@ -227,46 +227,60 @@ def train_link_model(examples: DataFrame, layers: Sequence[int] = (24, 32, 16, 1
     stack = first_weights(layers, seed)
     count = data.count()
     if count:
-        batches = -(-count // batch_rows)
-        spark = examples.sparkSession
-        folder = f"{shared_folder(spark)}/training-{uuid.uuid4().hex}"
+        batches, pieces = -(-count // batch_rows), max(1, min(PIECES, batch_rows // PIECE_ROWS))
         # Equal rows still differ in their place, so that no value fills a batch.
         dealt = F.pmod(F.xxhash64(F.lit(seed), "x", "y", "row"), F.lit(batches))
-        data.select("x", "y", dealt.alias("batch")).repartition(F.col("batch")).write.partitionBy("batch").parquet(folder)
-        stack = _descend(spark, folder, stack, sorted(set(range(batches))), epochs, seed, rate, momentum)
-        remove(spark, folder)
+        piece = F.pmod(F.xxhash64(F.lit(seed), "row", F.lit("piece")), F.lit(pieces))
+        blocks = _blocks(data.repartitionById(batches * pieces, (dealt * pieces + piece).cast("int")).sortWithinPartitions("row"), layers[0])
+        blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        stack = _descend(blocks, stack, batches, pieces, epochs, seed, rate, momentum)
+        blocks.unpersist()
     plain = [(w.tolist(), b.tolist()) for w, b in stack]
     right = score_links(data.select("x", "y"), plain, "x").agg(F.avg((F.col("is_policy").cast("double") == F.col("y")).cast("double")))
     return plain, right.first()[0] if count else 0.0
 
 
-def _descend(spark, folder, stack, batches, epochs, seed, rate, momentum):
-    def sums(rows, stack):
-        def run(parts):
-            total, n = None, 0
-            for part in parts:
-                x = part.column(0).flatten().to_numpy().reshape(part.num_rows, -1) if part.num_rows else None
-                if x is None:
-                    continue
-                found = gradient_sums(stack, x, part.column(1).to_numpy())
+# Tasks of a batch, and the rows that make another task worth its start.
+PIECES, PIECE_ROWS = 8, 4096
+
+
+def _blocks(dealt: DataFrame, inputs: int) -> RDD:
+    """Matrices ``(x, y)`` of the rows of each partition, as the tasks of a step take them."""
+
+    def pack(parts):
+        for part in parts:
+            if part.num_rows:
+                x, y = (np.asarray(c, dtype="float64").tobytes() for c in (part.column(0).flatten(), part.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()), pa.array([y], pa.binary())], ["x", "y"])
+
+    def matrices(row):
+        return np.frombuffer(row.x).reshape(-1, inputs), np.frombuffer(row.y)
+
+    return dealt.select("x", "y").mapInArrow(pack, "x binary, y binary").rdd.map(matrices)
+
+
+def _descend(blocks, stack, batches, pieces, epochs, seed, rate, momentum):
+    context = blocks.context
+    rows = blocks.mapPartitionsWithIndex(lambda i, parts: [(i // pieces, sum(len(y) for _, y in parts))]).collect()
+    counts = np.bincount([b for b, _ in rows], [n for _, n in rows], batches)
+
+    def step(stack):
+        def sums(parts):
+            total = None
+            for x, y in parts:
+                found = gradient_sums(stack, x, y)
                 total = found if total is None else [(a + c, b + d) for (a, b), (c, d) in zip(total, found)]
-                n += part.num_rows
-            if total is not None:
-                flat = np.concatenate([v.ravel() for pair in total for v in pair])
-                yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["g", "n"])
+            return [] if total is None else [np.concatenate([v.ravel() for pair in total for v in pair])]
 
-        # One row of a few thousand numbers per task of a batch.
-        return rows.mapInArrow(run, "g array<double>, n long").collect()
+        return sums
 
     speed = [np.zeros_like(v) for pair in stack for v in pair]
-    schema = "x array<double>, y double"
     order = np.random.default_rng(seed)
-    there = {b: f"{folder}/batch={b}" for b in batches}
-    there = {b: p for b, p in there.items() if exists(spark, p)}
     for _ in range(epochs):
-        for b in order.permutation(sorted(there)):
-            found = sorted(sums(spark.read.schema(schema).parquet(there[b]), stack), key=lambda r: (r.n, r.g))
-            mean = np.sum([r.g for r in found], axis=0) / sum(r.n for r in found)
+        for b in order.permutation(np.flatnonzero(counts)).tolist():
+            # Only the tasks of the batch run; each sends one row of a few thousand numbers, in the order of the pieces.
+            found = context.runJob(blocks, step(stack), range(b * pieces, (b + 1) * pieces))
+            mean = np.sum(found, axis=0) / counts[b]
             at, flat = 0, [v for pair in stack for v in pair]
             for i, v in enumerate(flat):
                 speed[i] = momentum * speed[i] + rate * mean[at:at + v.size].reshape(v.shape)

@@ -165,3 +165,19 @@ def test_findings_order(spark):
     agg = spark.createDataFrame([("a", "privacy", 80, "complete"), ("a", "terms", 50, "complete"), ("a", "ai", 10, "failed"), ("a", "ai", None, "complete")],
                                 "domain string, policy_type string, score int, status string")
     assert fe.aggregate_policy_score(agg, status="status").first().aggregate_score == 68
+
+
+def test_batches_are_dealt_to_several_tasks_and_steps_stay_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(v.tolist(), int(v[0] > 0.5)) for v in rng.random((400, 2))]
+    df = spark.createDataFrame(rows, "features array<double>, target int").coalesce(2)
+    whole, _ = fe.train_link_model(df, layers=(2, 3, 1), epochs=3, batch_rows=100)
+    monkeypatch.setattr(fe, "PIECE_ROWS", 10)
+    folded, seen, steps = fe._descend, [], []
+    monkeypatch.setattr(fe, "_descend", lambda blocks, *a: (seen.append(blocks.getNumPartitions()), folded(blocks, *a))[1])
+    run = type(spark.sparkContext).runJob
+    monkeypatch.setattr(type(spark.sparkContext), "runJob", lambda self, rdd, f, parts=None, *a: (steps.append(list(parts)), run(self, rdd, f, parts, *a))[1])
+    pieces, _ = fe.train_link_model(df, layers=(2, 3, 1), epochs=3, batch_rows=100)
+    assert seen == [4 * fe.PIECES] and len(steps) == 12 and all(len(p) == fe.PIECES for p in steps)
+    for (w, b), (v, c) in zip(whole, pieces):
+        assert np.allclose(w, v, atol=1e-12) and np.allclose(b, c, atol=1e-12)
