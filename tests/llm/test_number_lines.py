@@ -36,3 +36,11 @@ def test_half_of_a_line_must_be_constant(spark):
 def test_white_space_between_numbers_does_not_matter(spark):
     rows = [(1, "12 34 56 78 90 11 22 33"), (2, "12\t34 56  78 90 11 22 33 ")]
     assert cut(spark, rows)[2] == ("", 1)
+
+
+def test_cuts_are_written_before_the_texts_are_shuffled(spark):
+    """The written lines are free to go: the result reads the cut places alone, not every line again."""
+    docs = spark.createDataFrame([(i, f"own {i} words\nthe very same line of eight words here") for i in range(6)], "doc_id long, text string")
+    out = lines.drop_recurring_lines(docs)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
+    assert [r.lines_cut for r in out.orderBy("doc_id").collect()] == [0, 1, 1, 1, 1, 1]
