@@ -14,10 +14,12 @@ import re
 import uuid
 import zlib
 from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,16 +30,73 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Row groups of 32 MB, pages of at most 256 documents or 256 KB.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 256
-#: Pieces of text that a Python worker remembers, and how many of them one text for the library holds.
-MOST, GROUP = 1_500_000, 500
+#: Pieces of text that a Python worker remembers, how many of them one text for the library holds, and the bytes of
+#: text that are cut up and looked up at once.
+MOST, GROUP, GULP_BYTES = 1_500_000, 500, 8 << 20
+#: What a row counts beside its text, so that many empty texts do not gather without end.
+ROW_BYTES = 64
 
-# No word piece reaches over a border between a character that is no white space and white space. Python counts
-# the four separators as white space, the library does not.
-_PIECE = re.compile(r"\s*\S+|\s+")
-_UNSAFE = re.compile(r"[\x1c-\x1f]")
-_WIDE = re.compile(r"\s[ \n]")
-#: Stands before a piece that has neither a space nor a newline before it.
-BARE = "\x1c"
+# A piece that is one run without white space, or one space and such a run.
+_ONE = re.compile(r" ?\S+")
+
+# Kinds of bytes. Every byte that may belong to a character of unknown kind is OTHER, and no text is cut beside it.
+OTHER, LETTER, DIGIT, MARK, APOSTROPHE, SPACE, WHITE = range(7)
+SOLID = (LETTER, DIGIT, MARK, APOSTROPHE)
+
+
+def _kinds() -> bytes:
+    out = bytearray(256)
+    for i in range(0x21, 0x7F):
+        c = chr(i)
+        out[i] = LETTER if c.isalpha() else DIGIT if c.isdigit() else APOSTROPHE if c == "'" else MARK
+    out[0x09:0x0E] = bytes([WHITE]) * 5
+    out[0x20] = SPACE
+    return bytes(out)
+
+
+#: What a byte and the next one (8 * kind + kind) say: a border lies between them; a space stands before a solid
+#: character; other white space stands before one; other white space stands behind one.
+BORDER, SPACED, LED, ENDED = 1, 2, 4, 8
+
+
+def _pairs() -> bytes:
+    out = bytearray(256)
+    for p in range(7):
+        for k in range(7):
+            same = MARK if k == APOSTROPHE else k
+            # Letters, digits and marks are word pieces of their own; the letters behind an apostrophe may belong to it.
+            border = p in SOLID and (k in (SPACE, WHITE) or k in SOLID and p not in (same, APOSTROPHE))
+            out[8 * p + k] = (BORDER * border | SPACED * (p == SPACE and k in SOLID) | LED * (p == WHITE and k in SOLID)
+                              | ENDED * (p in SOLID and k == WHITE))
+    return bytes(out)
+
+
+KINDS, PAIRS = _kinds(), _pairs()
+
+
+def cut(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Places in the UTF-8 bytes ``data`` of several texts where pieces begin that the library encodes as in the whole text.
+
+    ``edges`` are the places of the texts, from 0 to the size of ``data``. No word piece reaches over a border between
+    ASCII (or Latin-1) letters, digits, marks and white space, but for a space before a word and letters behind an
+    apostrophe. The last of several white characters before a word stands alone, or with the word if it is a space.
+    """
+    n = len(data)
+    begins = np.zeros(n, bool)
+    if n > 1:
+        kind = np.frombuffer(bytearray(data.tobytes().translate(KINDS)), np.uint8)
+        latin = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF, letters but for two signs
+        latin = latin[(data[latin + 1] | 0x20) != 0xB7]
+        kind[latin] = kind[latin + 1] = LETTER
+        pair = np.frombuffer((kind[:-1] * np.uint8(8) + kind[1:]).tobytes().translate(PAIRS), np.uint8)
+        spaced = (pair & SPACED).astype(bool)
+        last = edges[1:-1][edges[1:-1] > 0] - 1  # the next byte is of another text
+        spaced[last[last < n - 1]] = False
+        begins[1:] = pair & BORDER
+        begins[:-1] |= spaced
+        begins[2:] |= (pair[1:] & LED).astype(bool) & (pair[:-1] & ENDED).astype(bool)
+    begins[edges[:-1][edges[:-1] < n]] = True
+    return np.flatnonzero(begins)
 
 
 class Ragged:
@@ -79,10 +138,15 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        parts = self.library.pre_tokenizer
+        #: The rules of ``cut`` are those of byte-level vocabularies; by any other, texts are encoded whole.
+        self.cuts = (isinstance(parts, pre_tokenizers.ByteLevel) and parts.use_regex and not parts.add_prefix_space
+                     and self.library.normalizer is None and self.library.truncation is None and self.library.padding is None
+                     and all(t.special for t in self.library.get_added_tokens_decoder().values()) and len(self.plain(["\n"])[0]) == 1)
         self.forget()
 
     def forget(self) -> None:
@@ -96,53 +160,50 @@ class Encoder:
         return self.plain(["\n"])[0][0]
 
     def _learn(self) -> None:
-        new = [p[1:] if p[:1] == BARE else p if p[:1] == "\n" else " " + p
-               for p in itertools.islice(self.pieces, len(self.of_piece), None)]
+        new = [p.decode() for p in itertools.islice(self.pieces, len(self.of_piece), None)]
         # A newline parts two pieces and is a token of its own, so that one text for the library holds many pieces.
-        # A piece may itself begin with one newline; pieces with other white space go alone.
-        one = np.array([len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and (not p[0].isspace() or p[0] in " \n")
-                        for p in new], bool)
+        # Pieces with white space inside or at the end go alone.
+        one = np.fromiter(map(bool, map(_ONE.fullmatch, new)), bool, len(new))
         words, rest = list(itertools.compress(new, one)), list(itertools.compress(new, ~one))
         groups = self.plain(["\n".join([*words[i:i + GROUP], ""]) for i in range(0, len(words), GROUP)])
-        flat = np.fromiter(chain.from_iterable(groups), np.int32)
-        newlines = np.flatnonzero(flat == self.newline)
-        at = np.cumsum([1 + (w[0] == "\n") for w in words], dtype=np.int64)
-        if len(words) and len(newlines) == at[-1]:
-            border = newlines[at - 1]
+        flat = np.fromiter(chain.from_iterable(groups), np.int32, sum(map(len, groups)))
+        border = np.flatnonzero(flat == self.newline)
+        if len(border) == len(words):
             size, flat = np.diff(border, prepend=-1) - 1, np.delete(flat, border)
         else:
             one[:] = False
-            words, rest, flat, size = [], new, flat[:0], at[:0]
+            rest, flat, size = new, flat[:0], border[:0]
         others = self.plain(rest)
         mixed = Ragged()
         mixed.extend(flat, size)
         mixed.extend(np.array(list(chain.from_iterable(others)), np.int32), np.array(list(map(len, others)), np.int64))
-        self.of_piece.extend(*mixed.take(np.where(one, np.cumsum(one) - 1, len(words) + np.cumsum(~one) - 1)))
+        self.of_piece.extend(*mixed.take(np.where(one, np.cumsum(one) - 1, len(size) + np.cumsum(~one) - 1)))
 
-    def encode(self, texts: list[str], end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str], end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All identifiers of the texts, each text ended by ``end``, and the size of each."""
         if len(self.pieces) > MOST:
             self.forget()
-        cut: list[list[str]] = []
-        for t in texts:
-            if not t or _UNSAFE.search(t):
-                cut.append([])
-            elif _WIDE.search(t) or t[0] in " \n":
-                cut.append([BARE + p for p in _PIECE.findall(t)])
-            else:
-                cut.append((BARE + t).replace("\n", " \n").split(" "))
-        many = np.fromiter(map(len, cut), np.int64, len(cut))
-        numbers = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cut)), np.int64, int(many.sum()))
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not self.cuts:
+            whole = [[*ids, end] for ids in self.plain(texts.to_pylist())]
+            return np.fromiter(chain.from_iterable(whole), np.int32), np.fromiter(map(len, whole), np.int64)
+        _, places, data = texts.buffers()
+        places = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data or b"", np.uint8)[places[0]:places[-1]]
+        edges = places - places[0]
+        starts = cut(data, edges)
+        bounds = np.append(starts, len(data))
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]) \
+            .dictionary_encode()
+        _, at, held = found.dictionary.buffers()
+        at, held = np.frombuffer(at, np.int64)[:len(found.dictionary) + 1].tolist(), (held or pa.py_buffer(b"")).to_pybytes()
+        numbers = np.fromiter((self.pieces[held[a:b]] for a, b in itertools.pairwise(at)), np.int64, len(found.dictionary))
         self._learn()
-        ids, size = self.of_piece.take(numbers)
-        bounds = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(many))]
-        out, sizes = [], np.empty(len(texts), np.int64)
-        last = np.array([end], np.int32)
-        for i, t in enumerate(texts):
-            own = np.array(self.plain([t])[0], np.int32) if not cut[i] and t else ids[bounds[i]:bounds[i + 1]]
-            out += [own, last]
-            sizes[i] = len(own) + 1
-        return np.concatenate(out) if out else np.zeros(0, np.int32), sizes
+        own = Ragged()
+        own.extend(*self.of_piece.take(numbers))
+        ids, size = own.take(found.indices.to_numpy())
+        ends = np.append(0, np.cumsum(size))[np.searchsorted(starts, edges)]
+        return np.insert(ids, ends[1:], end).astype(np.int32, copy=False), np.diff(ends) + 1
 
 
 @functools.lru_cache(2)
@@ -151,6 +212,28 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def gulps(batches: Iterable[pa.RecordBatch], size: int = GULP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text (column 1): small ones together, large ones in parts.
+
+    The larger the batch, the more of its pieces are equal and looked up once; the size bounds the memory it takes.
+    """
+    held, full = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) + ROW_BYTES, dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + size - full, "right")))
+            held.append(batch.slice(at, to - at))
+            full += int(ends[to - 1]) - before
+            at = to
+            if full >= size or at < len(ends):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, full = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _path(vocabulary: str) -> str:
     if os.path.isabs(vocabulary):
         return vocabulary
@@ -173,8 +256,8 @@ def write_token_table(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
 
     def run(batches):
         encode, start = encoder(_path(vocabulary)).encode, 0
-        for batch in batches:
-            ids, sizes = encode(batch.column(1).to_pylist(), end)
+        for batch in gulps(batches):
+            ids, sizes = encode(batch.column(1), end)
             ends = np.cumsum(sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays(

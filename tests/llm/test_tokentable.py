@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,57 @@ def test_forgetting_changes_nothing(library, monkeypatch):
     assert len(one.pieces) <= 6
 
 
+def test_words_before_marks_and_lines_are_remembered_once(library):
+    one = tokentable.Encoder(P.path("byte_bpe_50k.json"))
+    texts = [f"{a} {b}{m}\n{a}{m} été{m}" for a in ("tall", "Wide", "don't", "42") for b in ("tree", "house", "x1") for m in ".,;:!?)"]
+    ids, sizes = one.encode(texts)
+    assert [g.tolist() for g in np.split(ids, np.cumsum(sizes)[:-1])] == [[*library(t), 2] for t in texts]
+    assert len(one.pieces) < 30
+
+
+def test_pieces_are_cut_where_the_library_cuts(library):
+    rng, one = random.Random(5), tokentable.Encoder(P.path("byte_bpe_50k.json"))
+    parts = [*"aB1.' \n\t\r\x0b\x0c\x00\x1c", "'s", "'ll", "  ", "\n ", " \n", "\x85", "\xa0", "é", "Ã", "×", "÷", "²", "ŉ", "ж", "漢",
+             "\u2003", "\u2028", "\u3000", "\u0301", "’", "🙂"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(20_000)]
+    ids, sizes = one.encode(texts)
+    assert [g.tolist() for g in np.split(ids, np.cumsum(sizes)[:-1])] == [[*library(t), 2] for t in texts]
+
+
+def test_other_vocabularies_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers, trainers
+
+    other = Tokenizer(models.BPE())
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    texts = ["one.\nTwo, one. two", "", "one. two one.\n", "two, two, one.\nTwo"] * 5
+    other.train_from_iterator(texts, trainers.BpeTrainer(vocab_size=300, initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False))
+    other.save(str(tmp_path / "other.json"))
+    ids, sizes = tokentable.Encoder(str(tmp_path / "other.json")).encode(texts)
+    assert [g.tolist() for g in np.split(ids, np.cumsum(sizes)[:-1])] == [[*other.encode(t).ids, 2] for t in texts]
+
+
+def test_slices_and_large_strings(library):
+    one, texts = tokentable.Encoder(P.path("byte_bpe_50k.json")), ["left out ", " é first", "", "\n last ", " left out"]
+    for kind in (pa.string(), pa.large_string()):
+        for low, high in ((1, 4), (2, 3), (0, 0), (0, 5)):
+            ids, sizes = one.encode(pa.array(texts, kind)[low:high])
+            assert ids.tolist() == [i for t in texts[low:high] for i in [*library(t), 2]]
+            assert sizes.tolist() == [len(library(t)) + 1 for t in texts[low:high]]
+
+
+def test_gulps_hold_the_same_rows():
+    texts = ["x" * n for n in (*range(60), 5000, 1, 1, 3000, 0, 0, *[200] * 50)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    for size in (1, 7, 64, 200):
+        batches = [rows.slice(i, size) for i in range(0, len(texts), size)]
+        got = list(tokentable.gulps([rows.slice(0, 0), *batches], 1000))
+        assert [i for b in got for i in b.column(0).to_pylist()] == list(range(len(texts)))
+        assert [t for b in got for t in b.column(1).to_pylist()] == texts
+        assert all(b.num_rows == 1 or sum(map(len, b.column(1).to_pylist()[:-1])) <= 1000 for b in got)
+        assert len(got) < 40
+    assert list(tokentable.gulps([])) == list(tokentable.gulps([rows.slice(0, 0)])) == []
+
+
 def test_query_equals_brute_force(spark, library):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     from clauselake.llm.queries import QUERIES
