@@ -32,7 +32,7 @@ END = 2
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 256
 #: Pieces of text that a Python worker remembers, how many of them one text for the library holds, and the bytes of
 #: text that are cut up and looked up at once.
-MOST, GROUP, GULP_BYTES = 1_500_000, 500, 8 << 20
+MOST, GROUP, GULP_BYTES = 800_000, 500, 4 << 20
 #: What a row counts beside its text, so that many empty texts do not gather without end.
 ROW_BYTES = 64
 
@@ -121,7 +121,8 @@ class Ragged:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         start, size = np.frombuffer(self.start, np.int64)[at], np.frombuffer(self.size, np.int64)[at]
         ends = np.cumsum(size)
-        place = np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
+        place = np.repeat(start - (ends - size), size)
+        place += np.arange(len(place))
         return np.frombuffer(self.flat, np.int32)[place] if len(place) else np.zeros(0, np.int32), size
 
 
@@ -165,8 +166,8 @@ class Encoder:
         # Pieces with white space inside or at the end go alone.
         one = np.fromiter(map(bool, map(_ONE.fullmatch, new)), bool, len(new))
         words, rest = list(itertools.compress(new, one)), list(itertools.compress(new, ~one))
-        groups = self.plain(["\n".join([*words[i:i + GROUP], ""]) for i in range(0, len(words), GROUP)])
-        flat = np.fromiter(chain.from_iterable(groups), np.int32, sum(map(len, groups)))
+        groups = (self.plain(["\n".join([*words[i:i + GROUP], ""])])[0] for i in range(0, len(words), GROUP))  # one is held at a time
+        flat = np.fromiter(chain.from_iterable(groups), np.int32)
         border = np.flatnonzero(flat == self.newline)
         if len(border) == len(words):
             size, flat = np.diff(border, prepend=-1) - 1, np.delete(flat, border)
@@ -199,11 +200,13 @@ class Encoder:
         at, held = np.frombuffer(at, np.int64)[:len(found.dictionary) + 1].tolist(), (held or pa.py_buffer(b"")).to_pybytes()
         numbers = np.fromiter((self.pieces[held[a:b]] for a, b in itertools.pairwise(at)), np.int64, len(found.dictionary))
         self._learn()
-        own = Ragged()
-        own.extend(*self.of_piece.take(numbers))
-        ids, size = own.take(found.indices.to_numpy())
-        ends = np.append(0, np.cumsum(size))[np.searchsorted(starts, edges)]
-        return np.insert(ids, ends[1:], end).astype(np.int32, copy=False), np.diff(ends) + 1
+        ids, size = self.of_piece.take(numbers)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(size))), pa.array(ids)).take(found.indices)
+        ends = lists.offsets.to_numpy()[np.searchsorted(starts, edges)]
+        ids, size = np.insert(lists.values.to_numpy(), ends[1:], end), np.diff(ends) + 1
+        del found, lists
+        pa.default_memory_pool().release_unused()  # kept for the next texts it would add to what is remembered
+        return ids, size
 
 
 @functools.lru_cache(2)
