@@ -198,7 +198,7 @@ class Encoder:
             .dictionary_encode()
         _, at, held = found.dictionary.buffers()
         at, held = np.frombuffer(at, np.int64)[:len(found.dictionary) + 1].tolist(), (held or pa.py_buffer(b"")).to_pybytes()
-        numbers = np.fromiter((self.pieces[held[a:b]] for a, b in itertools.pairwise(at)), np.int64, len(found.dictionary))
+        numbers = np.fromiter(map(self.pieces.__getitem__, map(held.__getitem__, map(slice, at, at[1:]))), np.int64, len(found.dictionary))
         self._learn()
         ids, size = self.of_piece.take(numbers)
         lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(size))), pa.array(ids)).take(found.indices)
