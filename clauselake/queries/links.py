@@ -541,5 +541,5 @@ def nested_sitemaps(t):
     index = edges.groupBy(F.col("a").alias("url")).agg(F.concat(
         F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "b", F.lit("</loc></sitemap>"))), ""),
         F.lit("</sitemapindex>")).alias("body"))
-    return read_sitemap_urls(leaf.unionByName(index)).groupBy("sitemap_url").agg(
-        F.count(F.lit(1)).alias("addresses"), F.countDistinct("loc").alias("distinct_addresses"))
+    return read_sitemap_urls(leaf.unionByName(index), first="first").groupBy("sitemap_url").agg(
+        F.count("loc").alias("addresses"), F.count_if("first").alias("distinct_addresses"))

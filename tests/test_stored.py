@@ -2,6 +2,9 @@
 
 import glob
 import os
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +120,62 @@ def test_long_chains_and_rings_of_indexes(spark):
     for depth in (1, 2, 3, 6):
         got = {(r.sitemap_url, r["loc"]) for r in readers.read_sitemap_urls(maps, max_depth=depth).collect() if (r.sitemap_url or "r")[0] == "c"}
         assert got == {(f"c{i}", f"u{k}") for i in range(n) for k in range(i, min(n, i + depth))}
+
+
+def brute_sitemaps(rows, depth=10**9):
+    """(sitemap, address) with repeats, by following every index by hand."""
+    named = lambda body: list(dict.fromkeys(re.findall(r"<loc>(.*?)</loc>", body or "")))
+    files, indexes, got = [], {}, []
+    for url, body in rows:
+        if "<sitemapindex" in (body or ""):
+            indexes.setdefault(url, set()).update(named(body))
+        else:
+            files.append((url, re.findall(r"<loc>(.*?)</loc>", body or "")))
+    for index, to in indexes.items():
+        seen, edge, steps = set(to), set(to), 1
+        while edge and steps < depth:
+            edge = {x for e in edge for x in indexes.get(e, ())} - seen
+            seen, steps = seen | edge, steps + 1
+        got += [(index, loc) for url, locs in files for loc in locs if url in seen]
+    return Counter(got + [(url, loc) for url, locs in files for loc in locs])
+
+
+def test_sitemaps_mark_the_first_row_of_an_address(spark):
+    index = lambda *locs: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in locs) + "</sitemapindex>"
+    leaf = lambda *locs: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in locs) + "</urlset>"
+    deal = random.Random(5)
+    rows = [(f"i{k}", index(*deal.sample([f"i{x}" for x in range(90)], 2), *deal.sample([f"f{x}" for x in range(60)], 2))) for k in range(80)]
+    rows += [(f"f{k}", leaf(*deal.choices([f"u{x}" for x in range(70)], k=3), f"only{k}")) for k in range(60)]
+    # Files of one address that come twice, an address that is an index and a file, and addresses that are missing.
+    rows += [(f"f{k}", leaf("again", f"only{k}")) for k in range(5)] + [("i3", leaf("u1", "mine")), ("i4", index("f9", "i4")), ("i4", leaf("u2", "u2"))]
+    rows += [(None, index("f3", "i79")), (None, leaf("u3", "nobody's")), ("i85", None), ("many", leaf(*[f"m{x}" for x in range(1200)], "m1")), ("i0", index("many"))]
+    maps = spark.createDataFrame(rows, "url string, body string").repartition(5)
+    for depth in (None, 1, 2, 4):
+        want = brute_sitemaps(rows, depth or 10**9)
+        got = readers.read_sitemap_urls(maps, max_depth=depth, first="first").collect()
+        assert Counter((r.sitemap_url, r["loc"]) for r in got) == want
+        assert Counter((r.sitemap_url, r["loc"]) for r in got if r.first) == Counter(want.keys())
+    assert Counter(map(tuple, readers.read_sitemap_urls(maps).collect())) == brute_sitemaps(rows)
+
+
+def test_rows_of_nested_indexes_are_not_shuffled(spark):
+    index = lambda *locs: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in locs) + "</sitemapindex>"
+    n = 200
+    maps = spark.createDataFrame([(f"c{i}", index(f"c{i + 1}", f"f{i}")) for i in range(n)] + [
+        (f"f{i}", f"<urlset><url><loc>u{i}</loc></url><url><loc>all</loc></url></urlset>") for i in range(n)], "url string, body string")
+    got = readers.read_sitemap_urls(maps)
+    assert got.count() == n * (n + 1) + 2 * n
+    rows = got.agg(F.count("loc").alias("n"))
+    assert rows.collect()[0].n == n * (n + 1) + 2 * n
+
+    def written(node):
+        held = node.metrics().get("shuffleRecordsWritten")
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            below = [node.executedPlan()]
+        elif kind.endswith("QueryStageExec"):
+            below = [node.plan()]
+        return (held.get().value() if held.isDefined() else 0) + sum(map(written, below))
+
+    assert written(rows._jdf.queryExecution().executedPlan()) < 10_000
